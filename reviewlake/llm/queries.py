@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("q_line_dedup", "q_quality")
+MODULES = ("q_line_dedup", "q_quality", "q_bpe", "q_lang_id")
 
 
 def _merged(name: str) -> dict:
