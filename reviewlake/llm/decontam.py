@@ -20,6 +20,8 @@ other columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,17 @@ def _starts(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(0), F.size(w) - SHINGLE)).when(F.size(w) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
-def shingle_hashes(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
+def _of_words(text: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of the words of text, with the words bound once: no rewrite of the plan can put their split inside fn's loops."""
+    return F.array_distinct(F.get(F.transform(F.array(words(text)), lambda w: F.transform(_starts(w), fn(w))), 0))
+
+
+def shingle_hashes(text: Column) -> Column:
+    return _of_words(text, lambda w: lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
 
 
-def shingles(w: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(w), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(SHINGLE)])))
+def shingles(text: Column) -> Column:
+    return _of_words(text, lambda w: lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(SHINGLE)]))
 
 
 def _ceil(x: Column) -> Column:
@@ -54,12 +61,12 @@ def _ceil(x: Column) -> Column:
 
 def index(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(hash, item_id, least): the sketch of each item, and the least size of a document for it."""
-    sets = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).select("item_id", shingle_hashes(F.col("w")).alias("h")).where(F.size("h") > 0)
-    low = F.pow(F.lit(2), F.floor(F.log2(F.size("h")))).cast("long")
+    sets = items.where("item_id is not null").select("item_id", shingle_hashes(F.col("text")).alias("h"))
+    low = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.size("h"), F.lit(1))))).cast("long")
     high = 2 * low - 1
     length = (high - _ceil(F.lit(threshold) * high) + 1).cast("int")
     sketch = F.slice(F.array_sort("h"), F.lit(1), length)
-    return sets.select("item_id", _ceil(F.lit(threshold) * low).alias("least"), F.explode(sketch).alias("hash")).distinct()
+    return sets.select("item_id", _ceil(F.lit(threshold) * low).alias("least"), F.explode_outer(sketch).alias("hash")).where("hash is not null").distinct()
 
 
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -67,8 +74,8 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     found = common.stored(index(items, threshold), "decontam_index")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    sets = docs.where("doc_id is not null and text is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_hashes(F.col("w")).alias("h"))
-    rows = sets.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("hash"))
+    sets = docs.where("doc_id is not null and text is not null").select("doc_id", shingle_hashes(F.col("text")).alias("h"))
+    rows = sets.select("doc_id", F.size("h").alias("n"), F.explode_outer("h").alias("hash"))
     return rows.join(found, "hash").where("n >= least").select("doc_id", "item_id").distinct()
 
 
@@ -77,9 +84,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     pairs = common.stored(candidates(docs, items, threshold), "decontam_pairs")
     by_doc = pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("found"))
-    sets = docs.join(by_doc, "doc_id").select("doc_id", "found", words(F.col("text")).alias("w")).select("doc_id", "found", shingles(F.col("w")).alias("s"))
-    rows = sets.select("doc_id", "s", F.explode("found").alias("item_id"))
-    wanted = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingles(F.col("w")).alias("q"))
+    sets = docs.join(by_doc, "doc_id").select("doc_id", "found", shingles(F.col("text")).alias("s"))
+    rows = sets.select("doc_id", "s", F.explode_outer("found").alias("item_id"))
+    wanted = items.select("item_id", shingles(F.col("text")).alias("q"))
     shared = rows.join(wanted, "item_id").select("doc_id", "item_id", F.size("q").cast("long").alias("n_item"), F.size(F.array_intersect("s", "q")).cast("long").alias("n_shared"))
     best = shared.where(F.col("n_shared") >= _ceil(F.lit(threshold) * F.col("n_item"))).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_item", "n_shared")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_item", "b.n_shared")

@@ -15,11 +15,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHINGLES = """
 SELECT DISTINCT id, CASE WHEN n >= 5 THEN concat_ws(' ', w, w1, w2, w3, w4) ELSE concat_ws(' ', w, w1, w2, w3) END AS g
 FROM (
-  SELECT id, w, pos, count(*) OVER (PARTITION BY id) AS n, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
+  SELECT id, w, row_number() OVER o AS pos, count(*) OVER (PARTITION BY id) AS n, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
   FROM (
-    SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
-    FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS l FROM {table}))
-  WINDOW o AS (PARTITION BY id ORDER BY pos))
+    SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS nth
+    FROM (SELECT {id} AS id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS l FROM {table}))
+  WHERE w <> ''
+  WINDOW o AS (PARTITION BY id ORDER BY nth))
 WHERE w4 IS NOT NULL OR (n < 5 AND pos = 1)
 """
 
