@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("q_line_dedup", "q_quality", "q_bpe", "q_lang_id", "q_simhash", "q_brown", "q_decontam", "q_token_counts")
+MODULES = ("q_line_dedup", "q_quality", "q_bpe", "q_lang_id", "q_simhash", "q_brown", "q_decontam", "q_token_counts", "q_pii")
 
 
 def _merged(name: str) -> dict:
