@@ -12,8 +12,8 @@ length, and its smallest q gives the least number of shingles of a document that
 at. Documents, long or short, are only looked up in this index; what is found is verified
 by the exact overlap of the shingles themselves. There are no misses.
 
-The index is broadcast while it has at most ``BROADCAST_ROWS`` rows, and joined by a
-shuffle beyond. Defined cases: null texts have no words; rows of a table that share an id
+The index and the ids of what it finds are broadcast while they are made of at most
+``BROADCAST_ROWS`` rows, and joined by a shuffle beyond. Defined cases: null texts have no words; rows of a table that share an id
 are one document or item (the best containment counts); rows without id are not reported;
 other columns pass through untouched.
 """
@@ -69,11 +69,15 @@ def index(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.select("item_id", _ceil(F.lit(threshold) * low).alias("least"), F.explode_outer(sketch).alias("hash")).where("hash is not null").distinct()
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it is made of few enough rows; if not, its joins shuffle, always by merging."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct (doc_id, item_id) that the sketches leave."""
     found = common.stored(index(items, threshold), "decontam_index")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+    found = _bounded(found, found.count())
     sets = docs.where("doc_id is not null and text is not null").select("doc_id", shingle_hashes(F.col("text")).alias("h"))
     rows = sets.select("doc_id", F.size("h").alias("n"), F.explode_outer("h").alias("hash"))
     return rows.join(found, "hash").where("n >= least").select("doc_id", "item_id").distinct()
@@ -83,7 +87,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     """(doc_id, item_id, n_item, n_shared): pairs with at least threshold of the item's shingles in the document."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     pairs = common.stored(candidates(docs, items, threshold), "decontam_pairs")
-    by_doc = pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("found"))
+    by_doc = _bounded(pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("found")), pairs.count())
     sets = docs.join(by_doc, "doc_id").select("doc_id", "found", shingles(F.col("text")).alias("s"))
     rows = sets.select("doc_id", "s", F.explode_outer("found").alias("item_id"))
     wanted = items.select("item_id", shingles(F.col("text")).alias("q"))
@@ -94,5 +98,5 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item; same columns."""
-    hits = contained(docs, items, threshold).select(F.col("doc_id").alias("_id")).distinct()
-    return common.replaced(common.packed(docs, _id=F.col("doc_id")).join(hits, "_id", "left_anti"), docs)
+    hits = common.stored(contained(docs, items, threshold).select(F.col("doc_id").alias("_id")).distinct(), "decontam_hits")
+    return common.replaced(common.packed(docs, _id=F.col("doc_id")).join(_bounded(hits, hits.count()), "_id", "left_anti"), docs)
