@@ -1,7 +1,48 @@
-"""The corpus pipeline; its stages follow with the operators."""
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it
+decides takes effect. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reviewlake.llm import bpe, common, decontam, line_dedup, q_bpe, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shared lines stay in the smallest document that holds them."""
+    return line_dedup.dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and lang with the token ids (4 bytes each, little-endian) and digests of them and of the decoded text."""
+    return q_bpe.encoded_rows(bpe.round_trip(docs, q_bpe.VOCABULARY))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminate), ("bpe", encode)]
+#: Distances to references, components and merges are not SQL; tests hold run() against plain code.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,12 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return out.select(F.col("_row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def encoded_rows(out: DataFrame) -> DataFrame:
+    """What ``bpe.round_trip`` gives, with digests in place of the decoded text."""
+    row = F.col("_row")
+    return out.select(row.doc_id.alias("doc_id"), row.source.alias("source"), row.lang.alias("lang"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))
 
