@@ -35,20 +35,26 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Overlap of the words of two texts."""
-    x, y = _tokens(a), _tokens(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the distinct words of a text, so that they are made once and not for each pair."""
+    return df.withColumn(out, _tokens(F.col(text)))
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Overlap of two lists of distinct words."""
+    shared = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - shared
+    return F.when(union == 0, 0.0).otherwise(shared / union)
 
 
 def score_pairs(pair_table: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None, threshold: float = 0.3) -> DataFrame:
     """pairs with match, confidence and error. A scorer maps frames (comment, text) to (match, confidence, error).
 
-    Each distinct pair of texts is scored once. Without a scorer, the overlap of words decides. What a scorer raises is an error of its rows.
+    Each distinct pair of texts is scored once. Without a scorer, the overlap of words (columns comment_words and text_words
+    of ``with_words``) decides. What a scorer raises is an error of its rows.
     """
     if scorer is None:
-        c = jaccard(F.col("comment"), F.col("text"))
+        c = jaccard(F.col("comment_words"), F.col("text_words"))
         return pair_table.withColumn("confidence", c).withColumn("match", F.col("confidence") >= threshold).withColumn("error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
