@@ -40,7 +40,8 @@ NEAR = 3
 #: Rows on each side of a partition's edge that are compared across it.
 EDGE = 32
 SUFFIX = "anchor long, right binary, left binary, doc_id long, pos int"
-MATCH = "doc_id long, start int, end int, other_doc long"
+FOUND = "doc_id long, start int, end int, other_doc long, anchor long, right binary, left binary, pos int"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -185,8 +186,23 @@ class _Rows:
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(self.doc[at], pa.int64()), "start": pa.array(self.pos[at] - self.l[at], pa.int32()), "end": pa.array(self.pos[at] + K + self.r[at], pa.int32()), "other_doc": pa.array(self.other[at], pa.int64())})
 
 
+def _found(rows: _Rows) -> pa.RecordBatch:
+    """Matches in the schema of ``FOUND``."""
+    m = rows.matches()
+    none = lambda t: pa.nulls(m.num_rows, t)
+    return pa.RecordBatch.from_arrays([*m.columns, none(pa.int64()), none(pa.binary()), none(pa.binary()), none(pa.int32())], names=FOUND_NAMES)
+
+
+def _edge(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows at a partition's edge in the schema of ``FOUND``."""
+    none = lambda t: pa.nulls(batch.num_rows, t)
+    c = batch.column
+    return pa.RecordBatch.from_arrays([c("doc_id"), none(pa.int32()), none(pa.int32()), none(pa.int64()), c("anchor"), c("right"), c("left"), c("pos")], names=FOUND_NAMES)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
+    """Matches of a sorted partition, with its first and last EDGE rows."""
+    held, n, last = None, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -194,26 +210,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = new if held is None else held.plus(new)
         rows.compare()
         end = rows.held_from()
-        yield rows.part(0, end).matches()
+        yield _found(rows.part(0, end))
         held = rows.part(end, len(rows))
-    if held is not None:
-        yield held.matches()
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last EDGE rows of a partition."""
-    n, last = 0, None
-    for batch in batches:
-        if n < EDGE and batch.num_rows:
+        if n < EDGE:
             head = batch.slice(0, EDGE - n)
             n += head.num_rows
-            yield head
+            yield _edge(head)
             batch = batch.slice(head.num_rows)
         if batch.num_rows:
-            t = pa.Table.from_batches([batch] if last is None else [*last.to_batches(), batch]).slice(max(0, (0 if last is None else last.num_rows) + batch.num_rows - EDGE))
-            last = t.combine_chunks()
+            tail = batch.slice(max(0, batch.num_rows - EDGE))
+            last = pa.Table.from_batches([tail] if last is None else [*last.to_batches(), tail])
+            last = last.slice(max(0, last.num_rows - EDGE)).combine_chunks()
+    if held is not None:
+        yield _found(held)
     if last is not None:
-        yield from last.to_batches()
+        yield from map(_edge, last.to_batches())
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -222,8 +233,11 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = common.stored(suffixes(sequences(docs)), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    edges = ordered.mapInArrow(_edges, SUFFIX).coalesce(1).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_neighbours, MATCH).unionByName(edges.mapInArrow(_neighbours, MATCH))
+    found = common.stored(ordered.mapInArrow(_neighbours, FOUND), "suffix_matches")
+    # a few rows of each partition's edges: their number follows that of partitions, not of documents
+    edges = found.where("anchor is not null").select("anchor", "right", "left", "doc_id", "pos").repartition(1).sortWithinPartitions(*order)
+    across = edges.mapInArrow(_neighbours, FOUND)
+    return found.unionByName(across).where("anchor is null").select("doc_id", "start", "end", "other_doc")
 
 
 def spans(docs: DataFrame) -> DataFrame:
