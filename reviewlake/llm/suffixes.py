@@ -11,7 +11,8 @@ document are reported, those that overlap within a document as one span.
 The sort is a range partitioning by the whole suffix and the document, so one very common
 run is spread over partitions; only the few rows at the edges of partitions meet in a
 second small step. Words are compared by 16-bit hashes to the sides of a run, which is
-itself compared by 64 bits. A suffix is compared with the nearest of ``NEAR`` other documents
+itself compared by 64 bits: an end may lie a word too far where two such hashes agree by
+chance (one comparison in 65,536). A suffix is compared with the nearest of ``NEAR`` other documents
 on each side: a match may be missed if that many lie between with as many words to the
 right and fewer to the left.
 
