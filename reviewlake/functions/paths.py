@@ -78,7 +78,7 @@ def parse_pr_url(c: Column) -> Column:
 
 
 def _component(c: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def case_id(url: Column) -> Column:

@@ -80,7 +80,7 @@ def json_hash(c: Column) -> Column:
 
 
 def slug(c: Column, default: str = "value") -> Column:
-    made = F.trim(F.lit("-"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"))
+    made = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(made == "", default).otherwise(made)
 
 
