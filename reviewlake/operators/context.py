@@ -40,10 +40,12 @@ def rank_symbols(texts: DataFrame, limit: int = 24, key: tuple[str, ...] = ("rev
     underscore, else one. Ties go to the first seen: passes in that order, then position.
     """
     add, around = F.coalesce("added", F.lit("")), F.coalesce("excerpt", F.lit(""))
-    passes = []
-    for n, (pattern, source, group) in enumerate(((DECLARED, add, 1), (CALLED, add, 1), (NAME, add, 0), (ENCLOSING, around, 1))):
-        found = F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
-        passes.append(F.transform(found, lambda s, i, n=n: F.struct(F.lit(n).alias("pass"), i.alias("at"), s.alias("symbol"))))
+
+    def found(n: int, pattern: str, source: Column, group: int) -> Column:
+        names = F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+        return F.transform(names, lambda s, i: F.struct(F.lit(n).alias("pass"), i.alias("at"), s.alias("symbol")))
+
+    passes = [found(0, DECLARED, add, 1), found(1, CALLED, add, 1), found(2, NAME, add, 0), found(3, ENCLOSING, around, 1)]
     rows = texts.select(*key, F.explode(F.flatten(F.array(*passes))).alias("x")).select(*key, "x.*")
     s = F.col("symbol")
     rows = rows.where(F.length(s).between(3, 80) & ~F.lower(s).isin(*KEYWORDS))
