@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,28 @@ LONG = 64
 NONE = 1 << 60
 #: Words and chunks that a worker remembers, in each of two generations.
 REMEMBERED = 150_000
-WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Unicode's white space.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = re.compile(f"[{SPACES}]+")
+
+
+@cache
+def category_ranges(major: str) -> str:
+    """All code points of a general category (L or N), as the inside of a character class."""
+    out, start, last = [], None, None
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] == major:
+            start, last = (code if last != code - 1 else start), code
+        elif last == code - 1 and start is not None:
+            out.append(f"\\U{start:08x}-\\U{last:08x}")
+    return "".join(out)
+
+
+def split_pattern(pattern: str) -> re.Pattern:
+    """A tokenizer's split pattern with its properties written out."""
+    for name, inside in ((r"\p{L}", category_ranges("L")), (r"\p{N}", category_ranges("N")), (r"\s", SPACES)):
+        pattern = pattern.replace(name, inside)
+    return re.compile(pattern)
 
 
 def byte_letters() -> list[str]:
@@ -115,8 +138,8 @@ def merge_long(parts: list[int], ranks: dict[int, int], merged: list[int]) -> li
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.find = regex.compile(vocabulary.pattern).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
+        self.find = split_pattern(vocabulary.pattern).findall
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.marks = tuple(vocabulary.special)
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
