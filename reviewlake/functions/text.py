@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +53,28 @@ def clip_text(c: Column, limit: Column | int, label: str) -> Column:
     return F.when(F.length(c) <= limit, c).when(limit <= F.length(marker), F.left(marker, limit)).otherwise(cut)
 
 
+def json_prefix(value: str, limit: int, json_limit: int) -> str:
+    """Longest prefix of at most limit characters that takes at most json_limit in JSON, without its quotes."""
+    low, high = 0, min(len(value), limit)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if len(json.dumps(value[:middle], ensure_ascii=False)) - 2 <= json_limit:
+            low = middle
+        else:
+            high = middle - 1
+    return value[:low]
+
+
+def clip_json(c: Column, limit: int, json_limit: int) -> Column:
+    """``json_prefix`` of a column."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series([None if v is None else json_prefix(v, limit, json_limit) for v in values], dtype=object)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def provenance(c: Column, limit: int) -> Column:
     """Length and digest of a text before it was clipped."""
     return F.struct(F.length(c).alias("original_chars"), (F.length(c) > limit).alias("truncated"), F.sha2(c, 256).alias("sha256"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .findings import first_number
+
 
 def hunk_coverage(hunks: DataFrame, chunk_hunks: DataFrame, done: DataFrame) -> DataFrame:
     """(review_id, eligible_hunks, completed_hunks, failed_hunks, complete, coverage_ratio).
@@ -36,6 +38,19 @@ def call_usage(calls: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def last_usage(events: DataFrame) -> DataFrame:
+    """Usage of each call out of its event stream (call_id, seq, payload): the last event that has any counts.
+
+    Providers name the fields differently; the first that is there and a whole number is taken.
+    """
+    usage = F.get_json_object("payload", "$.usage")
+    rows = events.where(usage.isNotNull()).groupBy("call_id").agg(F.max_by(usage, F.col("seq")).alias("u"))
+    return rows.select(
+        "call_id", first_number(F.col("u"), "$.input_tokens", "$.prompt_tokens").alias("input_tokens"), first_number(F.col("u"), "$.output_tokens", "$.completion_tokens").alias("output_tokens"),
+        first_number(F.col("u"), "$.cached_input_tokens", "$.prompt_tokens_details.cached_tokens").alias("cached_input_tokens"),
+    )
+
+
 def latency_quantiles(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*(by or ("stage",))).agg(F.percentile_approx("latency_ms", [0.5, 0.9, 0.99]).alias("latency_ms"))
 

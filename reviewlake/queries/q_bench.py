@@ -113,6 +113,16 @@ def call_usage_hourly(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.call_usage(rows, "hour", "stage").select("hour", "stage", "calls", "reporting", "tokens", "errors")
 
 
+def last_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events are a stream of one call; one in three has no usage, and fields have two names."""
+    e = V.table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    name = F.when(F.col("event_id") % 2 == 0, "input_tokens").otherwise("prompt_tokens")
+    payload = F.when(F.col("event_id") % 3 == 0, "{}").otherwise(F.concat(F.lit('{"usage": {"'), name, F.lit('": '), k, F.lit(', "completion_tokens": 2.0}}')))
+    out = telemetry.last_usage(e.select(F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), payload.alias("payload")))
+    return out.select("call_id", "input_tokens", "output_tokens", F.coalesce("cached_input_tokens", F.lit(0).cast("long")).alias("cached_input_tokens"))
+
+
 def latency_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Approximate quantiles lie within the range of the stage."""
     rows = V.calls(spark, d)
@@ -175,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixture_pick, dataset_manifest, golden_hashes, golden_changes, case_filter, job_matrix_resume, work_queue, latest_records, run_status, sweep_comparable, manifest_check, duplicate_ids, artifact_gates, one_configuration, hunk_coverage,
-        call_usage, call_usage_hourly, latency_bounds, context_pressure, context_totals, omissions, file_sets, selection_telemetry, pages_left, budget_derivation, file_lists,
+        call_usage, call_usage_hourly, last_usage, latency_bounds, context_pressure, context_totals, omissions, file_sets, selection_telemetry, pages_left, budget_derivation, file_lists,
     )
 }
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -208,6 +218,7 @@ ORACLE = {
         CASE WHEN review_id % 7 = 0 THEN 'failed' WHEN e = c THEN 'completed' WHEN c > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""",
     "call_usage": f"WITH {V.V3} SELECT stage, count(*) AS calls, count(input_tokens) AS reporting, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS tokens, count(*) - count(input_tokens) AS missing, count(error) AS errors, round(sum(latency_ms), 2) AS latency_ms FROM calls GROUP BY stage",
     "call_usage_hourly": f"WITH {V.V3} SELECT strftime(ts, '%Y-%m-%d %H') AS hour, stage, count(*) AS calls, count(input_tokens) AS reporting, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS tokens, count(error) AS errors FROM calls GROUP BY ALL",
+    "last_usage": f"SELECT user_id AS call_id, arg_max({_K}, event_id) AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_input_tokens FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
     "latency_bounds": "SELECT DISTINCT event_type AS stage, true AS within FROM events",
     "context_pressure": """SELECT conv_id AS review_id, count(*) AS batches, count(*) FILTER (WHERE length(text) > 400) AS truncated_batches, count(*) FILTER (WHERE least(length(text), 400) / 400.0 >= 0.95) AS near_limit,
       round(max(least(length(text), 400) / CAST(400 AS DOUBLE)), 9) AS max_utilisation, bool_or(length(text) > 400) AS hit_limit FROM conversations GROUP BY conv_id""",

@@ -33,6 +33,17 @@ def test_clip_and_wrap(spark):
     assert f"<<<L {digest[:16]}>>>" in one(spark, ["x"], text.wrap_untrusted("L", F.col("c")).alias("w"))[0].w
 
 
+@given(st.text(alphabet='a"\\\\\n\x01é', max_size=30), st.integers(0, 40), st.integers(0, 60))
+def test_json_prefix_is_the_longest(value, limit, json_limit):
+    size = lambda n: len(json.dumps(value[:n], ensure_ascii=False)) - 2
+    got = text.json_prefix(value, limit, json_limit)
+    assert len(got) == max(n for n in range(min(len(value), limit) + 1) if size(n) <= json_limit)
+
+
+def test_clip_json_column(spark):
+    assert one(spark, ["a\nb\nc"], text.clip_json(F.col("c"), 5, 4).alias("x"))[0].x == "a\nb"
+
+
 def test_hashes_and_json(spark):
     r = one(spark, ['é"/\x01'], text.nul_hash(F.col("c"), F.lit(None), F.lit(3)).alias("h"), text.canonical_json(F.struct(F.col("c").alias("a"), F.lit(None).cast("string").alias("b"))).alias("j"))[0]
     assert r.h == hashlib.sha256('é"/\x01\0\x003'.encode()).hexdigest()
