@@ -76,6 +76,12 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("review_id").agg(F.sum("char_count").alias("chars"), F.count("*").alias("chunks"), F.max(F.col("char_count") <= 20_000).alias("within"))
 
 
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    files, hunks, lines, _ = _tables(spark, d)
+    rows, _ = diffs.pack_chunks(diffs.classify_files(files, lines), hunks, lines, 200_000)
+    return rows.groupBy("review_id", "chunk_id", "segment_id").agg(F.count("*").alias("lines"))
+
+
 def partition_check(spark: SparkSession, d: str) -> DataFrame:
     files, hunks, lines, _ = _tables(spark, d)
     files = diffs.classify_files(files, lines)
@@ -155,7 +161,7 @@ SRC_ID = "'f0000:h0000:l' || lpad(CAST(line_no - 1 AS VARCHAR), 6, '0')"
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_lines, line_annotations, diff_files, file_exclusions, exclusion_counts, diff_stats, changed_lines, ledger_ranges, chunk_plan, chunk_errors, chunk_sizes, partition_check,
+        diff_lines, line_annotations, diff_files, file_exclusions, exclusion_counts, diff_stats, changed_lines, ledger_ranges, chunk_plan, chunk_errors, chunk_sizes, chunk_ids, partition_check,
         batch_plan, budget_split, fair_share, skip_fit_render, prefix_fit, anchor_excerpts, risk_cues,
     )
 }
@@ -178,6 +184,8 @@ ORACLE = {
     "chunk_sizes": f"""WITH RECURSIVE {_LENGTHS.format(cap=20000)}, {_next_fit("SELECT review_id, line_no AS k, n, head + hunk_head AS base FROM ln WHERE review_id NOT IN (SELECT review_id FROM bad)", "review_id", 20000)}
       , s AS (SELECT fit.review_id, g, sum(n) AS n, max(head + hunk_head) AS base FROM fit JOIN ln ON ln.review_id = fit.review_id AND ln.line_no = fit.k GROUP BY fit.review_id, g)
       SELECT review_id, CAST(sum(n + base) AS BIGINT) AS chars, count(*) AS chunks, true AS within FROM s GROUP BY review_id""",
+    "chunk_ids": f"""WITH {V.V2}, x AS (SELECT review_id, path, path || ':1:1:h000' AS h, count(*) AS lines FROM dl JOIN ex USING (review_id, path) WHERE exclusion_kind IS NULL GROUP BY ALL),
+      y AS (SELECT *, h || ':s0000-' || sha256(h || chr(0) || '0')[:12] AS segment_id FROM x) SELECT review_id, 'f0000:c0000-' || sha256(path || chr(0) || '0' || chr(0) || segment_id)[:12] AS chunk_id, segment_id, lines FROM y""",
     "partition_check": f"""WITH {V.V2} SELECT review_id, {SRC_ID} AS source_id, CAST(1 AS BIGINT) AS expected, CAST(0 AS BIGINT) AS found FROM dl JOIN ex USING (review_id, path) WHERE exclusion_kind IS NULL AND line_no = 4""",
     "batch_plan": f"""WITH RECURSIVE {V.V8}, {_next_fit("SELECT conv_id, k, n, 0 AS base FROM it", "conv_id", 2000, 2)},
       m AS (SELECT fit.conv_id, g, list('c' || turn ORDER BY fit.k) AS ids, sum(n) + 2 * (count(*) - 1) AS chars FROM fit JOIN it ON it.conv_id = fit.conv_id AND it.k = fit.k GROUP BY fit.conv_id, g)

@@ -104,6 +104,39 @@ def finding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return keep_first(docs, ["fingerprint"], "doc_id").select("doc_id", "fingerprint", "is_first")
 
 
+def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer of the caller's: lengths decide, and some pairs are errors."""
+
+    def scorer(df):
+        n = df.comment.str.len() + df.text.str.len()
+        return df.assign(match=n % 3 == 0, confidence=(n % 10) / 10, error=n.map(lambda x: "odd" if x % 11 == 0 else None))
+
+    out = judge.score_pairs(judge.pairs(V.golden(spark, d), V.candidates(spark, d)), scorer)
+    return out.groupBy("golden_url", "tool").agg(F.count("*").alias("pairs"), F.count_if("match").alias("matches"), F.count("error").alias("errors"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+def nested_bundle(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import nested_json
+
+    n = V.candidates(spark, d).groupBy("golden_url", "tool").agg(F.count("*").alias("n"))
+    return nested_json(n, "n")
+
+
+def fixture_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews whose (review_url, fixture_tool) is not among the case's."""
+    o = V.table(spark, d, "orders")
+    used = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("fixture_tool")).distinct()
+    known = o.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("fixture_tool"))
+    return used.join(known, ["case_id", "fixture_tool"], "left_anti")
+
+
+def finding_order(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.findings import ordered
+
+    rows = V.findings(spark, d).withColumn("finding_id", F.concat(F.lit("f"), F.col("seq") % 1000)).withColumn("title", F.col("seq").cast("string"))
+    return ordered(rows).select("review_id", "seq", F.col("place").cast("long").alias("place"))
+
+
 RATES = """CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) ELSE 0.0 END AS recall,
   CASE WHEN 2 * tp + fp + fn > 0 AND tp > 0 THEN round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) ELSE 0.0 END AS f1"""
 SUMS = "SELECT {keys}CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(texts - matched) AS DOUBLE) AS fp, CAST(sum(comments - tp) AS DOUBLE) AS fn, count(*) AS reviews FROM ev WHERE total_golden > 0 GROUP BY {by}"
@@ -111,7 +144,7 @@ SHOWN = "CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT)
 
 QUERIES = {
     f.__name__: f
-    for f in (judge_metrics, judge_evaluations, judge_rollup, judge_running_best, judge_siblings, paired_deltas, judge_resume, judge_queue, candidate_fallback, bundle_replace, bundle_verify, export_counts, context_dedup, finding_dedup)
+    for f in (judge_metrics, judge_evaluations, judge_rollup, judge_running_best, judge_siblings, paired_deltas, judge_resume, judge_queue, candidate_fallback, bundle_replace, bundle_verify, export_counts, context_dedup, finding_dedup, scored_pairs, nested_bundle, fixture_provenance, finding_order)
 }
 ORACLE = {
     "judge_metrics": f"WITH {V.V6} SELECT tool, {SHOWN} FROM ({SUMS.format(keys='tool, ', by='tool')})",
@@ -136,6 +169,11 @@ ORACLE = {
     "bundle_verify": f"""WITH {V.V6}, k AS (SELECT golden_url, tool, count(*) AS n FROM c GROUP BY ALL)
       SELECT golden_url, tool, CASE WHEN golden_url = 'case-1' AND n = 1 THEN 'no candidates' WHEN golden_url IN ('case-1', 'case-2') THEN 'texts differ' ELSE 'groups differ' END AS reason
       FROM k WHERE golden_url IN ('case-1', 'case-2') OR (golden_url = 'case-4' AND n > 1)""",
+    "scored_pairs": f"""WITH {V.V6}, x AS (SELECT golden_url, tool, length(comment) + length(text) AS n FROM p)
+      SELECT golden_url, tool, count(*) AS pairs, count(*) FILTER (WHERE n % 3 = 0) AS matches, count(*) FILTER (WHERE n % 11 = 0) AS errors, round(sum((n % 10) / CAST(10 AS DOUBLE)), 6) AS confidence FROM x GROUP BY ALL""",
+    "nested_bundle": f"""WITH {V.V6} SELECT golden_url, '{{' || string_agg('"' || tool || '":' || n_candidates, ',' ORDER BY tool) || '}}' AS json FROM n GROUP BY golden_url""",
+    "fixture_provenance": """SELECT DISTINCT o_custkey AS case_id, o_orderpriority AS fixture_tool FROM orders a WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderkey % 3 <> 0)""",
+    "finding_order": f"WITH {V.V5} SELECT review_id, seq, row_number() OVER (PARTITION BY review_id ORDER BY path, line, end_line, 'f' || (seq % 1000), seq::VARCHAR) - 1 AS place FROM findings",
     "export_counts": f"WITH {V.V6} SELECT tool, count(DISTINCT golden_url) AS reviews, count(*) AS candidates FROM c GROUP BY tool",
     "context_dedup": """SELECT source AS review_id, sha256(text) AS context_sha256, min(doc_id) AS seq, string_agg(DISTINCT 'f' || (doc_id % 5), ',' ORDER BY 'f' || (doc_id % 5)) AS files FROM documents GROUP BY source, sha256(text)""",
     "finding_dedup": r"""SELECT doc_id, fp AS fingerprint, row_number() OVER (PARTITION BY fp ORDER BY doc_id) = 1 AS is_first
