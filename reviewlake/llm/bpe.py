@@ -36,7 +36,7 @@ from . import common
 LONG = 64
 NONE = 1 << 60
 #: Words and chunks that a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Unicode's white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]+")
