@@ -100,7 +100,8 @@ def sequences(docs: DataFrame) -> DataFrame:
 def suffixes(found: DataFrame) -> DataFrame:
     """The suffixes whose run occurs in more than one document."""
     anchors = found.select("doc_id", F.explode(F.arrays_zip("pos", "anchor")).alias("a")).select("doc_id", "a.pos", "a.anchor")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # stored, so that the join is free to split a hot anchor, which a sum in the same stage would not let it
+    shared = common.stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "suffix_anchors")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("at"))
     rows = found.select("doc_id", "words").join(wanted, "doc_id")
 
