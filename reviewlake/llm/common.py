@@ -52,3 +52,14 @@ def packed(docs: DataFrame, **extra: Column) -> DataFrame:
 def replaced(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     """The columns of docs out of ``_row``; those in new are replaced."""
     return df.select(*[(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c)) for c in docs.columns])
+
+
+def firsts(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of linked (doc_id, component_id), and those without doc_id.
+
+    Of rows that share a doc_id the one with the least text stays.
+    """
+    first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    rows = packed(docs, _id=F.col("doc_id"), _text=F.col("text"))
+    kept = rows.join(first, "_id", "left_semi").groupBy("_id").agg(F.min_by("_row", F.struct(F.coalesce("_text", F.lit("")), F.xxhash64("_row"))).alias("_row"))
+    return replaced(kept.select("_row").unionByName(rows.where("_id is null").select("_row")), docs)

@@ -5,16 +5,20 @@ of five words (of fewer words: the one shingle of them all; of none: empty). Two
 linked if the Jaccard similarity of their sets is at least 0.8, and one document of each
 component of links stays. Sets are known by a 64-bit hash of all their shingles.
 
-Candidates come from a prefix filter, which misses nothing: in any one order of shingles, two
-sets of similarity t share one of the first n - ceil(t n) + 1 of each. The order puts shingles
-that are frequent in a sample of the documents last, so that few sets meet at a shingle. It
-decides only how many candidates there are. Candidates go if the parities of their shingle counts
-in twice as many buckets as shingles differ in more buckets than the sets may differ in shingles,
-which is exact as well; the others are checked by the exact overlap.
-
-At each shingle all sets are first linked to the one that meets others at most shingles (of a
-group of copies, likely their original); then pairs of different components are sought, of which
-one is never of the shingle's largest component, so that a dense group does not give all its pairs.
+First the SimHash operator links what lies within its bits: each set has a fingerprint of its
+shingles, fingerprints meet in the popcount grid, and what meets is verified by the exact overlap.
+That settles copies, and near copies of few changes, whatever their number.
+
+At a similarity of 0.8 fingerprints differ in 10 bits of 64 on average and in 14 at times, where
+the grid would compare a fixed share of all pairs. So that no link is lost, the rest are sought
+between different components by a prefix filter, which misses nothing: in any one order of
+shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. The order puts
+shingles that are frequent in a sample of the documents last, so that few sets meet at a shingle. It
+decides only how many candidates there are. Where two sets first meet, the shingles left in each
+bound their overlap; what passes that bound goes if the parities of the shingle counts in twice
+as many buckets as shingles differ in more buckets than the sets may differ in shingles. Both are
+exact; the others are checked by the exact overlap. At a shingle, of two sets one is never of the
+largest component there, so that a dense group does not give all its pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import connected_components
 
 SHINGLE = 5
@@ -81,19 +85,19 @@ def prefix_length(n: int) -> int:
 
 
 def _keyed(text: Column) -> Column:
-    """k, n and parities of a set, and the set if it is in the sample."""
+    """k, n, fingerprint and parities of a set, and the set if it is in the sample."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t) for t in texts]
             keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"k": keys, "n": [len(s) for s in sets], "p": [parities(s) for s in sets], "sample": [s if k % SAMPLE == 0 else None for s, k in zip(sets, keys, strict=True)]})
+            yield pd.DataFrame({"k": keys, "n": [len(s) for s in sets], "fp": [simhash.majority(s.view(np.uint64)) for s in sets], "p": [parities(s) for s in sets], "sample": [s if k % SAMPLE == 0 else None for s, k in zip(sets, keys, strict=True)]})
 
-    return F.pandas_udf(run, "k long, n int, p array<long>, sample array<long>")(text)
+    return F.pandas_udf(run, "k long, n int, fp long, p array<long>, sample array<long>")(text)
 
 
 def _prefixed(text: Column, shared: Broadcast) -> Column:
-    """k of a set and the first of its shingles: those not frequent by hash, then the others from rare to frequent."""
+    """k and n of a set and the first of its shingles: those not frequent by hash, then the others from rare to frequent."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, rank = shared.value
@@ -105,10 +109,10 @@ def _prefixed(text: Column, shared: Broadcast) -> Column:
                 if len(hashes) and len(s):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     order = np.argsort(np.where(hashes[at] == s, rank[at], 0), kind="stable")
-                rows.append((set_key(s), s[order[: prefix_length(len(s))]]))
-            yield pd.DataFrame(rows, columns=["k", "prefix"])
+                rows.append((set_key(s), len(s), s[order[: prefix_length(len(s))]]))
+            yield pd.DataFrame(rows, columns=["k", "n", "prefix"])
 
-    return F.pandas_udf(run, "k long, prefix array<long>")(text)
+    return F.pandas_udf(run, "k long, n int, prefix array<long>")(text)
 
 
 def _apart(pa: Column, pb: Column) -> Column:
@@ -157,27 +161,38 @@ def _similar(pairs: DataFrame, docs: DataFrame, keyed: DataFrame) -> DataFrame:
     return shared.where(F.col("c") >= F.lit(THRESHOLD) * (F.col("na") + F.col("nb") - F.col("c")) - 1e-9).select("a", "b")
 
 
+def _meetings(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """(h, k, n, i) for each distinct set and each of its first shingles that another set has too; i is its place."""
+    prefixes = docs.select(_prefixed(F.col("text"), frequent).alias("s")).select("s.*").dropDuplicates(["k"])
+    prefixes = common.stored(prefixes, "near_prefixes")
+    rows = prefixes.select("k", "n", F.posexplode("prefix").alias("i", "h"))
+    # stored, so that the join is free to split a hot shingle
+    shared = common.stored(rows.groupBy("h").count().where(F.col("count") > 1).select("h"), "near_shared")
+    return rows.join(shared, "h").select("h", "k", "n", "i")
+
+
+def _rest(held: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different components that may be similar, of held (h, k, n, i, label)."""
+    parts = held.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rest = held.join(common.stored(parts.select("h", "most"), "near_parts"), "h")
+    other = rest.where("label <> most").select("h", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
+    t = F.lit(THRESHOLD)
+    size = F.least("n", "n2") >= t * F.greatest("n", "n2") - 1e-9
+    # the shingles from this one on bound the overlap where the sets first meet, and less at later ones
+    overlap = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= t / (1 + t) * (F.col("n") + F.col("n2")) - 1e-9
+    return rest.join(other, "h").where((F.col("label") != F.col("label2")) & size & overlap).select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of docs (doc_id, text) with a doc_id."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     keyed = common.stored(docs.select("doc_id", _keyed(F.col("text")).alias("s")).select("doc_id", "s.*"), "near_keys")
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(keyed))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(keyed))
     keyed = keyed.drop("sample")
-    rows = docs.select(_prefixed(F.col("text"), shared).alias("s")).select("s.k", F.explode("s.prefix").alias("h"))
-    meet = Window.partitionBy("h")
-    held = rows.select("h", "k", F.min("k").over(meet).alias("_first"), F.max("k").over(meet).alias("_last")).where("_first <> _last").select("h", "k").distinct()
-    held = common.stored(held, "near_held")
-    meets = held.groupBy("k").agg(F.struct(F.count("*").alias("c"), "k").alias("m"))
-    hubs = held.join(meets, "k").groupBy("h").agg(F.max("m").alias("hub")).select("h", F.col("hub.k").alias("hub"))
-    stars = common.stored(_similar(held.join(hubs, "h").where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct(), docs, keyed), "near_stars")
-    first = connected_components(stars).withColumnRenamed("node", "k")
-    held = common.stored(held.select("h", "k").join(first, "k", "left").select("h", "k", F.coalesce("label", "k").alias("label")), "near_labels")
-    # of two sets of different components one is outside the largest component at the shingle
-    parts = held.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rest = held.join(parts, "h").select("h", "most", "k", "label")
-    other = rest.where("label <> most").select("h", F.col("k").alias("k2"), F.col("label").alias("label2"))
-    pairs = rest.join(other, "h").where("label <> label2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    links = stars.unionByName(_similar(pairs, docs, keyed))
+    nodes = common.stored(keyed.select(F.col("k").alias("node"), "fp").dropDuplicates(["node"]), "near_nodes")
+    close = common.stored(simhash.linked_nodes(nodes, lambda pairs: _similar(pairs, docs, keyed)).select(F.col("node").alias("k"), "label"), "near_simhash")
+    held = common.stored(_meetings(docs, frequent).join(close, "k"), "near_held")
+    links = close.where("label <> k").select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(_similar(_rest(held), docs, keyed))
     groups = connected_components(links).withColumnRenamed("node", "k")
     known = keyed.join(groups, "k", "left").select("doc_id", F.coalesce("label", "k").alias("g"))
     return known.join(known.groupBy("g").agg(F.min("doc_id").alias("component_id")), "g").select("doc_id", "component_id")
@@ -185,7 +200,4 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; same columns, one row for each doc_id."""
-    first = linked(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    rows = common.packed(docs, _id=F.col("doc_id"))
-    kept = rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).unionByName(rows.where("_id is null"))
-    return common.replaced(kept, docs)
+    return common.firsts(docs, linked(docs))

@@ -18,13 +18,13 @@ without doc_id get the component of an equal fingerprint, or none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,6 +47,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :])], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """As a signed long, the bits that are set in over half the 64-bit hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -94,25 +99,33 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def linked_nodes(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, fp, label) for nodes (node, fp): label is the least node reached over links of at most MAX_BITS bits.
+
+    verify, if given, takes pairs (a, b) of nodes and returns those that count as links.
+    """
+    cells = nodes.select("fp", "node", F.explode(_own(_embedding(F.col("fp")))).alias("c")).select("fp", "node", "c.half", "c.cell")
+    # the stars: each node of a cell and the cell's least
+    hubs = cells.groupBy("half", "cell").agg(F.min(F.struct("fp", "node")).alias("hub")).select("half", "cell", F.col("hub.fp").alias("hub_fp"), F.col("hub.node").alias("hub"))
+    stars = cells.join(hubs, ["half", "cell"]).where((F.col("node") != F.col("hub")) & (_apart("fp", "hub_fp") <= MAX_BITS)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = connected_components(stars if verify is None else verify(stars)).withColumnRenamed("node", "_n")
+    nodes = common.stored(nodes.join(near, F.col("node") == F.col("_n"), "left").select("fp", "node", F.coalesce("label", "node").alias("label")), "simhash_stars")
+    # the rest: links between different components
+    held = nodes.select("fp", "node", "label", F.explode(_own(_embedding(F.col("fp")))).alias("c")).select("c.half", "c.cell", "fp", "node", "label")
+    seek = nodes.select(F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.col("label").alias("label2"), F.explode(_reach(_embedding(F.col("fp")))).alias("c")).select("c.half", "c.cell", "fp2", "node2", "label2").where("cell is not null")
+    met = held.join(seek, ["half", "cell"]).where((F.col("label") != F.col("label2")) & (F.bit_count(_embedding(F.col("fp")).bitwiseXOR(_embedding(F.col("fp2")))) <= MAX_BITS) & (_apart("fp", "fp2") <= MAX_BITS))
+    links = met.select(F.col("label").alias("a"), F.col("label2").alias("b"))
+    if verify is not None:
+        pairs = verify(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
+        links = pairs.unionByName(nodes.where("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    last = connected_components(links).select(F.col("node").alias("_n"), F.col("label").alias("least"))
+    return nodes.join(last, F.col("label") == F.col("_n"), "left").select("node", "fp", F.coalesce("least", "label").alias("label"))
+
+
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of prints (doc_id, fp)."""
     nodes = common.stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash_nodes")
-    # the stars: each node of a cell and the cell's least
-    cells = nodes.select("fp", "node", F.explode(_own(_embedding(F.col("fp")))).alias("c")).select("fp", "node", "c.half", "c.cell")
-    hub = F.min(F.struct(F.col("fp").alias("hub_fp"), F.col("node").alias("hub"))).over(Window.partitionBy("half", "cell"))
-    stars = cells.withColumn("h", hub).select("fp", "node", "h.*").where((F.col("fp") != F.col("hub_fp")) & (_apart("fp", "hub_fp") <= MAX_BITS))
-    near = connected_components(stars, "node", "hub").withColumnRenamed("node", "_n")
-    nodes = common.stored(nodes.join(near, F.col("node") == F.col("_n"), "left").select("fp", F.coalesce("label", "node").alias("label")), "simhash_stars")
-    # the rest: links between different components
-    held = nodes.select("fp", "label", F.explode(_own(_embedding(F.col("fp")))).alias("c")).select("c.half", "c.cell", "fp", "label")
-    seek = nodes.select(F.col("fp").alias("fp2"), F.col("label").alias("label2"), F.explode(_reach(_embedding(F.col("fp")))).alias("c")).select("c.half", "c.cell", "fp2", "label2").where("cell is not null")
-    links = (
-        held.join(seek, ["half", "cell"])
-        .where((F.col("label") != F.col("label2")) & (F.bit_count(_embedding(F.col("fp")).bitwiseXOR(_embedding(F.col("fp2")))) <= MAX_BITS) & (_apart("fp", "fp2") <= MAX_BITS))
-        .select("label", "label2")
-    )
-    last = connected_components(links, "label", "label2").select(F.col("node").alias("_n"), F.col("label").alias("least"))
-    return nodes.join(last, F.col("label") == F.col("_n"), "left").select("fp", F.coalesce("least", "label").alias("component_id"))
+    return linked_nodes(nodes).select("fp", F.col("label").alias("component_id"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -121,9 +134,7 @@ def linked(docs: DataFrame) -> DataFrame:
     return prints.join(components(prints), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; same columns, one row for each doc_id."""
-    first = linked(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    rows = common.packed(docs, _id=F.col("doc_id"))
-    kept = rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).unionByName(rows.where("_id is null"))
-    return common.replaced(kept, docs)
+    return common.firsts(docs, linked(docs))
