@@ -14,12 +14,16 @@ however they are written (coreference). Its surrogate follows from a keyed hash:
 
 Collision checks, over all entities at once: no two entities of a type have one surrogate,
 and no surrogate is itself an entity of the corpus. Those that fail, all but the least of
-a clash, draw again, until none fails; so distinct entities stay distinct.
+a clash, draw again, from a space that grows with each round for names, addresses and
+secrets. After ``ROUNDS`` rounds what still clashes (a format with fewer values than the
+corpus has entities) keeps its format and gets 32 hex digits of its keyed hash behind, which no
+other has; so distinct entities stay distinct and the work always ends.
 
 Only documents that hold an entity are joined; the others pass through. Entities are
 summed up to distinct ones before any is drawn, so a common one costs no more than a rare
-one. Defined cases: null texts stay null; rows that repeat are treated alike; a null doc_id
-is as good as any other; other columns pass through untouched.
+one. Defined cases: null texts stay null, empty ones empty; rows that repeat are treated alike; a
+null doc_id is as good as any other; of clashing entities the least keeps the first draw;
+a long text is searched whole; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Key of the surrogates; a secret of the caller.
-KEY = "change-me"
+#: Draws by format alone; what clashes after them is told apart by its hash.
+ROUNDS = 6
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "госпожа")
 NEUTRAL = ("Dr", "Prof")
@@ -53,6 +57,7 @@ ACCENTED = "áàâäãçéèêëíîïñóôöõúùûü"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 SYLLABLES = ("ba", "ber", "dal", "den", "fo", "gar", "hol", "jan", "ka", "len", "mor", "nes", "ol", "per", "ros", "tav")
 CYRILLIC_SYLLABLES = ("ба", "вер", "дал", "зен", "ко", "лар", "мол", "не", "пав", "рос", "сем", "тол", "фед", "хар", "чер", "шал")
+SECRET_SIGNS = ("_", "-", "/", "+")
 TYPES = ("email", "name", "name_m", "name_f", "secret", "ip", "ssn", "phone", "card")
 
 
@@ -110,14 +115,15 @@ def _pick(pool: str, n: Column) -> Column:
     return F.substr(F.lit(pool), F.pmod(n, F.lit(len(pool))) + 1, F.lit(1))
 
 
-def _like(value: Column, h: Column) -> Column:
-    """value with each letter and digit drawn anew, of the same class, case and script."""
+def _like(value: Column, h: Column, signs: bool = False) -> Column:
+    """value with each letter and digit drawn anew, of the same class, case and script; if signs, those of secrets as well."""
 
     def one(c: Column, i: Column) -> Column:
         n, low = _draw(h, i), F.lower(c)
         drawn = (
             F.when(low.rlike("^[a-z]$"), _pick(LATIN, n)).when(c.rlike("^[0-9]$"), _pick("0123456789", n))
-            .when(low.rlike(r"^\p{IsCyrillic}$"), _pick(CYRILLIC, n)).when(low.rlike(r"^\p{IsLatin}$"), _pick(ACCENTED, n)).otherwise(c)
+            .when(low.rlike(r"^\p{IsCyrillic}$"), _pick(CYRILLIC, n)).when(low.rlike(r"^\p{IsLatin}$"), _pick(ACCENTED, n))
+            .when(c.isin(*SECRET_SIGNS) & F.lit(signs), _pick("".join(SECRET_SIGNS), n)).otherwise(c)
         )
         return F.when(c == low, drawn).otherwise(F.upper(drawn))
 
@@ -140,8 +146,8 @@ def _card(norm: Column, h: Column) -> Column:
     return F.concat(body, F.pmod(_luhn(norm) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
 
-def _name(kind: Column, norm: Column, h: Column) -> Column:
-    """A given name for each word but the last, a family name for the last, by gender and script."""
+def _name(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
+    """A given name for each word but the last, a family name for the last, by gender and script; a syllable longer in each round."""
     words = F.split(norm, " ")
 
     def one(w: Column, i: Column) -> Column:
@@ -149,8 +155,11 @@ def _name(kind: Column, norm: Column, h: Column) -> Column:
         last, cyrillic = i == F.size(words) - 1, w.rlike(r"\p{IsCyrillic}")
 
         def built(pool: tuple[str, ...], n: int, feminine: str, masculine: str, family: tuple[str, str]) -> Column:
-            parts = [F.get(F.array(*map(F.lit, pool)), F.pmod(_draw(own, F.lit(k)), F.lit(len(pool)))) for k in range(n + 2)]
-            given = F.concat(*parts[:n], F.when(kind == "name_f", feminine).when(kind == "name_m", masculine).otherwise("e" if feminine == "a" else "я"))
+            syllable = lambda k: F.get(F.array(*map(F.lit, pool)), F.pmod(_draw(own, k), F.lit(len(pool))))
+            parts = [syllable(F.lit(k)) for k in range(n + 2)]
+            more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: syllable(k + n + 1)), "")).otherwise("")
+            parts.insert(n, more)
+            given = F.concat(*parts[: n + 1], F.when(kind == "name_f", feminine).when(kind == "name_m", masculine).otherwise("e" if feminine == "a" else "я"))
             return F.initcap(F.when(last, F.concat(*parts, F.when(kind == "name_f", family[1]).otherwise(family[0]))).otherwise(given))
 
         return F.when(cyrillic, built(CYRILLIC_SYLLABLES, 2, "ана", "ий", ("ов", "ова"))).otherwise(built(SYLLABLES, 2, "a", "o", ("", "")))
@@ -163,14 +172,17 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
     # a name's words are drawn by word, so that a family name alone and in a full name agree
     by_word = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string")), 512)
+    # from the second round on an address or secret is longer
+    grown = lambda v, signs=False: F.concat(_like(v, h, signs), _like(F.repeat(F.lit("a"), 3 * attempt), F.reverse(h)))
     ip = F.concat_ws(".", *[(F.lit(240 if i == 0 else 1) + F.pmod(_draw(h, F.lit(i)), F.lit(15 if i == 0 else 254))).cast("string") for i in range(4)])
     local = F.substring_index(norm, "@", 1)
     host = F.regexp_extract(norm, r"@([^.]+)", 1)
     return (
-        F.when(kind == "email", F.concat(_like(local, h), F.lit("@"), _like(host, F.reverse(h)), F.lit(".example.com")))
-        .when(kind.startswith("name"), _name(kind, norm, by_word))
+        F.when(kind == "email", F.concat(grown(local), F.lit("@"), _like(host, F.reverse(h)), F.lit(".example.com")))
+        .when(kind.startswith("name"), _name(kind, norm, by_word, attempt))
         .when((kind == "secret") & norm.startswith("AKIA"), F.concat(F.lit("AKIA"), _like(F.substr(norm, F.lit(5)), h)))
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), F.left(F.repeat(h, 8), F.length(norm)))
+        .when(kind == "secret", grown(norm, True))
         .when(kind == "ip", ip)
         .when(kind == "card", _card(norm, h))
         .otherwise(_like(norm, h))
@@ -180,14 +192,15 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate as raw was written."""
     chars, digits = F.split(raw, ""), _digits(raw)
-    skip = F.greatest(F.length(digits) - F.length(surrogate), F.lit(0))
+    drawn_digits = F.regexp_extract(surrogate, "^[0-9]*", 0)
+    skip = F.greatest(F.length(digits) - F.length(drawn_digits), F.lit(0))
 
     def digit(c: Column, i: Column) -> Column:
         at = F.length(_digits(F.substr(raw, F.lit(1), i + 1))) - skip
-        return F.when(c.rlike("^[0-9]$") & (at > 0), F.substr(surrogate, at, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("^[0-9]$") & (at > 0), F.substr(drawn_digits, at, F.lit(1))).otherwise(c)
 
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(chars, digit), ""))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(chars, digit), ""), _after(surrogate, drawn_digits)))
         .when(kind == "secret", F.concat(_secret_lead(raw), surrogate))
         .when(kind.startswith("name"), F.concat(_title(raw), surrogate))
         .when((kind == "email") & (raw == F.upper(raw)), F.upper(surrogate))
@@ -195,35 +208,39 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) for the distinct entities (kind, norm): no clash with one another or with an entity."""
     settled = None
     known = entities.select("kind", F.lower("norm").alias("taken")).distinct()
-    waiting = entities.select("kind", "norm").withColumn("attempt", F.lit(0))
-    while True:
-        new = waiting.withColumn("surrogate", drawn(F.col("kind"), F.col("norm"), F.col("attempt"), key)).withColumn("taken", F.lower("surrogate"))
+    waiting = entities.select("kind", "norm")
+    for attempt in range(ROUNDS):
+        new = waiting.withColumn("surrogate", drawn(F.col("kind"), F.col("norm"), F.lit(attempt), key)).withColumn("taken", F.lower("surrogate"))
         all_ = new.withColumn("old", F.lit(1)) if settled is None else new.withColumn("old", F.lit(1)).unionByName(settled.withColumn("old", F.lit(0)))
         # of those that share a surrogate one stays: a settled one, else the least
         first = all_.groupBy("kind", "taken").agg(F.min(F.struct("old", "norm")).alias("first"))
         checked = all_.join(first, ["kind", "taken"]).join(known.withColumn("real", F.lit(True)), ["kind", "taken"], "left")
         ok = (F.col("first.norm") == F.col("norm")) & F.col("real").isNull()
-        checked = common.stored(checked.withColumn("ok", ok).select("kind", "norm", "attempt", "surrogate", "taken", "ok"), "pii_drawn")
-        settled = checked.where("ok").drop("ok")
-        waiting = checked.where("not ok").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        checked = common.stored(checked.withColumn("ok", ok).select("kind", "norm", "surrogate", "taken", "ok"), "pii_drawn")
+        settled, waiting = checked.where("ok").drop("ok"), checked.where("not ok").select("kind", "norm")
         if waiting.isEmpty():
-            return settled.select("kind", "norm", "surrogate")
+            break
+    last = F.left(F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm"), 256), F.lit(32))
+    rest = waiting.select("kind", "norm", F.concat(drawn(F.col("kind"), F.col("norm"), F.lit(0), key), F.lit("-"), last).alias("surrogate"))
+    return settled.select("kind", "norm", "surrogate").unionByName(rest)
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs as ``_row`` with new_text and n_entities."""
-    rows = common.packed(docs, _text=F.col("text"), _k=F.xxhash64("doc_id", "text"))
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs as ``_row`` with new_text and n_entities; key is the caller's secret."""
+    # a document's map is found by 128 bits of its id and text
+    rows = common.packed(docs, _text=F.col("text"), _k=F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7), "text", "doc_id").alias("b")))
     hinted = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
     found = F.regexp_extract_all(F.col("_text"), F.lit(ENTITY), F.lit(0))
     seen = common.stored(rows.where(hinted).select("_k", F.explode_outer(F.array_distinct(found)).alias("raw")).where("raw is not null"), "pii_found")
     raws = common.stored(seen.groupBy("raw").agg(F.count("*").alias("n")).select("raw", typed(F.col("raw")).alias("kind")).withColumn("norm", normal(F.col("kind"), F.col("raw"))), "pii_raws")
     drawn_ = surrogates(raws.select("kind", "norm").distinct(), key)
     shown = common.stored(raws.join(drawn_, ["kind", "norm"]).select("raw", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown")), "pii_shown")
-    maps = seen.join(shown, "raw").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("raw", "shown"))).alias("_map"))
+    # stored, so that the join is free to split rows that repeat
+    maps = common.stored(seen.join(shown, "raw").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("raw", "shown"))).alias("_map")), "pii_maps")
     kept = rows.where(~hinted).select("_row", F.col("_text").alias("new_text"), F.lit(0).cast("long").alias("n_entities"))
     joined = rows.where(hinted).join(maps, "_k", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), found))
     between = F.split(F.col("_text"), ENTITY, -1)

@@ -259,7 +259,7 @@ def luhn(s):
 def test_surrogates(spark):
     rows = [(1, PEOPLE, "en"), (2, OTHER, "en"), (3, OTHER + " again", None), (4, None, None), (5, "A clean text of 12 words, in 2024 at 10.30, costs 5 euros.", "en"), (6, "", None), (None, "mail a.b@c.org", None), (2, OTHER, "en")]
     df = docs(spark, rows)
-    out = [(r._row.doc_id, r._row.text, r.new_text, r.n_entities) for r in pii.replaced(df).collect()]
+    out = [(r._row.doc_id, r._row.text, r.new_text, r.n_entities) for r in pii.replaced(df, "key").collect()]
     got = {(d, t): n for d, t, n, _ in out}
     assert len(out) == len(rows) and got[4, None] is None and got[5, rows[4][1]] == rows[4][1] and got[6, ""] == ""
     people, other = got[1, PEOPLE], got[2, OTHER]
@@ -272,8 +272,8 @@ def test_surrogates(spark):
     assert m and m[1] == m[3] and m[2] == m[4] and m[5].replace(" ", "") == m[6] and luhn(m[6]) == 0 and m[6][0] == "4"
     assert m[9].lower() == m[10] and m[10] != m[11] and int(m[7].split(".")[0]) >= 240
     assert got[None, "mail a.b@c.org"] == f"mail {m[10]}"
-    again = {r._row.text: r.new_text for r in pii.replaced(df, key="other").collect()}
-    assert again[OTHER] != other and pii.replaced(docs(spark, [])).count() == 0
+    again = {r._row.text: r.new_text for r in pii.replaced(df, "other").collect()}
+    assert again[OTHER] != other and pii.replaced(docs(spark, []), "key").count() == 0
 
 
 def test_clashes_are_drawn_again(spark, monkeypatch):
@@ -281,10 +281,25 @@ def test_clashes_are_drawn_again(spark, monkeypatch):
     real = pii.drawn
     monkeypatch.setattr(pii, "drawn", lambda k, n, a, key: F.when((a == 0) | ((a == 1) & (n < "5")), F.lit("4000000000000002")).otherwise(real(k, n, a, key)))
     ents = spark.createDataFrame([("card", f"{i}" * 16) for i in range(1, 9)] + [("card", "4000000000000002")], "kind string, norm string")
-    got = {r.norm: r.surrogate for r in pii.surrogates(ents).collect()}
+    got = {r.norm: r.surrogate for r in pii.surrogates(ents, "key").collect()}
     assert len(got) == 9 and len(set(got.values())) == 9 and not set(got.values()) & set(got)
 
 
+def test_drawing_ends_whatever_the_entities(spark, monkeypatch):
+    texts = ["Password: __________ please", "_@-.com _@-.org a@b.c a@b.d", "token = //////////++", *(f"a@x{c}.de" for c in "abcdefghij"), *(f"{a}@b.com" for a in "abcdefghijklmnopqrstuvwxyz0123456789")]
+    out = {r._row.text: r.new_text for r in pii.replaced(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), "key").collect()}
+    assert len(set(out.values())) == len(texts) and not set(out) & set(out.values())
+    # more names than the first draw has, and one kind whose every draw is the same
+    names = spark.range(70_000).select(F.lit("name").alias("kind"), F.concat(F.lit("w"), F.col("id")).alias("norm"))
+    got = pii.surrogates(names, "key")
+    assert got.count() == got.select(F.lower("surrogate")).distinct().count() == 70_000
+    monkeypatch.setattr(pii, "drawn", lambda k, n, a, key: F.lit("4000000000000002"))
+    rows = [(r.norm, r.surrogate) for r in pii.surrogates(spark.createDataFrame([("card", f"{i}" * 16) for i in range(10)], "kind string, norm string"), "key").collect()]
+    assert len({s for _, s in rows}) == 10 and all(s.startswith("4000000000000002") for _, s in rows)
+    shown = spark.createDataFrame([("card", "1111 1111 1111 1111", max(s for _, s in rows))], "kind string, raw string, s string").select(pii.rendered(F.col("kind"), F.col("raw"), F.col("s"))).first()[0]
+    assert re.fullmatch("4000 0000 0000 0002-[0-9a-f]{32}", shown)
+
+
 def test_digest_of_ids():
     ids = LIBRARY.encode("hello", add_special_tokens=False).ids
     assert hashlib.sha256(ENCODER.encode("hello")).hexdigest() == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
