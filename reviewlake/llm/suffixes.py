@@ -3,22 +3,26 @@
 A text is its words (A-Z lower-cased). Of each window of ``MIN_WORDS - K + 1`` runs of K
 words, those with the least hash are kept, so that any passage of MIN_WORDS words that two
 documents share has a kept position in both, chosen by its content alone. The suffixes at
-kept positions whose run occurs elsewhere are sorted by run, then by the words to the
-right, then by those to the left; each is compared with its neighbours in that order and
+kept positions whose run occurs in another document are sorted by run, then by the words to
+the right, then by those to the left; each is compared with its neighbours in that order and
 the match extended to both sides. Matches of at least MIN_WORDS words with another
 document are reported, those that overlap within a document as one span.
 
+Two suffixes with as many words to the right and others between them are no neighbours, so
+comparison alone could miss a match. Where the suffixes of a run differ, each also gives the
+hashes of the windows of MIN_WORDS words around its run, and windows that two documents
+have are matches as well. Those meet by hash, with partial sums, so any number of documents
+may hold one. Together they find all words that brute force over windows of MIN_WORDS finds.
+
 The sort is a range partitioning by the whole suffix and the document, so one very common
-run is spread over partitions; only the few rows at the edges of partitions meet in a
-second small step. Words are compared by 16-bit hashes to the sides of a run, which is
-itself compared by 64 bits: an end may lie a word too far where two such hashes agree by
-chance (one comparison in 65,536). A suffix is compared with the nearest of ``NEAR`` other documents
-on each side: a match may be missed if that many lie between with as many words to the
-right and fewer to the left.
+run is spread over partitions. A batch of rows is compared by itself: what lies across the edge
+of a batch or a partition is found by its windows, so nothing is carried from batch to batch.
+Runs and windows are compared by 64-bit hashes, single words by ``WORD`` bytes of theirs.
 
 Defined cases: null and short texts have no spans; rows without doc_id are left out; rows
-that share a doc_id are one document, so their copies do not count; other columns are not
-read.
+that share a doc_id are one document, so their copies do not count; a passage that repeats
+within one document alone is no match; of several other documents that hold a span the
+least that was met is named; texts are taken whole, however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +39,13 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 50
-K = 12
+K = 31
 SIDE = MIN_WORDS - K
-NEAR = 3
-#: Rows on each side of a partition's edge that are compared across it.
-EDGE = 32
-SUFFIX = "anchor long, right binary, left binary, doc_id long, pos int"
-FOUND = "doc_id long, start int, end int, other_doc long, anchor long, right binary, left binary, pos int"
-FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+#: Bytes of a word's hash beside a run.
+WORD = 5
+SUFFIX = "anchor long, right binary, left binary, doc_id {id}, pos int"
+#: Matches (anchor is null), and windows: of the one document doc_id at pos, or of several from lo to hi.
+FOUND = "doc_id {id}, pos int, start int, end int, other_doc {id}, anchor long, l int, w long, lo {id}, hi {id}"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -79,8 +82,12 @@ def kept_positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), run[at].view(np.int64)
 
 
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, pos, anchor) for each text: 16-bit word hashes, kept positions, hashes of their runs."""
+    """(doc_id, words, pos, anchor) for each text: short word hashes, kept positions, hashes of their runs."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -88,12 +95,13 @@ def sequences(docs: DataFrame) -> DataFrame:
             for text in texts:
                 h = word_hashes(text)
                 pos, anchor = kept_positions(h)
-                words = np.maximum(h >> np.uint64(48), np.uint64(1)).astype(">u2").tobytes() if len(pos) else b""
+                # no word is all zeros, which stand before and behind a text
+                words = np.maximum(h >> np.uint64(64 - 8 * WORD), np.uint64(1)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD :].tobytes() if len(pos) else b""
                 rows.append((words, pos, anchor))
             yield pd.DataFrame(rows, columns=["words", "pos", "anchor"])
 
     made = F.pandas_udf(run, "words binary, pos array<int>, anchor array<long>")
-    found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col("text")).alias("s")).select("doc_id", "s.*")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", made(F.col("text")).alias("s")).select("doc_id", "s.*").where(F.size("pos") > 0)
     return common.stored(found, "suffix_words")
 
 
@@ -102,151 +110,143 @@ def suffixes(found: DataFrame) -> DataFrame:
     anchors = found.select("doc_id", F.explode(F.arrays_zip("pos", "anchor")).alias("a")).select("doc_id", "a.pos", "a.anchor")
     # stored, so that the join is free to split a hot anchor, which a sum in the same stage would not let it
     shared = common.stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "suffix_anchors")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("at"))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"))
     rows = found.select("doc_id", "words").join(wanted, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = np.arange(SIDE)
+        for part in (batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64)):
+            for doc_id, words, pos, anchor in zip(part.column("doc_id"), part.column("words"), part.column("pos"), part.column("anchor"), strict=True):
+                x = np.frombuffer(words.as_py(), f"V{WORD}")
+                x = np.concatenate([np.zeros(SIDE, x.dtype), x, np.zeros(SIDE + K, x.dtype)])
+                places = pos.values.to_numpy()
+                for at in range(0, len(places), 4096):
+                    p = places[at : at + 4096].astype(np.int64) + SIDE
+                    right, left = x[(p + K)[:, None] + around], x[(p - 1)[:, None] - around]
+                    binary = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE * WORD), len(m), [None, pa.py_buffer(m.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([anchor.values.slice(at, len(p)), binary(right), binary(left), pa.array([doc_id.as_py()] * len(p), doc_id.type), pa.array(places[at : at + 4096])], names=["anchor", "right", "left", "doc_id", "pos"])
+
+    return rows.mapInArrow(cut, SUFFIX.format(id=_id_type(found)))
+
+
+def _words_of(column: pa.Array) -> np.ndarray:
+    """rows x SIDE word hashes."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIDE, WORD)
+    out = np.zeros((len(data), SIDE), np.uint64)
+    for i in range(WORD):
+        out = out << np.uint64(8) | data[:, :, i]
+    return out
+
+
+def _lead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words of a and b agree from the first on."""
+    same = (a == b) & (a != 0)
+    return np.where(same.all(1), SIDE, (~same).argmax(1)).astype(np.int32)
+
+
+def _sums(x: np.ndarray, odd: int) -> np.ndarray:
+    """Hashes of the first 0 to SIDE words of each row."""
+    out = np.zeros((len(x), SIDE + 1), np.uint64)
+    for i in range(SIDE):
+        h = (out[:, i] ^ x[:, i]) * np.uint64(odd)
+        out[:, i + 1] = h ^ (h >> np.uint64(31))
+    return out
+
+
+def _compared(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Matches of sorted rows with their neighbours, and the windows of those that differ."""
+    n = batch.num_rows
+    anchor, pos = batch.column("anchor").to_numpy(), batch.column("pos").to_numpy()
+    doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    right, left = _words_of(batch.column("right")), _words_of(batch.column("left"))
+    new_run = np.r_[True, anchor[1:] != anchor[:-1]]
+    new = new_run | np.r_[True, (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)]
+    starts = np.flatnonzero(new)
+    ends = np.r_[starts[1:], n] - 1
+    which = np.cumsum(new) - 1
+    lo, hi = doc[starts], doc[ends]  # equal suffixes are in order of document
+    several = lo != hi
+    n_left, n_right = (left != 0).sum(1).astype(np.int32), (right != 0).sum(1).astype(np.int32)
+    # equal suffixes of several documents match in all their words
+    best_l, best_r = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    other = lo[which].copy()
+    full = several[which]
+    best_l[full], best_r[full] = n_left[full], n_right[full]
+    mine = other == doc
+    other[mine] = hi[which][mine]
+    # the others are compared with the rows on both sides
+    for step, near in ((-1, starts[which] - 1), (1, ends[which] + 1)):
+        at = np.flatnonzero(~full & (near >= 0) & (near < n))
+        to = near[at]
+        ok = (anchor[at] == anchor[to]) & (doc[at] != doc[to])
+        at, to = at[ok], to[ok]
+        if len(at):
+            l, r = _lead(left[at], left[to]), _lead(right[at], right[to])
+            better = l + r > best_l[at] + best_r[at]
+            i = at[better]
+            best_l[i], best_r[i], other[i] = l[better], r[better], doc[to[better]]
+    at = np.flatnonzero(K + best_l + best_r >= MIN_WORDS)
+    yield {"doc_id": doc[at], "pos": pos[at], "start": pos[at] - best_l[at], "end": pos[at] + K + best_r[at], "other_doc": other[at]}
+    # a run of one suffix alone, which ends within these rows, has no other windows to meet
+    run = np.cumsum(new_run) - 1
+    kinds = np.bincount(run[starts])
+    open_run = (kinds > 1)[run]
+    open_run |= (run == 0) | (run == run[-1])
+    give = np.flatnonzero(open_run & (~full | new))
+    if not len(give):
+        return
+    ls, rs = _sums(left[give], 0x9E3779B97F4A7C15), _sums(right[give], 0xC2B2AE3D27D4EB4F)
+    for l in range(SIDE + 1):
+        r = SIDE - l
+        ok = np.flatnonzero((n_left[give] >= l) & (n_right[give] >= r))
+        if len(ok):
+            i = give[ok]
+            w = ((ls[ok, l] * np.uint64(0xFF51AFD7ED558CCD)) ^ rs[ok, r]).view(np.int64)
+            yield {"doc_id": doc[i], "pos": pos[i], "anchor": anchor[i], "l": np.full(len(i), l, np.int32), "w": w, "lo": lo[which[i]], "hi": hi[which[i]], "none": full[i]}
+
+
+def _neighbours(id_type: str):
+    """A step over sorted suffixes that gives rows of ``FOUND``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, right, left, doc, place = [], [], [], [], []
-            for doc_id, words, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.concatenate([np.zeros(SIDE, ">u2"), np.frombuffer(words, ">u2"), np.zeros(SIDE + K, ">u2")])
-                for one in at.as_py():
-                    p = one["pos"] + SIDE
-                    anchor.append(one["anchor"])
-                    right.append(x[p + K : p + K + SIDE].tobytes())
-                    left.append(x[p - SIDE : p][::-1].tobytes())
-                    doc.append(doc_id)
-                    place.append(one["pos"])
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "right": pa.array(right, pa.binary()), "left": pa.array(left, pa.binary()), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(place, pa.int32())})
-
-    return rows.mapInArrow(cut, SUFFIX)
-
-
-class _Rows:
-    """Suffixes in order with the best match of each so far."""
-
-    def __init__(self, anchor, right, left, doc, pos):
-        self.anchor, self.right, self.left, self.doc, self.pos = anchor, right, left, doc, pos
-        n = len(anchor)
-        self.total, self.l, self.r, self.other = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, -1, np.int64)
-
-    @classmethod
-    def of(cls, t: pa.RecordBatch | pa.Table) -> _Rows:
-        def words(name: str) -> np.ndarray:
-            return np.frombuffer(b"".join(t.column(name).to_pylist()), ">u2").reshape(-1, SIDE)
-
-        return cls(t.column("anchor").to_numpy(), words("right"), words("left"), t.column("doc_id").to_numpy(), t.column("pos").to_numpy())
-
-    def __len__(self) -> int:
-        return len(self.anchor)
-
-    def part(self, a: int, b: int) -> _Rows:
-        out = object.__new__(_Rows)
-        out.__dict__ = {k: v[a:b] for k, v in self.__dict__.items()}
-        return out
-
-    def plus(self, other: _Rows) -> _Rows:
-        out = object.__new__(_Rows)
-        out.__dict__ = {k: np.concatenate([v, other.__dict__[k]]) for k, v in self.__dict__.items()}
-        return out
-
-    def _runs(self) -> np.ndarray:
-        """Where a run of rows of one document begins."""
-        return np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]])
-
-    def held_from(self) -> int:
-        """First row of the last NEAR runs: what rows still to come are compared with."""
-        starts = self._runs()
-        return int(starts[-NEAR]) if len(starts) > NEAR else 0
-
-    def compare(self) -> None:
-        """Each row with the nearest rows of up to NEAR other runs on each side."""
-
-        def lead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            same = (a == b) & (a != 0)
-            return np.where(same.all(1), SIDE, (~same).argmax(1)).astype(np.int32)
-
-        n, starts = len(self), self._runs()
-        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
-        edges = np.r_[starts, n]
-        for s in range(1, NEAR + 1):
-            # the last row of the run s before, the first row of the run s after
-            for near in (np.where(run >= s, edges[np.maximum(run - s + 1, 0)] - 1, -1), np.where(run + s < len(starts), edges[np.minimum(run + s, len(starts))], -1)):
-                mine = np.flatnonzero(near >= 0)
-                other = near[mine]
-                ok = (self.anchor[mine] == self.anchor[other]) & (self.doc[mine] != self.doc[other])
-                mine, other = mine[ok], other[ok]
-                if not len(mine):
-                    continue
-                r, l = lead(self.right[mine], self.right[other]), lead(self.left[mine], self.left[other])
-                better = K + r + l > self.total[mine]
-                i = mine[better]
-                self.total[i], self.r[i], self.l[i], self.other[i] = (K + r + l)[better], r[better], l[better], self.doc[other[better]]
-
-    def matches(self) -> pa.RecordBatch:
-        at = np.flatnonzero(self.total >= MIN_WORDS)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(self.doc[at], pa.int64()), "start": pa.array(self.pos[at] - self.l[at], pa.int32()), "end": pa.array(self.pos[at] + K + self.r[at], pa.int32()), "other_doc": pa.array(self.other[at], pa.int64())})
-
-
-def _found(rows: _Rows) -> pa.RecordBatch:
-    """Matches in the schema of ``FOUND``."""
-    m = rows.matches()
-    none = lambda t: pa.nulls(m.num_rows, t)
-    return pa.RecordBatch.from_arrays([*m.columns, none(pa.int64()), none(pa.binary()), none(pa.binary()), none(pa.int32())], names=FOUND_NAMES)
-
-
-def _edge(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows at a partition's edge in the schema of ``FOUND``."""
-    none = lambda t: pa.nulls(batch.num_rows, t)
-    c = batch.column
-    return pa.RecordBatch.from_arrays([c("doc_id"), none(pa.int32()), none(pa.int32()), none(pa.int64()), c("anchor"), c("right"), c("left"), c("pos")], names=FOUND_NAMES)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of a sorted partition, with its first and last EDGE rows."""
-    held, n, last = None, 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = _Rows.of(batch)
-        rows = new if held is None else held.plus(new)
-        rows.compare()
-        end = rows.held_from()
-        yield _found(rows.part(0, end))
-        held = rows.part(end, len(rows))
-        if n < EDGE:
-            head = batch.slice(0, EDGE - n)
-            n += head.num_rows
-            yield _edge(head)
-            batch = batch.slice(head.num_rows)
-        if batch.num_rows:
-            tail = batch.slice(max(0, batch.num_rows - EDGE))
-            last = pa.Table.from_batches([tail] if last is None else [*last.to_batches(), tail])
-            last = last.slice(max(0, last.num_rows - EDGE)).combine_chunks()
-    if held is not None:
-        yield _found(held)
-    if last is not None:
-        yield from map(_edge, last.to_batches())
+            if not batch.num_rows:
+                continue
+            ids = batch.schema.field("doc_id").type
+            types = {"doc_id": ids, "pos": pa.int32(), "start": pa.int32(), "end": pa.int32(), "other_doc": ids, "anchor": pa.int64(), "l": pa.int32(), "w": pa.int64(), "lo": ids, "hi": ids}
+            for part in (batch.slice(at, 16384) for at in range(0, batch.num_rows, 16384)):
+                for rows in _compared(part):
+                    none, size = rows.pop("none", None), len(rows["doc_id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(size, t) if rows.get(c) is None else pa.array(rows[c], t, mask=none if c in ("doc_id", "pos") else None) for c, t in types.items()], names=list(types)
+                    )
+
+    return run
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, other_doc): word spans that another document has too."""
+    """(doc_id, start, end, other_doc): word spans that another document has too, one for each kept position."""
     order = ["anchor", "right", "left", "doc_id", "pos"]
     rows = common.stored(suffixes(sequences(docs)), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = common.stored(ordered.mapInArrow(_neighbours, FOUND), "suffix_matches")
-    # a few rows of each partition's edges: their number follows that of partitions, not of documents
-    edges = found.where("anchor is not null").select("anchor", "right", "left", "doc_id", "pos").repartition(1).sortWithinPartitions(*order)
-    across = edges.mapInArrow(_neighbours, FOUND)
-    return found.unionByName(across).where("anchor is null").select("doc_id", "start", "end", "other_doc")
+    ids = _id_type(docs)
+    found = common.stored(ordered.mapInArrow(_neighbours(ids), FOUND.format(id=ids)), "suffix_matches")
+    windows = found.where("anchor is not null").select("anchor", "l", "w", "doc_id", "pos", "lo", "hi")
+    held = windows.groupBy("anchor", "l", "w").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
+    held = common.stored(held, "suffix_windows")
+    of_one = windows.where("doc_id is not null").select("anchor", "l", "w", "doc_id", "pos").join(held, ["anchor", "l", "w"])
+    by_window = of_one.select("doc_id", "pos", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") - F.col("l") + MIN_WORDS).alias("end"), F.when(F.col("least") == F.col("doc_id"), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
+    both = found.where("anchor is null").select("doc_id", "pos", "start", "end", "other_doc").unionByName(by_window)
+    # all matches at one kept position hold its run, so they are one
+    return both.groupBy("doc_id", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_doc").alias("other_doc")).drop("pos")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, other_doc): matches that overlap are one span; words are counted from 0, end is outside."""
     own = Window.partitionBy("doc_id").orderBy("start", "end", "other_doc")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    found = matches(docs).distinct()
+    found = matches(docs)
     marked = found.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("span", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_doc").alias("other_doc"))
     return merged.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "other_doc")
