@@ -5,13 +5,16 @@ space to one space, lower case, split by a pattern, bytes as letters, and an end
 suffix. The driver reads the file (its size is fixed) and broadcasts it; documents are
 encoded where they lie, without a shuffle.
 
-Each short word is a list of part ids (a boundary before each) and the list of ranks of
-adjacent parts. The least rank is sought by a scan; its boundary goes, and the ranks on
-both sides are looked up again. Words of more than ``LONG`` bytes, where scans would cost
-the square of the length, use the same order of merges through a heap.
+Each short word is a row of part ids (a boundary before each) and a row of ranks of
+adjacent parts. The least rank is sought by a scan, of equal ones the first; its boundary goes,
+and the ranks on both sides are looked up again. The distinct words of some texts that a worker
+doesn't remember are taken through this together, as matrices of like length. Words of more than
+``LONG`` bytes, where scans would cost the square of the length, use the same order of
+merges through a heap.
 
 Defined cases: a null text is empty and has no tokens; the strings of special tokens in a
-text are those tokens, as the library has it; repeated rows are encoded each.
+text are those tokens, as the library has it; repeated rows are encoded each; a long text is
+encoded in pieces between words.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,13 @@ from . import common
 
 LONG = 64
 NONE = 1 << 60
-#: Words and chunks that a worker remembers, in each of two generations.
-REMEMBERED = 80_000
+#: Chunks of text that a worker remembers, in each of two generations.
+REMEMBERED = 50_000
+#: Characters that are encoded at a time, about.
+PIECE = 1 << 20
+#: Words go through the merges with others of at most so many bytes.
+WIDTHS = (4, 6, 8, 10, 13, 17, 24, 36, LONG)
+WIDTH_OF = [next(w for w in WIDTHS if w >= n) for n in range(LONG + 1)]
 #: Unicode's white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]+")
@@ -97,20 +106,47 @@ class Vocabulary:
         return cls(tokens, [vocab[c] for c in letters], [vocab[c + end] for c in letters], ranks, merged, splits[0], special)
 
 
-def merge_short(parts: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
-    near = [ranks.get(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]
-    while near:
-        least = min(near)
-        if least == NONE:
-            break
-        i = near.index(least)
-        parts[i] = merged[least]
-        del parts[i + 1], near[i]
-        if i < len(near):
-            near[i] = ranks.get(parts[i] << 20 | parts[i + 1], NONE)
-        if i:
-            near[i - 1] = ranks.get(parts[i - 1] << 20 | parts[i], NONE)
-    return parts
+class Ranks:
+    """Ranks of pairs of ids for whole arrays."""
+
+    def __init__(self, ranks: dict[int, int]):
+        keys = np.fromiter(ranks, np.int64, len(ranks))
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], np.int64(NONE)), np.append(np.fromiter(ranks.values(), np.int64, len(ranks))[order], NONE)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """NONE where a and b don't merge, or one of them is no part (-1)."""
+        key = np.where((a < 0) | (b < 0), -1, a << 20 | b)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+
+def merge_short(parts: np.ndarray, ranks: Ranks, merged: np.ndarray) -> np.ndarray:
+    """The merged parts of each row of a matrix of part ids; behind a row's last part stands -1."""
+    out = np.full_like(parts, -1)
+    rows = np.arange(len(parts))
+    near = ranks.of(parts[:, :-1], parts[:, 1:])
+    while near.shape[1]:
+        at = near.argmin(1)
+        least = near[np.arange(len(near)), at]
+        done = least == NONE
+        if done.any():
+            out[rows[done], : parts.shape[1]] = parts[done]
+            rows, parts, near, at, least = (x[~done] for x in (rows, parts, near, at, least))
+        if not len(rows):
+            return out
+        i = np.arange(len(rows))
+        parts[i, at] = merged[least]
+        # the boundary goes, and with it the rank across it
+        parts = np.take_along_axis(parts, (c := np.arange(parts.shape[1] - 1)) + (c > at[:, None]), 1)
+        near = np.take_along_axis(near, (c := np.arange(near.shape[1] - 1)) + (c >= at[:, None]), 1)
+        if near.shape[1]:
+            right = np.flatnonzero(at < near.shape[1])
+            near[right, at[right]] = ranks.of(parts[right, at[right]], parts[right, at[right] + 1])
+            left = np.flatnonzero(at > 0)
+            near[left, at[left] - 1] = ranks.of(parts[left, at[left] - 1], parts[left, at[left]])
+    out[rows, : parts.shape[1]] = parts
+    return out
 
 
 def merge_long(parts: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
@@ -138,77 +174,109 @@ def merge_long(parts: list[int], ranks: dict[int, int], merged: list[int]) -> li
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.ranks, self.merged = Ranks(vocabulary.ranks), np.array(vocabulary.merged, np.int64)
+        self.first, self.last = np.array(vocabulary.first, np.int64), np.array(vocabulary.last, np.int64)
         self.find = split_pattern(vocabulary.pattern).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.marks = tuple(vocabulary.special)
-        self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
-        self.old_words: dict[str, list[int]] = {}
-        self.old_chunks: dict[str, bytes] = {}
-
-    def word(self, w: str) -> list[int]:
-        found = self.words.get(w)
-        if found is None:
-            found = self.old_words.get(w)
-            if found is None:
-                data = w.encode("utf-8", "replace")
-                first = self.v.first
-                parts = [first[b] for b in data]
+        self.old: dict[str, bytes] = {}
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each of the distinct words."""
+        out, by_width = {}, {w: [] for w in WIDTHS}
+        for w in words:
+            data = w.encode("utf-8", "replace")
+            if len(data) > LONG:
+                parts = [self.v.first[b] for b in data]
                 parts[-1] = self.v.last[data[-1]]
-                found = (merge_short if len(parts) <= LONG else merge_long)(parts, self.v.ranks, self.v.merged)
-            if len(self.words) >= REMEMBERED:
-                self.old_words, self.words = self.words, {}
-            if len(w) <= LONG:
-                self.words[w] = found
-        return found
-
-    def chunk(self, c: str) -> bytes:
-        """Ids of a run without white space."""
-        found = self.old_chunks.get(c)
-        if found is None:
-            ids: list[int] = []
-            for w in self.find(c):
-                ids += self.word(w)
-            found = np.array(ids, "<u4").tobytes()
-        if len(self.chunks) >= REMEMBERED:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(c) <= LONG:
-            self.chunks[c] = found
-        return found
-
-    def plain(self, text: str) -> bytes:
-        text = WHITE.sub(" ", unicodedata.normalize("NFC", text))
-        # one character at a time: no final form of sigma
-        text = text.replace("Σ", "σ").lower()
-        out = []
-        for c in text.split(" "):
-            found = self.chunks.get(c)
-            out.append(self.chunk(c) if found is None else found)
-        return b"".join(out)
+                out[w] = np.array(merge_long(parts, self.v.ranks, self.v.merged), "<u4").tobytes()
+            else:
+                by_width[WIDTH_OF[len(data)]].append((w, data))
+        for width, some in by_width.items():
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                n = np.array([len(d) for _, d in part])
+                data = np.frombuffer(b"".join(d.ljust(width, b"\0") for _, d in part), np.uint8).reshape(-1, width)
+                parts = np.where(np.arange(width) < n[:, None], self.first[data], -1)
+                i = np.arange(len(part))
+                parts[i, n - 1] = self.last[data[i, n - 1]]
+                ids = merge_short(parts, self.ranks, self.merged)
+                sizes = ((ids >= 0).sum(1) * 4).tolist()
+                whole = ids.astype("<u4").tobytes()
+                for k, ((w, _), size) in enumerate(zip(part, sizes, strict=True)):
+                    out[w] = whole[k * width * 4 : k * width * 4 + size]
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of these chunks (runs without a space)."""
+        again = chunks & self.old.keys()
+        self.chunks.update((c, self.old[c]) for c in again)
+        new = list(chunks - again)
+        split = list(map(self.find, new))
+        known = self.words(list(set(chain.from_iterable(split))))
+        self.chunks.update((c, known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))) for c, ws in zip(new, split, strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str] | bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            self.learn(set().union(*(x for _, x in waiting if isinstance(x, list))) - self.chunks.keys())
+            for i, x in waiting:
+                out[i].append(x if isinstance(x, bytes) else b"".join(map(self.chunks.__getitem__, x)))
+            waiting.clear()
+            if len(self.chunks) > REMEMBERED:
+                self.old, self.chunks = {c: x for c, x in self.chunks.items() if len(c) <= LONG}, {}
+
+        for i, text in enumerate(texts):
+            for part in self.pieces(text or ""):
+                waiting.append((i, part))
+                size += len(part)
+                if size > PIECE // 4:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+    def pieces(self, text: str) -> Iterator[list[str] | bytes]:
+        """The text as lists of chunks, and the ids of special tokens between them."""
+        special = self.cut is not None and any(m in text for m in self.marks)
+        for part in self.cut(text) if special else [text]:
+            if special and part in self.v.special:
+                yield np.array([self.v.special[part]], "<u4").tobytes()
+                continue
+            part = WHITE.sub(" ", unicodedata.normalize("NFC", part))
+            # one character at a time: no final form of sigma
+            part = part.replace("Σ", "σ").lower()
+            at = 0
+            while at < len(part):
+                end = part.find(" ", at + PIECE)
+                yield part[at : end if end >= 0 else len(part)].split(" ")
+                at = end + 1 if end >= 0 else len(part)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not any(m in text for m in self.marks):
-            return self.plain(text)
-        return b"".join(np.array([self.v.special[p]], "<u4").tobytes() if p in self.v.special else self.plain(p) for p in self.cut(text) if p)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings with a space between, as the library has it for a file without decoder."""
         return " ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    """One for each worker and vocabulary, so that what it remembers outlives a task."""
-    if id(shared) not in _ENCODERS:
+def _encoder(shared: Broadcast, path: str) -> Encoder:
+    """One for each worker and vocabulary file, so that what it remembers outlives a task."""
+    if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[id(shared)] = Encoder(shared.value)
-    return _ENCODERS[id(shared)]
+        _ENCODERS[path] = Encoder(shared.value)
+    return _ENCODERS[path]
 
 
-def _broadcast(path: str):
+def _broadcast(path: str) -> Broadcast:
     return SparkContext._active_spark_context.broadcast(Vocabulary.load(path))
 
 
@@ -217,9 +285,9 @@ def encoded(text: Column, path: str) -> Column:
     shared = _broadcast(path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, path)
         for texts in batches:
-            yield pd.Series([encoder.encode(t or "") for t in texts], dtype=object)
+            yield pd.Series(encoder.encode_all(texts.tolist()), dtype=object)
 
     return F.pandas_udf(run, "binary")(text)
 
@@ -228,7 +296,7 @@ def decoded(ids: Column, path: str) -> Column:
     shared = _broadcast(path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, path)
         for batch in batches:
             yield pd.Series([encoder.decode(x or b"") for x in batch], dtype=object)
 
@@ -240,9 +308,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     shared = _broadcast(path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, path)
         for texts in batches:
-            ids = [encoder.encode(t or "") for t in texts]
+            ids = encoder.encode_all(texts.tolist())
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [encoder.decode(x) for x in ids]})
 
     both = F.pandas_udf(run, "n_tokens long, ids binary, decoded string")

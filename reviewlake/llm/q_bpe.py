@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common
 
 #: Where the vocabulary file lies; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

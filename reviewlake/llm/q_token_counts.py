@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common, token_counts
 
-VERSION, VOCABULARY = "byte_bpe_50k", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VERSION, VOCABULARY = "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

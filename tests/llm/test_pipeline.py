@@ -1,3 +1,5 @@
+import public_tokenizers
+
 import corpus_pipeline
 from reviewlake.llm import bpe, decontam, line_dedup, quality, simhash
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -34,7 +36,7 @@ def test_run_matches_plain_code(spark, tmp_path):
     label = brute_components({d: brute_fingerprint(t) for d, t in texts.items()})
     texts = {d: t for d, t in texts.items() if label[d] == d and item not in t.lower()}
     assert set(got) == set(texts) and 5 in got and 74 not in got and not {71, 72, 73} & set(got)
-    encoder = bpe.Encoder(bpe.Vocabulary.load("/opt/tokenizers/word_bpe_49k.json"))
+    encoder = bpe.Encoder(bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
     assert all(bytes(got[d].ids) == encoder.encode(t) for d, t in texts.items())
 
 

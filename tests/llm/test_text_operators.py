@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import regex
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 from reviewlake.llm import bpe, decontam, lang_id, line_dedup, pii, q_decontam, q_line_dedup, quality
 from reviewlake.llm.cuckoo import CuckooFilter
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ENCODER, LIBRARY = bpe.Encoder(bpe.Vocabulary.load(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
 DOCS = "doc_id long, text string, lang string, source string, n_lines string, h1 string, kept string, cls int, found string, hash string, raw string"
 
