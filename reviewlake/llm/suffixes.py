@@ -17,7 +17,10 @@ may hold one. Together they find all words that brute force over windows of MIN_
 The sort is a range partitioning by the whole suffix and the document, so one very common
 run is spread over partitions. A batch of rows is compared by itself: what lies across the edge
 of a batch or a partition is found by its windows, so nothing is carried from batch to batch.
-Runs and windows are compared by 64-bit hashes, single words by ``WORD`` bytes of theirs.
+Runs and windows are compared by 64-bit hashes, single words beside a run by 32 bits of theirs.
+
+Texts of equal words are one: the least document of such a group is searched, and the others
+are spans as a whole.
 
 Defined cases: null and short texts have no spans; rows without doc_id are left out; rows
 that share a doc_id are one document, so their copies do not count; a passage that repeats
@@ -42,7 +45,7 @@ MIN_WORDS = 50
 K = 31
 SIDE = MIN_WORDS - K
 #: Bytes of a word's hash beside a run.
-WORD = 5
+WORD = 4
 SUFFIX = "anchor long, right binary, left binary, doc_id {id}, pos int"
 #: Matches (anchor is null), and windows: of the one document doc_id at pos, or of several from lo to hi.
 FOUND = "doc_id {id}, pos int, start int, end int, other_doc {id}, anchor long, l int, w long, lo {id}, hi {id}"
@@ -64,16 +67,32 @@ def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(29)) ^ b
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _run_hashes(h: np.ndarray) -> np.ndarray:
+    """The hash of each run of K words, from those of its halves."""
+    power, have, done, out = h, 1, 0, None
+    while True:
+        if K & have:
+            out = power if out is None else _joined(out[: len(h) - K + 1], power[done : done + len(h) - K + 1])
+            done += have
+        if done == K:
+            return out[: len(h) - K + 1]
+        power = _joined(power[:-have], power[have:])
+        have *= 2
+
+
 def kept_positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kept positions and the hashes of their runs of K words."""
     n = len(h) - K + 1
     width = MIN_WORDS - K + 1
     if n < width:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    run = np.zeros(n, np.uint64)
-    for i in range(K):
-        run = (run ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        run ^= run >> np.uint64(29)
+    run = _run_hashes(h)
     least = _sliding(run, width, np.minimum)
     # kept: those equal to the least of one of the windows they are in
     pad = np.zeros(width - 1, np.uint64)
@@ -87,7 +106,7 @@ def _id_type(docs: DataFrame) -> str:
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, pos, anchor) for each text: short word hashes, kept positions, hashes of their runs."""
+    """(doc_id, n, whole, words, pos, anchor) for each text: words, hash of them all, short word hashes, kept positions, hashes of their runs."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -97,10 +116,10 @@ def sequences(docs: DataFrame) -> DataFrame:
                 pos, anchor = kept_positions(h)
                 # no word is all zeros, which stand before and behind a text
                 words = np.maximum(h >> np.uint64(64 - 8 * WORD), np.uint64(1)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD :].tobytes() if len(pos) else b""
-                rows.append((words, pos, anchor))
-            yield pd.DataFrame(rows, columns=["words", "pos", "anchor"])
+                rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), words, pos, anchor))
+            yield pd.DataFrame(rows, columns=["n", "whole", "words", "pos", "anchor"])
 
-    made = F.pandas_udf(run, "words binary, pos array<int>, anchor array<long>")
+    made = F.pandas_udf(run, "n int, whole binary, words binary, pos array<int>, anchor array<long>")
     found = docs.where("doc_id is not null and text is not null").select("doc_id", made(F.col("text")).alias("s")).select("doc_id", "s.*").where(F.size("pos") > 0)
     return common.stored(found, "suffix_words")
 
@@ -225,9 +244,14 @@ def _neighbours(id_type: str):
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, other_doc): word spans that another document has too, one for each kept position."""
+    """(doc_id, start, end, other_doc): word spans that another document has too, for each kept position and each copy as a whole."""
     order = ["anchor", "right", "left", "doc_id", "pos"]
-    rows = common.stored(suffixes(sequences(docs)), "suffixes")
+    texts = sequences(docs)
+    # stored, so that the join is free to split a large group of copies
+    groups = texts.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = common.stored(texts.select("doc_id", "n", "whole").join(common.stored(groups, "suffix_copies"), "whole").select("doc_id", "n", "least", "most"), "suffix_whole")
+    later = copies.where("doc_id <> least").select("doc_id").distinct()
+    rows = common.stored(suffixes(texts.join(later, "doc_id", "left_anti").select("doc_id", "words", "pos", "anchor")), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ids = _id_type(docs)
@@ -239,14 +263,16 @@ def matches(docs: DataFrame) -> DataFrame:
     by_window = of_one.select("doc_id", "pos", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") - F.col("l") + MIN_WORDS).alias("end"), F.when(F.col("least") == F.col("doc_id"), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
     both = found.where("anchor is null").select("doc_id", "pos", "start", "end", "other_doc").unionByName(by_window)
     # all matches at one kept position hold its run, so they are one
-    return both.groupBy("doc_id", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_doc").alias("other_doc")).drop("pos")
+    one = both.groupBy("doc_id", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_doc").alias("other_doc")).drop("pos")
+    whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("least") == F.col("doc_id"), F.col("most")).otherwise(F.col("least")).alias("other_doc"))
+    return one.unionByName(whole)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, other_doc): matches that overlap are one span; words are counted from 0, end is outside."""
     own = Window.partitionBy("doc_id").orderBy("start", "end", "other_doc")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    found = matches(docs)
+    found = matches(docs).distinct()
     marked = found.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("span", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_doc").alias("other_doc"))
     return merged.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "other_doc")
