@@ -131,6 +131,33 @@ def test_quality_references_and_verdicts_match_brute_force(spark):
     assert quality.keep_good(docs(spark, [])).count() == 0
 
 
+def test_quality_verdicts_over_several_languages_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vocab = {"en": ["the", "of", "and", "to", "house"], "de": ["der", "und", "die", "zu", "haus", "über"], "rare": ["щит", "и", "в", "дом"]}
+    rows = []
+    for i in range(120):
+        lang = "rare" if i == 60 else ("en", "de")[i % 2]
+        w = [*rng.choice(vocab[lang], 70), *("".join(rng.choice(list("abcdefгде"), 5)) for _ in range(20))]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), lang))
+    rows += [(500, " ".join("".join(rng.choice(list("qxz|#"), 5)) for _ in range(80)), None), (501, rows[0][1], None), (501, rows[0][1], None)]
+    rules = quality.Rules(common_words=3)
+    df = docs(spark, rows)
+    refs = quality.references(df, rules)
+    assert refs.langs == ["de", "en", "rare"]
+    got = {r._row.doc_id: r for r in quality.judged(df, refs, rules).collect()}
+    for i, t, _ in rows:
+        words = t.split()
+        chars = min(brute_distance(quality.class_counts(t).tolist(), q.tolist()) for q in refs.chars_p)
+        hist = [[words.count(w) for w in d] for d in refs.words]
+        common = min(brute_distance(h + [len(words) - sum(h)], q.tolist()) for h, q in zip(hist, refs.word_p, strict=True))
+        assert got[i].chars_distance == pytest.approx(chars) and got[i].words_distance == pytest.approx(common)
+        assert got[i].kept == (not got[i].base_failed and chars <= rules.max_chars_distance and common <= rules.max_words_distance)
+    assert got[60].kept and not got[500].kept
+    with pytest.raises(ValueError, match="more than 2"):
+        quality.references(df, quality.Rules(max_langs=2))
+
+
 # BPE
 
 
@@ -188,6 +215,47 @@ def test_scores_match_plain_naive_bayes():
     assert langs == ["ab"[want.argmax()], "und", "und"] and scores[0] == pytest.approx((p / p.sum()).max())
 
 
+def test_training_counts_and_rare_languages_match_plain_code(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(20)), "x") for i in range(3000)]
+    rows += [(5000 + i, " ".join("".join(rng.choice(list("ghijklm"), 4)) for _ in range(20)), "rare") for i in range(3)] + [(6000, "aaaa", None), (6001, None, "x")]
+    model = lang_id.train(docs(spark, rows))
+    assert model.langs == ["rare", "x"]
+    for at, lang in enumerate(model.langs):
+        counts = np.full(lang_id.BUCKETS, lang_id.ALPHA)
+        for _, t, of in rows:
+            if of == lang and t:
+                np.add.at(counts, lang_id.buckets(t), 1)
+        assert np.allclose(model.log_p[:, at], np.log(counts / counts.sum()), atol=1e-4)
+    fresh = ["".join(rng.choice(list("hijklm"), 60)) for _ in range(20)]
+    assert lang_id.score(model, fresh)[0] == ["rare"] * 20
+    tie = lang_id.Model(["a", "b"], np.zeros((lang_id.BUCKETS, 2), np.float32), np.log([0.5, 0.5]))
+    assert lang_id.score(tie, ["some text"]) == (["a"], [0.5])
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_long_texts_are_cut_without_loss(monkeypatch, piece):
+    texts = ["  One two,  three 12 é𠀀x!! ", "a", " ", "12 a", "ab  ", "日本 語"]
+    whole = [np.sort(lang_id.buckets(t)).tolist() for t in texts]
+    monkeypatch.setattr(lang_id, "PIECE", piece)
+    monkeypatch.setattr(lang_id, "BLOCK", 4)
+    assert [np.sort(lang_id.buckets(t)).tolist() for t in texts] == whole and not whole[2]
+    model = lang_id.Model(["a", "b"], np.log(np.random.default_rng(0).random((lang_id.BUCKETS, 2)) + 0.1).astype(np.float32), np.log([0.3, 0.7]))
+    got = lang_id.score(model, texts)
+    monkeypatch.undo()
+    assert got[0] == lang_id.score(model, texts)[0] and np.allclose(got[1], lang_id.score(model, texts)[1])
+
+
+def test_many_languages_share_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "CELLS", 1 << 12)
+    df = docs(spark, [(i, f"{chr(97 + i)}{chr(98 + i)} " * 9, f"l{i}") for i in range(20)])
+    model = lang_id.train(df)
+    assert model.log_p.shape == (128, 20) and len(set(lang_id.score(model, [f"{chr(97 + i)}{chr(98 + i)} " * 9 for i in range(20)])[0])) > 15
+    monkeypatch.setattr(lang_id, "MAX_LANGS", 19)
+    with pytest.raises(ValueError, match="more than 19"):
+        lang_id.train(df)
+
+
 # decontamination
 
 
