@@ -8,9 +8,10 @@ A document is kept if some language is near in both, and the base rules hold.
 Guards: texts under ``min_chars`` characters are not judged by character classes, texts
 under ``min_words`` words not by common words; without any reference (no labelled text)
 nothing is judged by distance. A null or empty text has no words, so base_failed is true.
-Languages with less than ``min_share`` of the labelled documents get no reference, which
-bounds the references by 1 / min_share. The language of a document is not used to judge it.
-Repeated rows are judged alike, one by one.
+Every language with a labelled text has a reference, however rare it is, so that no clean document
+is judged by other languages alone; more than ``max_langs`` labels are an error of the
+column and end the job. Words that are as frequent are ranked by name. The language of a document
+is not used to judge it. Repeated rows are judged alike, one by one; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Rules:
     min_words_base: int = 10
     max_repeat_percent: int = 20
     common_words: int = 64
-    min_share: float = 0.001
+    max_langs: int = 4096
     min_chars: int = 200
     max_chars_distance: float = 0.33
     min_words: int = 40
@@ -90,14 +91,18 @@ def class_counts(text: str) -> np.ndarray:
     return found
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms of equal length."""
-    p, q = p / p.sum(), q / q.sum()
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of p (or p itself) and each row of q."""
+    p, q = p / p.sum(-1, keepdims=True), q / q.sum(-1, keepdims=True)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum()
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, (a + b) / 2)))
+        both = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
+    return np.sqrt(np.maximum(0.0, both.sum(-1) / 2))
+
+
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon distance of two histograms of equal length."""
+    return float(distances(p, q[None])[0])
 
 
 def base_counts(text: str) -> tuple[list[str], int, int, int, int]:
@@ -138,8 +143,9 @@ def _repeated(x: np.ndarray, n_ids: int) -> int:
 def references(docs: DataFrame, rules: Rules = Rules()) -> References:
     """Sums over all documents with text and lang; one bounded row for each language comes to the driver."""
     known = docs.where("lang is not null and text is not null").select("lang", "text")
-    sizes = known.groupBy("lang").count().withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
-    langs = [r.lang for r in sizes.where(F.col("share") >= rules.min_share).orderBy("lang").collect()]
+    langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(rules.max_langs + 1).collect()]
+    if len(langs) > rules.max_langs:
+        raise ValueError(f"more than {rules.max_langs} languages")
     refs = References(langs)
     if not langs:
         return refs
@@ -149,8 +155,8 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> References:
             rows = [(lang, i, int(n)) for lang, texts in batch.groupby("lang").text for i, n in enumerate(sum(map(class_counts, texts)))]
             yield pd.DataFrame(rows, columns=["lang", "cls", "n"])
 
-    chars = known.where(F.col("lang").isin(langs)).mapInPandas(classes, "lang string, cls int, n long").groupBy("lang", "cls").agg(F.sum("n").alias("n"))
-    words = known.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split("text", f"[{common.SPACE}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    chars = known.mapInPandas(classes, "lang string, cls int, n long").groupBy("lang", "cls").agg(F.sum("n").alias("n"))
+    words = known.select("lang", F.explode(F.split("text", f"[{common.SPACE}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     # two steps of ranking: a language's words are first ranked within 64 parts
     order = [F.desc("n"), "w"]
     part = Window.partitionBy("lang", "part")
@@ -188,8 +194,11 @@ def judged(docs: DataFrame, refs: References, rules: Rules = Rules()) -> DataFra
         for d in refs.words:
             for w in d:
                 every.setdefault(w, len(every))
-        # column of the joint histogram for each language's own order
-        columns = [np.array([every[w] for w in d], np.int64) for d in refs.words]
+        # columns of the joint histogram for each language's own words; the last one, always 0, fills up
+        most, zero = max(map(len, refs.words), default=0), len(every) + 1
+        columns = np.array([[every[w] for w in d] + [zero] * (most - len(d)) for d in refs.words], np.int64).reshape(len(refs.words), most)
+        chars_q = np.array(refs.chars_p).reshape(-1, len(CLASSES))
+        words_q = np.array([np.r_[p[:-1], np.zeros(most + 1 - len(p)), p[-1]] for p in refs.word_p]).reshape(-1, most + 1)
         for texts in batches:
             rows = []
             for text in texts:
@@ -198,11 +207,10 @@ def judged(docs: DataFrame, refs: References, rules: Rules = Rules()) -> DataFra
                 failed = len(words) < rules.min_words_base or 100 * repeat > rules.max_repeat_percent * len(words)
                 by_chars = by_words = None
                 if refs.langs and len(text) >= rules.min_chars:
-                    hist = class_counts(text)
-                    by_chars = min(distance(hist, q) for q in refs.chars_p)
+                    by_chars = float(distances(class_counts(text), chars_q).min())
                 if refs.langs and len(words) >= rules.min_words:
-                    joint = word_histogram(words, every)
-                    by_words = min(distance(np.r_[h := joint[at], len(words) - h.sum()], q) for at, q in zip(columns, refs.word_p, strict=True))
+                    own = np.r_[word_histogram(words, every), 0][columns]
+                    by_words = float(distances(np.c_[own, len(words) - own.sum(1)], words_q).min())
                 near = (by_chars is None or by_chars <= rules.max_chars_distance) and (by_words is None or by_words <= rules.max_words_distance)
                 rows.append((len(words), word_chars, symbols, dup_lines, repeat, failed, by_chars, by_words, near and not failed))
             yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", "kept"])
