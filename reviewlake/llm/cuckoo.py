@@ -11,8 +11,8 @@ class CuckooFilter:
     """Buckets of four 16-bit fingerprints; 0 is an empty slot.
 
     ``add`` and ``remove`` take batches of hashes. What finds no slot after many
-    evictions doubles the table through ``stash``: such hashes are kept whole, so
-    there are no false negatives. Removing a hash that was not added is an error of
+    evictions is kept whole in ``stash``, so there are no false negatives; who keeps
+    filters builds them anew with more room before that becomes common. Removing a hash that was not added is an error of
     the caller; the exact reference counts guard against it.
     """
 

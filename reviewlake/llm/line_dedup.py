@@ -9,11 +9,16 @@ State (tables in the shared folder):
 A key enters its shard's filter when its count reaches two and leaves it when the count
 falls below two, so inserts and deletions of documents can follow in any order. A line
 that its filter does not know is held once and needs no lookup; the others are looked up
-in the exact counts, so that false positives of a filter change nothing.
+in the exact counts, so that false positives of a filter change nothing. Filters are not
+gathered anywhere: lines go to their shard's filter in some parts for each shard, so a common
+line is spread, and a task holds one filter at a time. When the shared keys have outgrown the
+shards, the filters are built anew from the counts with more of them.
 
 Defined cases: a null or empty text is one empty line; lines under ``min_chars`` code
 points and rows without doc_id neither count nor lose lines; rows that share a doc_id
-are one document; other columns pass through untouched, whatever their names.
+are one document, and of these all rows keep or lose a line alike; a line that repeats within
+one document alone stays; a text of very many lines costs time in proportion to them;
+other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +38,8 @@ from .cuckoo import CuckooFilter
 MIN_CHARS = 10
 #: Keys in one shard's filter, about.
 SHARD_KEYS = 200_000
-#: Filters of more bytes than this are not broadcast; the exact counts then do the work alone.
-BROADCAST_BYTES = 24 << 20
+#: Parts in which a shard's lines meet copies of its filter.
+PARTS = 4
 
 
 def line_key(line: Column) -> Column:
@@ -83,9 +89,13 @@ def _filters(counts: DataFrame, n_shards: int) -> DataFrame:
     return keys.groupBy("shard").applyInArrow(build, "shard long, filter binary")
 
 
+def _n_shards(counts: DataFrame) -> int:
+    return max(1, -(-counts.count() // SHARD_KEYS))
+
+
 def _state(holders: DataFrame) -> LineState:
     counts = common.stored(_counts(holders), "line_counts")
-    n_shards = max(1, -(-counts.count() // SHARD_KEYS))
+    n_shards = _n_shards(counts)
     return LineState(holders, counts, common.stored(_filters(counts, n_shards), "line_filters"), n_shards)
 
 
@@ -111,6 +121,9 @@ def _changed(state: LineState, holders: DataFrame, touched: DataFrame) -> LineSt
     keys = touched.select("h1", "h2").distinct()
     anew = _counts(holders.join(keys, ["h1", "h2"], "left_semi"))
     counts = common.stored(state.counts.join(keys, ["h1", "h2"], "left_anti").unionByName(anew), "line_counts")
+    n_shards = _n_shards(counts)
+    if n_shards > 2 * state.n_shards:
+        return LineState(holders, counts, common.stored(_filters(counts, n_shards), "line_filters"), n_shards)
     signed = (
         counts.join(state.counts, ["h1", "h2"], "left_anti").select(_shard(state.n_shards).alias("shard"), "h1", F.lit(1).alias("sign"))
     ).unionByName(state.counts.join(counts, ["h1", "h2"], "left_anti").select(_shard(state.n_shards).alias("shard"), "h1", F.lit(-1).alias("sign")))
@@ -129,49 +142,67 @@ def _changed(state: LineState, holders: DataFrame, touched: DataFrame) -> LineSt
 
 
 def maybe_shared(state: LineState, rows: DataFrame) -> DataFrame:
-    """Rows (h1, h2, doc_id) whose key the filters may know; all rows if the filters are too large to broadcast."""
-    spark = rows.sparkSession
-    if state.filters.select(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] > BROADCAST_BYTES:
-        return rows
-    blobs = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in state.filters.toLocalIterator()})
-    n = state.n_shards
+    """Rows (h1, h2, doc_id) whose key the filter of its shard may know."""
+    id_type = rows.schema["doc_id"].dataType
+    filters = state.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(0).alias("kind"), "filter", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast(id_type).alias("doc_id"))
+    lines = rows.select(_shard(state.n_shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "h1", "h2", "doc_id")
+    met = filters.unionByName(lines).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: CuckooFilter.from_bytes(v) for k, v in blobs.value.items()}
+        known = of = None
         for batch in batches:
-            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shard = np.mod(h2, n)
-            keep = np.zeros(len(h1), bool)
-            for k in np.unique(shard):
-                if k in known:
-                    at = shard == k
-                    keep[at] = known[k].contains(h1[at].view(np.uint64))
-            yield batch.filter(pa.array(keep))
+            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            keep = np.zeros(len(shard), bool)
+            edges = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (kind[1:] == 0), True])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if kind[a] == 0:
+                    known, of, a = CuckooFilter.from_bytes(batch.column("filter")[int(a)].as_py()), shard[a], a + 1
+                if known is not None and of == shard[b - 1] and a < b:
+                    keep[a:b] = known.contains(batch.column("h1").slice(a, b - a).to_numpy().view(np.uint64))
+            yield batch.select(["h1", "h2", "doc_id"]).filter(pa.array(keep))
+
+    return met.mapInArrow(probe, rows.schema)
+
 
-    return rows.mapInArrow(probe, rows.schema)
+def _places(lines: Column, gone: Column) -> Column:
+    """Places, from 0, of those lines whose hash is in gone."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hashes, drops in batches:
+            yield pd.Series([np.flatnonzero(np.isin(h, d)).astype(np.int32) if len(d) else np.zeros(0, np.int32) for h, d in zip(hashes, drops, strict=True)])
+
+    return F.pandas_udf(run, "array<int>")(lines, gone)
 
 
 def apply(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs as struct ``_row`` with n_lines, n_dropped and kept_text: shared lines stay in their smallest document alone."""
-    held = state.holders
+    none = F.array().cast("array<long>")
     drops = (
-        maybe_shared(state, held)
+        maybe_shared(state, state.holders)
         .join(state.counts, ["h1", "h2"])
         .where("doc_id <> first_doc")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
+        .agg(F.collect_list(F.xxhash64("h1", "h2")).alias("_gone"))
         .withColumnRenamed("doc_id", "_id")
     )
     rows = common.packed(docs, _id=F.col("doc_id"), _text=F.col("text")).join(drops, "_id", "left")
     lines = _lines(F.col("_text"))
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_gone"), _hashes(key))
+    def hashed(line: Column) -> Column:
+        k = _hashes(line_key(line))
+        return F.xxhash64(k["h1"], k["h2"])
+
+    hashes = F.when(F.col("_gone").isNotNull(), F.transform(lines, hashed)).otherwise(none)
+    rows = rows.withColumn("_places", _places(hashes, F.coalesce("_gone", none)))
+    n, gone = F.size(lines), F.col("_places")
+
+    def between(i: Column) -> Column:
+        """The lines that stay before the i-th one that goes."""
+        start = F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+        return F.slice(lines, start + 1, F.when(i == F.size(gone), n).otherwise(F.get(gone, i)) - start)
 
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    rows = rows.select("_row", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
-    return rows.select("_row", "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"), F.array_join("_kept", "\n").alias("kept_text"))
+    kept = F.when(F.size(gone) == 0, F.coalesce(F.col("_text"), F.lit(""))).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), between)), "\n"))
+    return rows.select("_row", n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
