@@ -68,6 +68,14 @@ def counted(docs: DataFrame, version: str, path: str, sign: int = 1) -> DataFram
     )
 
 
+def estimated(docs: DataFrame, version: str) -> DataFrame:
+    """As ``counted``, with the number of words in place of tokens, until those are counted."""
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{common.SPACE}]+"), lambda w: w != ""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("version"), F.lit(1).alias("sign"), n.cast("long").alias("n_tokens")
+    )
+
+
 def summed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
 

@@ -3,11 +3,13 @@ import base64
 import tiktoken
 
 from reviewlake.llm import token_counts as t
-from reviewlake.llm.q_token_counts import VERSION, VOCABULARY
+from reviewlake.llm.q_token_counts import VERSIONS, op6_token_counts
 
+VERSION, VOCABULARY = next(iter(VERSIONS.items()))
 
-def brute(text):
-    with open(VOCABULARY, "rb") as f:
+
+def brute(text, path=VOCABULARY):
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return len(tiktoken.Encoding("x", pat_str=t.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text or ""))
 
@@ -46,3 +48,15 @@ def test_empty_table(spark, tmp_path):
     kept = t.Rollup(spark, f"file://{tmp_path}/r")
     kept.commit(1, t.counted(spark.createDataFrame([], "doc_id long, text string, lang string, source string"), VERSION, VOCABULARY))
     assert totals(kept) == {}
+
+
+def test_query_gives_plain_totals(spark, tmp_path):
+    rows = [(0, "one two, three", "en", "a"), (1, None, "en", "a"), (2, "vier", None, "b"), (2, "vier", None, "b"), (None, "no id", "en", None), (-5, "", "de", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for version, path in VERSIONS.items():
+        for _, text, lang, source in rows:
+            n = want.setdefault((source, lang, version), [0, 0])
+            n[0] += 1
+            n[1] += brute(text, path)
+    assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in op6_token_counts(spark, str(tmp_path)).collect()} == want
