@@ -88,7 +88,7 @@ def _keyed(text: Column) -> Column:
     """k, n, fingerprint and parities of a set, and the set if it is in the sample."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in common.slices(batches):
             sets = [shingle_set(t) for t in texts]
             keys = [set_key(s) for s in sets]
             yield pd.DataFrame({"k": keys, "n": [len(s) for s in sets], "fp": [simhash.majority(s.view(np.uint64)) for s in sets], "p": [parities(s) for s in sets], "sample": [s if k % SAMPLE == 0 else None for s, k in zip(sets, keys, strict=True)]})
@@ -101,7 +101,7 @@ def _prefixed(text: Column, shared: Broadcast) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, rank = shared.value
-        for texts in batches:
+        for texts in common.slices(batches):
             rows = []
             for text in texts:
                 s = shingle_set(text)
@@ -125,7 +125,7 @@ def _apart(pa: Column, pb: Column) -> Column:
 
 def _sets(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in common.slices(batches):
             sets = [shingle_set(t) for t in texts]
             yield pd.DataFrame({"k": [set_key(s) for s in sets], "h": sets})
 

@@ -199,7 +199,7 @@ def judged(docs: DataFrame, refs: References, rules: Rules = Rules()) -> DataFra
         columns = np.array([[every[w] for w in d] + [zero] * (most - len(d)) for d in refs.words], np.int64).reshape(len(refs.words), most)
         chars_q = np.array(refs.chars_p).reshape(-1, len(CLASSES))
         words_q = np.array([np.r_[p[:-1], np.zeros(most + 1 - len(p)), p[-1]] for p in refs.word_p]).reshape(-1, most + 1)
-        for texts in batches:
+        for texts in common.slices(batches):
             rows = []
             for text in texts:
                 text = text or ""

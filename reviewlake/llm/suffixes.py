@@ -109,7 +109,7 @@ def sequences(docs: DataFrame) -> DataFrame:
     """(doc_id, n, whole, words, pos, anchor) for each text: words, hash of them all, short word hashes, kept positions, hashes of their runs."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in common.slices(batches):
             rows = []
             for text in texts:
                 h = word_hashes(text)
