@@ -113,9 +113,41 @@ def manifest_violations(expected: DataFrame, records: DataFrame, contents: DataF
     return rows.withColumn("reason", reason).where("reason is not null").select(*key, "reason")
 
 
-def derive_budgets(models: DataFrame, reserve: float = 0.25, chars_per_token: int = 2, patch_share: int = 40, least_patch: int = 256, most_patch: int = 72_000, most_context: int = 120_000) -> DataFrame:
-    """models (window_tokens, output_tokens) with characters for patches and for context out of what the answer leaves."""
-    out = F.least(F.col("output_tokens"), F.floor(F.col("window_tokens") * reserve))
-    chars = F.greatest(F.lit(0), F.col("window_tokens") - out) * chars_per_token
-    patch = F.greatest(F.lit(least_patch), F.least(F.lit(most_patch), F.floor(chars * patch_share / 100)))
-    return models.withColumn("input_chars", chars).withColumn("patch_chars", patch).withColumn("context_chars", F.greatest(F.lit(0), F.least(F.lit(most_context), F.col("input_chars") - F.col("patch_chars"))))
+# Characters a token stands for, tokens kept for the protocol and characters for framing; the smallest window and envelope; budgets without a window.
+CHARS_PER_TOKEN, PROTOCOL_TOKENS, FRAMING_CHARS = 2, 4_096, 12_000
+LEAST_WINDOW, LEAST_EVIDENCE = 16_384, 16_384
+FIXED_BUDGETS = {"patch_chars": 72_000, "context_chars": 120_000, "context_files": 16, "requests_per_round": 8, "read_chars": 24_000, "search_hits": 12, "index_chars": 60_000}
+SEED_CHARS = 36_000
+
+
+def derive_budgets(models: DataFrame) -> DataFrame:
+    """models (window_tokens, output_tokens, directed) with the budgets of a review and error.
+
+    A null window has the fixed budgets; the others share out what a declared window leaves beside the answer. directed
+    tells whether the model chooses its context, and so gets a smaller seed. A column ``set_`` before a budget's name holds
+    values that go before the derived ones, where they are neither null nor 0. What can't be had has an error and null budgets.
+    """
+    w = F.col("window_tokens")
+    given = lambda name, v: F.coalesce(F.nullif(F.col(f"set_{name}"), F.lit(0)), v) if f"set_{name}" in models.columns else v
+    within = lambda low, v, high: F.greatest(F.lit(low), F.least(F.lit(high), v))
+    part = lambda v, by: F.floor(v / by)
+    rows = models.withColumn("max_output_tokens", F.when(w.isNull(), F.col("output_tokens")).otherwise(F.least("output_tokens", F.greatest(F.lit(2_048), part(w, 4)))))
+    rows = rows.withColumn("_left", w - F.col("max_output_tokens") - PROTOCOL_TOKENS).withColumn("input_chars", F.col("_left") * CHARS_PER_TOKEN).withColumn("_evidence", F.col("input_chars") - FRAMING_CHARS)
+    of = lambda name, v: given(name, F.when(w.isNull(), F.lit(FIXED_BUDGETS[name])).otherwise(v).cast("long"))
+    rows = rows.withColumn("patch_chars", of("patch_chars", F.greatest(F.lit(8_192), part(F.col("_evidence") * 2, 5))))
+    rows = rows.withColumn("context_chars", of("context_chars", F.greatest(F.lit(8_192), F.col("_evidence") - F.col("patch_chars"))))
+    c = F.col("context_chars")
+    seed = F.least(F.lit(SEED_CHARS), c, F.when(F.col("directed"), F.greatest(F.lit(4_000), part(c, 3))).otherwise(c))
+    rows = rows.withColumn("seed_chars", F.coalesce(F.col("set_seed_chars"), seed) if "set_seed_chars" in models.columns else seed)
+    rows = rows.withColumn("context_files", of("context_files", within(4, part(c, 8_000), 64)))
+    rows = rows.withColumns({
+        "requests_per_round": of("requests_per_round", within(4, part(F.col("context_files") + 1, 2), 16)), "read_chars": of("read_chars", within(4_000, part(c, 4), 48_000)),
+        "search_hits": of("search_hits", within(6, F.col("context_files"), 24)), "index_chars": of("index_chars", within(8_000, part(c, 2), 120_000)),
+    })
+    error = (
+        F.when(w < LEAST_WINDOW, "window is too small").when(F.col("_left") <= 0, "no room for input").when(F.col("_evidence") < LEAST_EVIDENCE, "no room for patch and context")
+        .when(F.col("seed_chars") > c, "seed is larger than the context")
+    )
+    rows = rows.withColumn("error", error)
+    made = ("max_output_tokens", "input_chars", *FIXED_BUDGETS, "seed_chars")
+    return rows.withColumns({n: F.when(F.col("error").isNull(), F.col(n).cast("long")) for n in made}).drop("_left", "_evidence")

@@ -12,16 +12,35 @@ from .findings import in_ranges, ordered, render_candidate
 KEY = ["golden_url", "tool"]
 
 
-def eligibility(artifacts: DataFrame, cases: DataFrame, schema_version: str) -> DataFrame:
-    """artifacts with reason: the first gate that keeps one out of an export; null passes."""
-    c = cases.select(F.col("case_id"), F.col("golden_url").alias("_golden"), F.col("golden_sha256").alias("_sha"), F.col("review_url").alias("_review"), F.col("fixture_tool").alias("_fixture"))
-    rows = artifacts.join(c, "case_id", "left").withColumn("_n", F.count("*").over(Window.partitionBy("model", "case_id")))
-    reason = (
-        F.when(F.col("schema_version") != schema_version, "unsupported schema").when(F.col("status") != "completed", "not completed").when(~F.coalesce("coverage_complete", F.lit(False)), "coverage is not complete")
-        .when(F.col("_golden").isNull() | (F.col("_golden") != F.col("golden_url")), "unknown case").when(F.col("_sha") != F.col("golden_sha256"), "golden issues have changed")
-        .when((F.col("_review") != F.col("review_url")) | (F.col("_fixture") != F.col("fixture_tool")), "review is not the case's fixture").when(F.col("_n") > 1, "several artifacts for a case")
-    )
-    return rows.withColumn("reason", reason).drop("_golden", "_sha", "_review", "_fixture", "_n")
+def eligibility(artifacts: DataFrame, cases: DataFrame, schema_version: str, expected: dict[str, str] | None = None, fixtures: DataFrame | None = None) -> DataFrame:
+    """artifacts with reason: the first gate that keeps one out of an export; null passes. A value that is missing fails its gate.
+
+    expected: columns that must have one value, such as tool, tool_version, suite and digests of the dataset. fixtures: the (golden_url,
+    review_url, fixture_tool) that a case has, if more than that of its row in cases. Columns pr_url, base_sha, head_sha,
+    chunk_plan_complete, config_json, context_json, runtime_json and findings_json are gates where artifacts have them.
+    """
+    have = set(artifacts.columns)
+    known = cases.select(F.col("golden_url").alias("_url"), F.col("case_id").alias("_case"), F.col("golden_sha256").alias("_sha"))
+    pairs = (cases if fixtures is None else fixtures).select(F.col("golden_url").alias("_g"), F.col("review_url").alias("_r"), F.col("fixture_tool").alias("_t")).dropna().distinct().withColumn("_fixture", F.lit(True))
+    rows = artifacts.join(known, F.col("golden_url") == F.col("_url"), "left")
+    rows = rows.join(pairs, (F.col("golden_url") == F.col("_g")) & (F.col("review_url") == F.col("_r")) & (F.col("fixture_tool") == F.col("_t")), "left")
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("model", "golden_url")))
+    differs = lambda c, v: ~F.col(c).eqNullSafe(v)
+    no_object = lambda c: ~F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    sha = lambda c: ~F.coalesce(F.col(c).rlike("^[0-9a-fA-F]{40,64}$"), F.lit(False))
+    gates = [(differs("schema_version", F.lit(schema_version)), "unsupported schema")]
+    gates += [(differs(c, F.lit(v)), f"{c} is not the expected one") for c, v in (expected or {}).items()]
+    gates += [
+        (differs("status", F.lit("completed")), "not completed"), (F.col("_url").isNull(), "unknown case"), (F.col("_n") > 1, "several artifacts for a case"), (differs("golden_sha256", F.col("_sha")), "golden issues have changed"),
+        (differs("case_id", F.col("_case")), "case id is not the case's"), (F.col("_fixture").isNull(), "review is not the case's fixture"),
+    ]
+    gates += [(differs("pr_url", F.col("review_url")), "pull request is not the fixture's")] if "pr_url" in have else []
+    gates += [(sha(c), f"{c} is not exact") for c in ("base_sha", "head_sha") if c in have]
+    gates += [(~F.coalesce("coverage_complete", F.lit(False)), "coverage is not complete")]
+    gates += [(~F.coalesce("chunk_plan_complete", F.lit(False)), "chunk plan is not complete")] if "chunk_plan_complete" in have else []
+    gates += [(no_object(f"{c}_json"), f"{c} is missing") for c in ("config", "context", "runtime") if f"{c}_json" in have]
+    gates += [(~F.coalesce(F.schema_of_variant(F.try_parse_json("findings_json")).startswith("ARRAY"), F.lit(False)), "findings are missing")] if "findings_json" in have else []
+    return rows.withColumn("reason", F.coalesce(*[F.when(bad, why) for bad, why in gates])).drop("_url", "_case", "_sha", "_g", "_r", "_t", "_fixture", "_n")
 
 
 def one_configuration(artifacts: DataFrame, column: str = "config_json") -> DataFrame:

@@ -82,13 +82,18 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifact_gates(spark: SparkSession, d: str) -> DataFrame:
-    o = V.table(spark, d, "orders")
-    a = o.select(
-        F.when(F.col("o_orderkey") % 9 == 0, "v0").otherwise("v1").alias("schema_version"), F.when(F.col("o_orderstatus") == "O", "failed").otherwise("completed").alias("status"), (F.col("o_orderkey") % 4 != 0).alias("coverage_complete"),
-        F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 7 == 0, "other").otherwise("g").alias("golden_url"), F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise("s").alias("golden_sha256"), F.lit("r").alias("review_url"), F.lit("t").alias("fixture_tool"), F.col("o_orderpriority").alias("model"),
+    """Artifacts out of orders, with something wrong or missing at every so many keys, against cases out of customers."""
+    k = F.col("o_orderkey")
+    at = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    url = lambda c: F.concat(F.lit("g"), c)
+    a = V.table(spark, d, "orders").select(
+        at(19, None, F.lit("v1")).alias("schema_version"), at(23, "0", F.lit("1")).alias("tool_version"), at(29, None, F.lit("s")).alias("suite"), F.when(F.col("o_orderstatus") == "O", "failed").otherwise("completed").alias("status"),
+        url(F.col("o_custkey")).alias("golden_url"), at(31, None, F.lit("s")).alias("golden_sha256"), at(37, F.lit(0), F.col("o_custkey")).alias("case_id"), at(41, None, F.lit("r")).alias("review_url"), F.lit("t").alias("fixture_tool"),
+        at(43, None, F.lit("r")).alias("pr_url"), at(47, F.lit("abc"), F.sha2(k.cast("string"), 256)).alias("base_sha"), F.sha2(k.cast("string"), 256).alias("head_sha"), at(53, None, F.lit(True)).alias("coverage_complete"), at(59, False, F.lit(True)).alias("chunk_plan_complete"),
+        at(61, "[]", F.lit("{}")).alias("config_json"), F.lit("{}").alias("context_json"), F.lit("{}").alias("runtime_json"), at(67, None, F.lit("[]")).alias("findings_json"), F.col("o_orderpriority").alias("model"),
     )
-    cases = V.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("g").alias("golden_url"), F.lit("s").alias("golden_sha256"), F.lit("r").alias("review_url"), F.lit("t").alias("fixture_tool"))
-    return export.eligibility(a, cases, "v1").groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+    cases = V.table(spark, d, "customer").where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("case_id"), url(F.col("c_custkey")).alias("golden_url"), F.lit("s").alias("golden_sha256"), F.lit("r").alias("review_url"), F.lit("t").alias("fixture_tool"))
+    return export.eligibility(a, cases, "v1", {"tool_version": "1", "suite": "s"}).groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def one_configuration(spark: SparkSession, d: str) -> DataFrame:
@@ -168,9 +173,10 @@ def pages_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_derivation(spark: SparkSession, d: str) -> DataFrame:
-    m = V.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 131 % 200_000).alias("window_tokens"), (F.col("c_custkey") * 17 % 9_000).alias("output_tokens"))
-    out = benchmark.derive_budgets(m)
-    return out.select("c_custkey", *[F.col(c).cast("long").alias(c) for c in ("input_chars", "patch_chars", "context_chars")])
+    k = F.col("c_custkey")
+    m = V.table(spark, d, "customer").select("c_custkey", F.when(k % 10 != 0, k * 131 % 200_000).alias("window_tokens"), (k * 17 % 9_000 + 1).alias("output_tokens"), (k % 3 == 0).alias("directed"), F.when(k % 17 == 0, k % 100_000).alias("set_patch_chars"))
+    names = ("max_output_tokens", "input_chars", *benchmark.FIXED_BUDGETS, "seed_chars")
+    return benchmark.derive_budgets(m).select("c_custkey", F.coalesce("error", F.lit("")).alias("error"), *[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in names])
 
 
 def file_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -208,9 +214,10 @@ ORACLE = {
       SELECT * FROM (SELECT '5-LOW' AS model, coalesce(c_custkey, k) AS case_id, CASE WHEN c_custkey IS NULL THEN 'unexpected record' WHEN n IS NULL THEN 'missing record' WHEN n > 1 THEN 'several records' WHEN NOT ok THEN 'not completed' WHEN owners > 1 THEN 'artifact is shared' END AS reason
       FROM customer FULL JOIN r ON k = c_custkey LEFT JOIN s ON s.a = k % 400) WHERE reason IS NOT NULL""",
     "duplicate_ids": "SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE n > 1 GROUP BY n",
-    "artifact_gates": """WITH a AS (SELECT *, count(*) OVER (PARTITION BY o_orderpriority, o_custkey) AS n, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
-      SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'unsupported schema' WHEN o_orderstatus = 'O' THEN 'not completed' WHEN o_orderkey % 4 = 0 THEN 'coverage is not complete' WHEN NOT known OR o_orderkey % 7 = 0 THEN 'unknown case' WHEN o_orderkey % 5 = 0 THEN 'golden issues have changed'
-        WHEN n > 1 THEN 'several artifacts for a case' ELSE '' END AS reason, count(*) AS n FROM a GROUP BY 1""",
+    "artifact_gates": """WITH a AS (SELECT *, o_orderkey AS k, count(*) OVER (PARTITION BY o_orderpriority, o_custkey) AS n, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 13 <> 0) ON c_custkey = o_custkey)
+      SELECT CASE WHEN k % 19 = 0 THEN 'unsupported schema' WHEN k % 23 = 0 THEN 'tool_version is not the expected one' WHEN k % 29 = 0 THEN 'suite is not the expected one' WHEN o_orderstatus = 'O' THEN 'not completed' WHEN NOT known THEN 'unknown case'
+        WHEN n > 1 THEN 'several artifacts for a case' WHEN k % 31 = 0 THEN 'golden issues have changed' WHEN k % 37 = 0 THEN 'case id is not the case''s' WHEN k % 41 = 0 THEN 'review is not the case''s fixture' WHEN k % 43 = 0 THEN 'pull request is not the fixture''s'
+        WHEN k % 47 = 0 THEN 'base_sha is not exact' WHEN k % 53 = 0 THEN 'coverage is not complete' WHEN k % 59 = 0 THEN 'chunk plan is not complete' WHEN k % 61 = 0 THEN 'config is missing' WHEN k % 67 = 0 THEN 'findings are missing' ELSE '' END AS reason, count(*) AS n FROM a GROUP BY 1""",
     "one_configuration": "SELECT o_custkey AS tool, count(DISTINCT o_orderstatus) AS configurations FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1",
     "hunk_coverage": """WITH h AS (SELECT l_suppkey AS review_id, l_orderkey % 40 AS hunk_id, bool_and(l_orderkey % 120 % 17 <> 0 OR l_suppkey % 5 = 0) AS done FROM lineitem GROUP BY 1, 2),
       r AS (SELECT review_id, count(*) AS e, count(*) FILTER (WHERE done) AS c FROM h GROUP BY 1 UNION ALL SELECT n_nationkey + 1000000, 0, 0 FROM nation)
@@ -231,7 +238,15 @@ ORACLE = {
       count(*) FILTER (WHERE k % 5 = 2) AS deduplicated, count(*) FILTER (WHERE k % 5 > 2 AND k % 3 = 0) AS list_actions, count(*) FILTER (WHERE k % 5 > 2 AND k % 3 = 1) AS read_actions, count(*) FILTER (WHERE k % 5 > 2 AND k % 3 = 2) AS search_actions,
       CAST(sum(k) AS BIGINT) AS lines, CAST(sum(k % 4) AS BIGINT) AS hits FROM e GROUP BY user_id""",
     "pages_left": f"""WITH e AS (SELECT user_id, event_type, arg_max({_K} % 2 = 0, (event_id % 3) * 100000000000 + event_id) AS more FROM events GROUP BY ALL) SELECT user_id AS review_id, 'b' AS batch_id, count(*) FILTER (WHERE more) AS unresolved FROM e GROUP BY user_id""",
-    "budget_derivation": """WITH m AS (SELECT c_custkey, c_custkey * 131 % 200000 AS w, c_custkey * 17 % 9000 AS o FROM customer), i AS (SELECT c_custkey, greatest(0, w - least(o, CAST(floor(w * 0.25) AS BIGINT))) * 2 AS c FROM m),
-      p AS (SELECT *, greatest(256, least(72000, c * 40 // 100)) AS p FROM i) SELECT c_custkey, CAST(c AS BIGINT) AS input_chars, CAST(p AS BIGINT) AS patch_chars, CAST(greatest(0, least(120000, c - p)) AS BIGINT) AS context_chars FROM p""",
+    # from the documented rules: 4,096 tokens for the protocol, 2 characters a token, 12,000 for framing, two fifths of the rest for patches
+    "budget_derivation": """WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey * 131 % 200000 END AS w, c_custkey * 17 % 9000 + 1 AS o, c_custkey % 3 = 0 AS directed, CASE WHEN c_custkey % 17 = 0 THEN nullif(c_custkey % 100000, 0) END AS sp FROM customer),
+      a AS (SELECT *, CASE WHEN w IS NULL THEN o ELSE least(o, greatest(2048, w // 4)) END AS mo FROM m), i AS (SELECT *, (w - mo - 4096) * 2 AS ic FROM a), e AS (SELECT *, ic - 12000 AS ev FROM i),
+      p AS (SELECT *, coalesce(sp, CASE WHEN w IS NULL THEN 72000 ELSE greatest(8192, CAST(floor(ev * 2 / 5) AS BIGINT)) END) AS pc FROM e), c AS (SELECT *, CASE WHEN w IS NULL THEN 120000 ELSE greatest(8192, ev - pc) END AS cc FROM p),
+      f AS (SELECT *, CASE WHEN w IS NULL THEN 16 ELSE greatest(4, least(64, cc // 8000)) END AS cf, least(36000, cc, CASE WHEN directed THEN greatest(4000, cc // 3) ELSE cc END) AS sc,
+        CASE WHEN w < 16384 THEN 'window is too small' WHEN w - mo - 4096 <= 0 THEN 'no room for input' WHEN ev < 16384 THEN 'no room for patch and context' ELSE '' END AS error FROM c)
+      SELECT c_custkey, error, CASE WHEN error = '' THEN mo ELSE -1 END::BIGINT AS max_output_tokens, coalesce(CASE WHEN error = '' THEN ic ELSE -1 END, -1)::BIGINT AS input_chars, CASE WHEN error = '' THEN pc ELSE -1 END::BIGINT AS patch_chars,
+        CASE WHEN error = '' THEN cc ELSE -1 END::BIGINT AS context_chars, CASE WHEN error = '' THEN cf ELSE -1 END::BIGINT AS context_files, CASE WHEN error <> '' THEN -1 WHEN w IS NULL THEN 8 ELSE greatest(4, least(16, (cf + 1) // 2)) END::BIGINT AS requests_per_round,
+        CASE WHEN error <> '' THEN -1 WHEN w IS NULL THEN 24000 ELSE greatest(4000, least(48000, cc // 4)) END::BIGINT AS read_chars, CASE WHEN error <> '' THEN -1 WHEN w IS NULL THEN 12 ELSE greatest(6, least(24, cf)) END::BIGINT AS search_hits,
+        CASE WHEN error <> '' THEN -1 WHEN w IS NULL THEN 60000 ELSE greatest(8000, least(120000, cc // 2)) END::BIGINT AS index_chars, CASE WHEN error = '' THEN sc ELSE -1 END::BIGINT AS seed_chars FROM f""",
     "file_lists": "SELECT source AS commit_sha, count(*) - 10 AS unreached FROM documents GROUP BY source HAVING count(*) > 10",
 }

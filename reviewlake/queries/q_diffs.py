@@ -208,6 +208,6 @@ ORACLE = {
       e AS (SELECT a.path || ':' || line AS finding, string_agg(lpad(CAST(line_no AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY line_no) AS x FROM a JOIN v1 ON v1.path = a.path AND line_no BETWEEN line - 2 AND line + 2 GROUP BY a.path, line)
       SELECT finding, sha256(x) AS excerpt_sha256, length(x) AS chars FROM e""",
     "risk_cues": f"""WITH {V.V1} SELECT commit_sha AS review_id, doc_id || ':risk:00' AS hypothesis_id, doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.py' END AS path, CAST(min(line_no) AS BIGINT) AS line,
-      CASE doc_id % 3 WHEN 0 THEN 'async callback passed to Array.forEach' WHEN 1 THEN 'async map without Promise.all in this diff segment' ELSE 'interpolated value appears in a database execution call' END AS cue
+      CASE doc_id % 3 WHEN 0 THEN 'forEach with an async callback' WHEN 1 THEN 'async map that nothing here gathers' ELSE 'value put into the text of a database call' END AS cue
       FROM v1 WHERE line_no % 11 = 0 AND (doc_id % 3 = 2 OR doc_id % 2 = 0) GROUP BY commit_sha, doc_id""",
 }

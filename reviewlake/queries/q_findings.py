@@ -88,7 +88,8 @@ def verifier_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_accounting(spark: SparkSession, d: str) -> DataFrame:
     rows = V.items(spark, d).where("role <> 'system'").select(F.lit(0).alias("batch_offset"), F.col("conv_id").alias("review_id"), F.col("role").alias("kind"), F.col("turn").alias("seq"), F.col("n").alias("chars"))
-    return verify.evidence_totals(verify.evidence_shares(rows, 2_000)).select("review_id", "kind", "blocks", "available_chars", (F.col("rendered_chars") + F.col("omitted_chars") == F.col("available_chars")).alias("adds_up"))
+    out = verify.evidence_totals(verify.evidence_shares(rows, 2_000))
+    return out.select("review_id", "kind", *[F.col(c).cast("long").alias(c) for c in ("blocks", "available_chars", "rendered_chars", "omitted_chars", "omitted_blocks")])
 
 
 def finding_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +114,12 @@ def judge_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Responses with two findings out of each conversation turn; one in five has a bad line, one in seven a key too many."""
+    """Responses with two findings out of each conversation turn; one in five has a bad line, one in seven a key too many, one in eleven no side, one in thirteen a blank impact."""
     it = V.table(spark, d, "conversations").select("conv_id", "turn")
     t = F.col("conv_id") * 10 + F.col("turn")
     finding = F.struct(
-        F.lit("b").alias("body"), F.lit("bug").alias("category"), F.lit(0.5).alias("confidence"), (t + 1).alias("end_line"), F.lit("e").alias("evidence"), F.lit("i").alias("impact"), F.when(t % 5 == 0, 0).otherwise(t).alias("line"), F.lit("p.py").alias("path"),
-        F.lit("low").alias("severity"), F.lit("").alias("suggested_fix"), F.lit("t").alias("title"), F.lit("x").alias("trigger"), F.when(t % 7 == 0, 1).alias("zzz"),
+        F.lit("bug").alias("category"), F.lit(0.5).alias("confidence"), (t + 1).alias("end_line"), F.lit("e").alias("evidence"), F.when(t % 13 == 0, " ").otherwise("i").alias("impact"), F.when(t % 5 == 0, 0).otherwise(t).alias("line"), F.lit("p.py").alias("path"),
+        F.lit("low").alias("severity"), F.when(t % 11 != 0, "RIGHT").alias("side"), F.lit("f").alias("suggested_fix"), F.lit("t").alias("title"), F.lit("x").alias("trigger"), F.when(t % 7 == 0, 1).alias("zzz"),
     )
     one = F.to_json(finding)
     response = F.concat(F.lit('```json\n{"findings": ['), one, F.lit(", "), one, F.lit("]}\n```"))
@@ -238,14 +239,22 @@ ORACLE = {
         UNION ALL SELECT s.conv_id, s.k, CASE WHEN f.used + s.n > 3000 OR f.c >= 2 THEN f.g + 1 ELSE f.g END, CASE WHEN f.used + s.n > 3000 OR f.c >= 2 THEN s.n ELSE f.used + s.n END, CASE WHEN f.used + s.n > 3000 OR f.c >= 2 THEN 1 ELSE f.c + 1 END
         FROM fit f JOIN it s ON s.conv_id = f.conv_id AND s.k = f.k + 1)
       SELECT conv_id AS review_id, turn AS seq, CAST(g AS BIGINT) AS batch_index, min(k) OVER (PARTITION BY conv_id, g) - 1 AS batch_offset, k - min(k) OVER (PARTITION BY conv_id, g) AS candidate_index FROM fit JOIN it USING (conv_id, k)""",
-    "evidence_accounting": "SELECT conv_id AS review_id, role AS kind, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS available_chars, true AS adds_up FROM conversations WHERE role <> 'system' GROUP BY ALL",
+    "evidence_accounting": """WITH b AS (SELECT conv_id, role, turn, length(text) AS n FROM conversations WHERE role <> 'system'),
+      f AS (SELECT conv_id, sum(n + 2) FILTER (WHERE role = first) - 2 AS fa, coalesce(sum(n + 2) FILTER (WHERE role <> first) - 2, 0) AS fb, first, bool_or(role <> first) AS two FROM (SELECT *, min(role) OVER (PARTITION BY conv_id) AS first FROM b) GROUP BY conv_id, first),
+      h AS (SELECT *, least(fa, 999) AS half, least(fb, 1998 - least(fa, 999)) AS rest FROM f),
+      g AS (SELECT b.conv_id, role, list(n ORDER BY n, turn) AS ns, any_value(CASE WHEN NOT two THEN least(fa, 2000) WHEN role = first THEN least(fa, 1998 - rest) ELSE rest END) AS budget FROM b JOIN h USING (conv_id) GROUP BY 1, 2),
+      r AS (SELECT *, list_reduce(list_prepend({'left': greatest(0, budget - 2 * (len(ns) - 1))::BIGINT, 'open': len(ns)::BIGINT, 'given': 0::BIGINT, 'none': 0::BIGINT, 'n': 0::BIGINT},
+          list_transform(ns, lambda x: {'left': 0::BIGINT, 'open': 0::BIGINT, 'given': 0::BIGINT, 'none': 0::BIGINT, 'n': x::BIGINT})),
+          lambda a, x: {'left': a.left - least(x.n, a.left // a.open), 'open': a.open - 1, 'given': a.given + least(x.n, a.left // a.open), 'none': a.none + (least(x.n, a.left // a.open) = 0)::BIGINT, 'n': 0::BIGINT}) AS s FROM g)
+      SELECT conv_id AS review_id, role AS kind, len(ns)::BIGINT AS blocks, CAST(list_sum(ns) AS BIGINT) AS available_chars, s.given AS rendered_chars, CAST(list_sum(ns) - s.given AS BIGINT) AS omitted_chars, s.none AS omitted_blocks FROM r""",
     "finding_violations": f"""WITH {GATED}, x AS (SELECT *, count(*) OVER (PARTITION BY review_id, seq % 50000) AS n, EXISTS (SELECT 1 FROM gr g2 WHERE g2.review_id = gr.review_id AND g2.seq % 50000 = gr.seq % 50000 AND g2.has_line AND g2.has_end AND g2.line > 0 AND g2.q <> 7) AS inside FROM gr)
       SELECT CASE WHEN q = 7 THEN 'unsafe path' WHEN q = 11 THEN 'empty text' WHEN severity = 'fatal' OR category = 'weird' THEN 'unknown severity or category' WHEN NOT inside THEN 'not a changed line' ELSE 'duplicate id' END AS reason, count(*) AS n
       FROM x WHERE q IN (7, 11) OR severity = 'fatal' OR category = 'weird' OR NOT inside OR n > 1 GROUP BY 1""",
     "json_responses": "SELECT event_id, CASE WHEN k % 4 < 3 THEN k ELSE -1 END AS k, k % 4 = 3 AS failed FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     "judge_texts": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events",
     "parsed_findings": """WITH t AS (SELECT conv_id AS review_id, turn AS batch_id, conv_id * 10 + turn AS t FROM conversations)
-      SELECT review_id, batch_id, CASE WHEN t % 5 = 0 OR t % 7 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN t % 7 = 0 THEN 'finding has other keys' WHEN t % 5 = 0 THEN 'finding has a bad value' ELSE '' END AS reason FROM t""",
+      SELECT review_id, batch_id, CASE WHEN t % 5 = 0 OR t % 7 = 0 OR t % 11 = 0 OR t % 13 = 0 THEN 0 ELSE 2 END::BIGINT AS n,
+        CASE WHEN t % 7 = 0 OR t % 11 = 0 THEN 'finding has other keys' WHEN t % 5 = 0 OR t % 13 = 0 THEN 'finding has a bad value' ELSE '' END AS reason FROM t""",
     "redaction": r"""SELECT doc_id, sha256(left(regexp_replace(regexp_replace(regexp_replace(replace(replace('api_key=' || sha256(text)[:12] || ', Bearer abc.def sk-12345678 ' || left(text, 200), 'the of', '[REDACTED]'), 'the', '[REDACTED]'),
         '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)(api[_-]?key\s*[=:]\s*)[^\s,;]+', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g'), 2000)) AS redacted_sha256 FROM documents""",
     "clip_and_tokens": """SELECT doc_id, sha256(CASE WHEN length(text) <= 300 THEN text ELSE left(text, 300 - length(m)) || m END) AS clipped_sha256, (length(text) + 3) // 4 AS tokens, length(text) AS chars, strlen(text) AS bytes

@@ -130,8 +130,11 @@ def index_prefix(spark: SparkSession, d: str) -> DataFrame:
 def exposed_paths(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents")
     p = F.concat("lang", F.lit("/"), "doc_id", F.lit(".py"))
-    k = F.col("doc_id") % 5
-    body = F.when(k == 0, F.concat(F.lit("### RIGHT source: "), p, F.lit(":1-9\n    1 | x"))).when(k == 1, F.concat(F.lit("### LEFT source: "), p, F.lit(":1-9\nno rows\n### next"))).when(k == 2, F.concat(F.lit("- USAGE f — "), p, F.lit(":3: x"))).when(k == 3, F.concat(F.lit("see "), p)).otherwise(F.concat(p, F.lit(":12: hit")))
+    p = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("my "), p)).otherwise(p)
+    k = F.col("doc_id") % 8
+    packet = F.concat(F.lit("### CONTEXT 1\nPath: "), p, F.lit("\nwhy\nSURROUNDING SOURCE:\n   7 | y"))
+    hidden = F.concat(F.lit("Path: "), p, F.lit("\n### CONTEXT 2\nSURROUNDING SOURCE:\n   7 | y"))
+    body = F.when(k == 5, packet).when(k == 6, hidden).when(k == 7, F.concat(F.lit("UNTRUSTED IMMUTABLE HEAD FILE "), p, F.lit(" L1-9\n 1 | z"))).when(k == 0, F.concat(F.lit("### RIGHT source: "), p, F.lit(":1-9\n    1 | x"))).when(k == 1, F.concat(F.lit("### LEFT source: "), p, F.lit(":1-9\nno rows\n### next"))).when(k == 2, F.concat(F.lit("- USAGE f — "), p, F.lit(":3: x"))).when(k == 3, F.concat(F.lit("see "), p)).otherwise(F.concat(p, F.lit(":12: hit")))
     return context.exposed_paths(docs.select(F.col("source").alias("review_id"), body.alias("context")))
 
 
@@ -203,9 +206,11 @@ ORACLE = {
       i AS (SELECT *, sum(nw) OVER (PARTITION BY review_id, path ORDER BY s, e) AS g FROM m) SELECT review_id, path, min(s) AS start, max(e) AS "end" FROM i GROUP BY review_id, path, g""",
     "index_prefix": """WITH t AS (SELECT DISTINCT source AS commit_sha, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents), u AS (SELECT *, sum(length(path) + 1) OVER (PARTITION BY commit_sha ORDER BY path) - 1 AS used FROM t)
       SELECT commit_sha, coalesce(string_agg(path, chr(10) ORDER BY path) FILTER (WHERE used <= 400), '') AS index, max(used) > 400 AS truncated FROM u GROUP BY commit_sha""",
-    "exposed_paths": "SELECT DISTINCT source AS review_id, lang || '/' || doc_id || '.py' AS path FROM documents WHERE doc_id % 5 IN (0, 2, 4)",
-    "capacity": """WITH b AS (SELECT conv_id, turn, greatest(0, length(text) - 320) AS e FROM conversations), r AS (SELECT *, e // 200 AS w FROM b), s AS (SELECT *, least(24, w) AS y FROM r)
-      SELECT conv_id, turn, CAST(e AS BIGINT) AS evidence_budget, CAST(w AS BIGINT) AS evidence_rows, CAST(y AS BIGINT) AS searchable_symbols, CAST(greatest(0, least(10, (w + y - 1) // greatest(y, 1))) AS BIGINT) AS hits_per_symbol FROM s""",
+    "exposed_paths": "SELECT DISTINCT source AS review_id, CASE WHEN doc_id % 3 = 0 THEN 'my ' ELSE '' END || lang || '/' || doc_id || '.py' AS path FROM documents WHERE doc_id % 8 IN (0, 2, 4, 5, 7)",
+    # from the documented shares: a quarter (120 at least), a fifth (64) and a quarter (64) off, and 40
+    "capacity": """WITH b AS (SELECT conv_id, turn, length(text) AS b FROM conversations), e AS (SELECT *, greatest(0, b - greatest(120, b // 4) - greatest(64, b // 5) - greatest(64, b // 4) - 40) AS e FROM b),
+      s AS (SELECT *, e // 96 AS r, least(24, CASE WHEN e >= 96 THEN (e + 199) // 200 ELSE 0 END) AS y FROM e)
+      SELECT conv_id, turn, CAST(e AS BIGINT) AS evidence_budget, CAST(r AS BIGINT) AS evidence_rows, CAST(y AS BIGINT) AS searchable_symbols, CAST(CASE WHEN y > 0 THEN least(10, greatest(3, (r + y - 1) // y)) ELSE 0 END AS BIGINT) AS hits_per_symbol FROM s""",
     "final_context": """WITH x AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS seed, chr(10) || '...[context truncated at 900 characters]' AS m FROM conversations),
       y AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN text <> '' THEN text END, CASE WHEN seed <> '' THEN seed END) AS c FROM x) SELECT conv_id, turn, sha256(CASE WHEN length(c) <= 900 THEN c ELSE left(c, 900 - length(m)) || m END) AS context_sha256 FROM y""",
 }

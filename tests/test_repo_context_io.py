@@ -138,3 +138,36 @@ def test_streams_over_files(spark, tmp_path, name):
         assert sorted((r.stage, r.calls, r.reporting, r.tokens) for r in got.collect()) == [("gen", 2, 1, 5), ("ver", 1, 1, 7)]
     else:
         assert [(r.golden_url, r.tool) for r in got.collect()] == [("k2", "ver")]
+
+
+def test_budgets_capacity_and_exposure_by_hand(spark):
+    from reviewlake.operators import benchmark, verify
+
+    rows = [(1, None, 100, False), (2, 65_536, 32_768, True), (3, 16_000, 100, False), (4, 16_384, 9_000, False), (5, 65_536, 32_768, False)]
+    got = {r.k: r for r in benchmark.derive_budgets(spark.createDataFrame(rows, "k int, window_tokens long, output_tokens long, directed boolean")).collect()}
+    assert (got[1].patch_chars, got[1].context_chars, got[1].seed_chars, got[1].context_files, got[1].input_chars) == (72_000, 120_000, 36_000, 16, None)
+    # 65,536 - 16,384 - 4,096 tokens are 90,112 characters; 78,112 after framing
+    assert (got[2].max_output_tokens, got[2].input_chars, got[2].patch_chars, got[2].context_chars, got[2].seed_chars) == (16_384, 90_112, 31_244, 46_868, 15_622)
+    assert (got[2].context_files, got[2].requests_per_round, got[2].read_chars, got[2].search_hits, got[2].index_chars) == (5, 4, 11_717, 6, 23_434)
+    assert (got[3].error, got[3].patch_chars) == ("window is too small", None) and got[4].error == "no room for patch and context" and got[5].seed_chars == 36_000
+    caps = {r.budget: (r.evidence_budget, r.evidence_rows, r.searchable_symbols, r.hits_per_symbol) for r in context.search_capacity(spark.createDataFrame([(300,), (1000,), (36_000,)], "budget int")).collect()}
+    assert caps == {300: (1, 0, 0, 0), 1000: (260, 2, 2, 3), 36_000: (10_760, 112, 24, 5)}
+    text = "Path: my a.py\nwhy\nSURROUNDING SOURCE:\n  3 | x\n### CONTEXT 2\nPath: b.py\n### CONTEXT 3\nSURROUNDING SOURCE:\n 1 | x\nsee c.py\n- USAGE f — d e.py:7\nf.py:9: x\n### LEFT source: g.py:1-2\nno rows"
+    shown = context.exposed_paths(spark.createDataFrame([("r", text)], "review_id string, context string"))
+    assert {r.path for r in shown.collect()} == {"my a.py", "d e.py", "f.py"}
+    only = spark.createDataFrame([("r", "f.py"), ("r", "b.py"), ("q", "d e.py")], "review_id string, path string")
+    assert {r.path for r in context.exposed_paths(spark.createDataFrame([("r", text)], "review_id string, context string"), only).collect()} == {"f.py"}
+    blocks = [("a", 0, "context", 0, 500), ("a", 0, "source", 1, 500), ("b", 0, "context", 0, 10), ("b", 0, "source", 1, 500), ("b", 0, "source", 2, 30), ("c", 0, "source", 0, 80), ("c", 0, "source", 1, 80), ("c", 0, "source", 2, 7)]
+    out = verify.evidence_shares(spark.createDataFrame(blocks, "review_id string, batch_offset int, kind string, seq int, chars int"), 100)
+    assert {(r.review_id, r.seq): r.allocation for r in out.collect()} == {("a", 0): 49, ("a", 1): 49, ("b", 0): 10, ("b", 1): 56, ("b", 2): 30, ("c", 0): 44, ("c", 1): 45, ("c", 2): 7}
+
+
+def test_missing_values_fail_their_gates(spark):
+    from reviewlake.operators import export
+
+    cases = spark.createDataFrame([("c", "g", "s", "r", "t")], "case_id string, golden_url string, golden_sha256 string, review_url string, fixture_tool string")
+    good = {"model": "m", "schema_version": "v1", "status": "completed", "coverage_complete": True, "case_id": "c", "golden_url": "g", "golden_sha256": "s", "review_url": "r", "fixture_tool": "t", "base_sha": "a" * 40, "config_json": "{}", "pr_url": "r"}
+    rows = [good, *({**good, k: None} for k in good if k != "model")]
+    schema = ", ".join(f"{k} {'boolean' if k == 'coverage_complete' else 'string'}" for k in good)
+    got = [export.eligibility(spark.createDataFrame([tuple(r.values())], schema), cases, "v1").first().reason for r in rows]
+    assert got[0] is None and all(got[1:])
