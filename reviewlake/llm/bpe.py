@@ -50,6 +50,17 @@ WIDTH_OF = [next(w for w in WIDTHS if w >= n) for n in range(LONG + 1)]
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]+")
 
+# Letters and numbers of Unicode 16 and lower-case pairs of 16 and 17, which the interpreter's data may be too old for.
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LATER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
 
 @cache
 def category_ranges(major: str) -> str:
@@ -60,7 +71,8 @@ def category_ranges(major: str) -> str:
             start, last = (code if last != code - 1 else start), code
         elif last == code - 1 and start is not None:
             out.append(f"\\U{start:08x}-\\U{last:08x}")
-    return "".join(out)
+    later = LATER_LETTERS if major == "L" else LATER_NUMBERS
+    return "".join(out) + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in later)
 
 
 def split_pattern(pattern: str) -> re.Pattern:
@@ -70,6 +82,9 @@ def split_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+LATER = re.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
+
+
 def byte_letters() -> list[str]:
     """The letter for each byte: printable ones stand for themselves, the rest follow from U+0100."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -251,6 +266,8 @@ class Encoder:
             part = WHITE.sub(" ", unicodedata.normalize("NFC", part))
             # one character at a time: no final form of sigma
             part = part.replace("Σ", "σ").lower()
+            if LATER.search(part):
+                part = part.translate(LATER_LOWER)
             at = 0
             while at < len(part):
                 end = part.find(" ", at + PIECE)

@@ -161,6 +161,15 @@ def test_quality_verdicts_over_several_languages_match_brute_force(spark):
 # BPE
 
 
+def test_every_code_point_is_the_librarys():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f":{chr(c)}a7{chr(c)}{chr(c)}" for c in codes[at : at + 40]) for at in range(0, len(codes), 40)]
+    got = ENCODER.encode_all(texts)
+    want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    bad = [hex(codes[40 * i]) for i, (g, w) in enumerate(zip(got, want, strict=True)) if np.frombuffer(g, "<u4").tolist() != w.ids]
+    assert not bad
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="aeinort'sSΣİ \t\u0085é1²<|>startofx", max_size=60))
 def test_encoding_and_decoding_are_the_librarys(text):
