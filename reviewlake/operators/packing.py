@@ -2,53 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def next_fit(lengths: Sequence[int], cap: int, sep: int = 0, base: int = 0, max_items: int | None = None) -> list[int]:
+@dataclass
+class NextFit:
     """Group number of each length in order: a group is closed when the next item does not fit.
 
     sep is paid between items, base once a group. An item longer than the cap is alone in its group.
     """
-    groups: list[int] = []
-    group, used, items = 0, base, 0
-    for n in lengths:
-        cost = n + (sep if items else 0)
-        if items and (used + cost > cap or (max_items is not None and items >= max_items)):
-            group, used, items, cost = group + 1, base, 0, n
-        groups.append(group)
-        used += cost
-        items += 1
-    return groups
-
-
-def next_fit_groups(items: Column, cap: int, sep: int = 0, base: int = 0, max_items: int = 2**31 - 1) -> Column:
-    """The same over an array of lengths, as an SQL fold: an array of group numbers."""
-    zero = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(-1).alias("g"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cost = x + F.when(acc.n > 0, sep).otherwise(0)
-        new = (acc.n == 0) | (acc.used + cost > cap) | (acc.n >= max_items)
-        g = F.when(new, acc.g + 1).otherwise(acc.g)
-        return F.struct(
-            F.concat(acc.groups, F.array(g)).alias("groups"), g.cast("int").alias("g"),
-            F.when(new, F.lit(base) + x).otherwise(acc.used + cost).cast("long").alias("used"), F.when(new, 1).otherwise(acc.n + 1).cast("int").alias("n"),
-        )
-
-    return F.aggregate(items, zero, step, lambda acc: acc.groups)
+
+    cap: int
+    sep: int = 0
+    base: int = 0
+    max_items: int | None = None
+    group: int = 0
+    used: int = 0
+    items: int = 0
+
+    def add(self, n: int) -> int:
+        cost = n + (self.sep if self.items else self.base)
+        if self.items and (self.used + cost > self.cap or (self.max_items is not None and self.items >= self.max_items)):
+            self.group, self.used, self.items, cost = self.group + 1, 0, 0, self.base + n
+        self.used += cost
+        self.items += 1
+        return self.group
+
+
+@dataclass
+class SkipFit:
+    """Greedy in order: what does not fit is skipped, later ones are still tried."""
+
+    cap: int
+    used: int = 0
+
+    def add(self, n: int) -> bool:
+        fits = self.used + n <= self.cap
+        self.used += n if fits else 0
+        return fits
+
+
+def next_fit(lengths: Sequence[int], cap: int, sep: int = 0, base: int = 0, max_items: int | None = None) -> list[int]:
+    return list(map(NextFit(cap, sep, base, max_items).add, lengths))
+
+
+def skip_fit(lengths: Sequence[int], cap: int, base: int = 0) -> list[bool]:
+    return list(map(SkipFit(cap, base).add, lengths))
+
+
+def key_edges(batch: pa.RecordBatch, key: list[str]) -> np.ndarray:
+    """Where the rows of another key begin in a batch in order of key; the first row counts."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in key:
+        c = batch.column(name)
+        new[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def folded(df: DataFrame, key: list[str], order: list[str], length: str, start: Callable[[], NextFit | SkipFit], out: str, kind: T.DataType) -> DataFrame:
+    """df with what a fold over the lengths gives each row, in order within its key.
+
+    Only (key, order, length) is dealt out by key and sorted; a task goes through its rows once and holds one
+    state, however many rows a key has.
+    """
+    rows = df.select(*key, *order, F.col(length).cast("long").alias("_n")).repartition(*key).sortWithinPartitions(*key, *order)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_n"]).add(out, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, n = [], batch.column("_n").to_pylist()
+            edges = key_edges(batch, key).tolist()
+            for a, b in zip(edges, [*edges[1:], len(n)], strict=True):
+                now = tuple(batch.column(k)[a].as_py() for k in key)
+                if now != last:
+                    state, last = start(), now
+                values += map(state.add, n[a:b])
+            kept = batch.drop_columns(["_n"])
+            yield kept.append_column(out, pa.array(values, pa.bool_() if kind == T.BooleanType() else pa.int32()))
+
+    return df.join(rows.mapInArrow(run, schema), [*key, *order])
 
 
 def pack(df: DataFrame, key: list[str], order: list[str], length: str, cap: int, sep: int = 0, base: int = 0, max_items: int | None = None, out: str = "group_index") -> DataFrame:
-    """df with the next-fit group of each row within its key. Only (key, order, length) is gathered by key."""
-    at = F.struct(*order, F.col(length).cast("long").alias("_n"))
-    lists = df.groupBy(*key).agg(F.array_sort(F.collect_list(at)).alias("_rows"))
-    groups = next_fit_groups(F.transform("_rows", lambda r: r["_n"]), cap, sep, base, max_items or 2**31 - 1)
-    flat = lists.select(*key, F.explode(F.arrays_zip("_rows", groups.alias("_g"))).alias("_x"))
-    return df.join(flat.select(*key, *[F.col(f"_x._rows.{c}").alias(c) for c in order], F.col("_x._g").alias(out)), [*key, *order])
+    """df with the next-fit group of each row within its key."""
+    return folded(df, key, order, length, lambda: NextFit(cap, sep, base, max_items), out, T.IntegerType())
 
 
 def fair_allocations(maximums: Sequence[int], budget: int, sep: int = 2) -> list[int]:
@@ -67,12 +117,12 @@ def fair_allocations(maximums: Sequence[int], budget: int, sep: int = 2) -> list
     return out
 
 
-def fair_share(df: DataFrame, key: list[str], order: list[str], length: str, budget: int, sep: int = 2, out: str = "allocation") -> DataFrame:
+def fair_share(df: DataFrame, key: list[str], order: list[str], length: str, budget: int | Column, sep: int = 2, out: str = "allocation") -> DataFrame:
     """Water-filling by windows: a block is satisfied if its length is within the level that holds when all smaller ones are."""
     whole = Window.partitionBy(*key)
     by_size = whole.orderBy(F.col(length), *order)
     n = F.count("*").over(whole)
-    total = F.greatest(F.lit(0), F.lit(budget) - sep * (n - 1))
+    total = F.greatest(F.lit(0), (F.lit(budget) if isinstance(budget, int) else budget) - sep * (n - 1))
     before = F.coalesce(F.sum(length).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     level = F.floor((total - before) / (n - F.row_number().over(by_size) + 1))
     df = df.withColumn("_total", total).withColumn("_fits", (F.col(length) <= level) & (total >= before))
@@ -85,35 +135,9 @@ def fair_share(df: DataFrame, key: list[str], order: list[str], length: str, bud
     return df.withColumn(out, F.when(F.col("_fits"), F.col(length)).otherwise(share).cast("long")).drop("_total", "_fits", "_left", "_open")
 
 
-def skip_fit(lengths: Sequence[int], cap: int, base: int = 0) -> list[bool]:
-    """Greedy in order: what does not fit is skipped, later ones are still tried."""
-    used, out = base, []
-    for n in lengths:
-        out.append(used + n <= cap)
-        used += n if out[-1] else 0
-    return out
-
-
-def skip_fit_flags(items: Column, cap: Column | int, base: Column | int = 0) -> Column:
-    """The same over an array of lengths, as an SQL fold: an array of booleans."""
-    cap = F.lit(cap) if isinstance(cap, int) else cap
-    base = F.lit(base) if isinstance(base, int) else base
-    zero = F.struct(F.array().cast("array<boolean>").alias("flags"), base.cast("long").alias("used"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc.used + x <= cap
-        return F.struct(F.concat(acc.flags, F.array(fits)).alias("flags"), F.when(fits, acc.used + x).otherwise(acc.used).cast("long").alias("used"))
-
-    return F.aggregate(items, zero, step, lambda acc: acc.flags)
-
-
 def render_fitting(df: DataFrame, key: list[str], order: list[str], length: str, cap: int, base: int = 0, out: str = "kept") -> DataFrame:
     """df with a flag for each row: does it fit, in order, skipping those that do not."""
-    at = F.struct(*order, F.col(length).cast("long").alias("_n"))
-    lists = df.groupBy(*key).agg(F.array_sort(F.collect_list(at)).alias("_rows"))
-    flags = skip_fit_flags(F.transform("_rows", lambda r: r["_n"]), cap, base)
-    flat = lists.select(*key, F.explode(F.arrays_zip("_rows", flags.alias("_f"))).alias("_x"))
-    return df.join(flat.select(*key, *[F.col(f"_x._rows.{c}").alias(c) for c in order], F.col("_x._f").alias(out)), [*key, *order])
+    return folded(df, key, order, length, lambda: SkipFit(cap, base), out, T.BooleanType())
 
 
 def prefix_fit(df: DataFrame, key: list[str], order: list[str], cost: Column, cap: int) -> DataFrame:

@@ -22,9 +22,8 @@ def assign_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    docs = V.table(spark, d, "documents").select((F.col("doc_id") % 4).alias("k"), "doc_id", "text")
-    items = V.table(spark, d, "benchmark").select((F.col("item_id") % 4).alias("k"), "item_id", F.col("text").alias("evidence"))
-    return docs.join(items, "k").where(findings.has_evidence(F.col("text"), F.col("evidence"))).select("doc_id", "item_id")
+    items = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    return findings.evidence_pairs(V.table(spark, d, "documents"), items, "doc_id", "item_id")
 
 
 def anchor_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +216,7 @@ _TOKEN = "coalesce(" + ", ".join(f"CASE WHEN NOT contains(text, h[:{n}]) THEN h[
 ORACLE = {
     "location_gate": f"WITH {V.V5} SELECT review_id, seq, side, path, line, end_line FROM findings f WHERE {_IN.format('line')} AND {_IN.format('end_line')}",
     "assign_chunk": f"WITH {V.V5} SELECT f.review_id, f.seq, CASE WHEN l.line IS NOT NULL THEN 'c' || (f.line // 100) END AS chunk_id FROM findings f LEFT JOIN ledger l ON l.review_id = f.review_id AND l.side = f.side AND l.path = f.path AND l.line = f.line",
-    "evidence_gate": f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON d.doc_id % 4 = b.item_id % 4 WHERE contains({_NORM.format('d.text')}, {_NORM.format('b.text')})",
+    "evidence_gate": f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({_NORM.format('d.text')}, {_NORM.format('b.text')})",
     "anchor_gate": f"""WITH s AS (SELECT doc_id, [{_NORM.format('x')} FOR x IN string_split(regexp_replace(text, '\\n$', ''), chr(10))] AS l FROM documents), t AS (SELECT doc_id, l, trim(l[1] || ' ' || l[2]) AS ev FROM s JOIN documents USING (doc_id) WHERE len(string_split(text, chr(10))) >= 3)
       SELECT doc_id, line, CASE WHEN ev = '' OR coalesce(l[line], '') = '' THEN false WHEN NOT contains(ev, l[line]) THEN false
         ELSE list_bool_or([substr(full_text, CAST(p AS INT), length(ev)) = ev FOR p IN range(greatest(1, a_end - length(ev) + 1), a_start + 1)]) END AS anchored

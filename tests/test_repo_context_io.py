@@ -159,7 +159,7 @@ def test_budgets_capacity_and_exposure_by_hand(spark):
     assert {r.path for r in context.exposed_paths(spark.createDataFrame([("r", text)], "review_id string, context string"), only).collect()} == {"f.py"}
     blocks = [("a", 0, "context", 0, 500), ("a", 0, "source", 1, 500), ("b", 0, "context", 0, 10), ("b", 0, "source", 1, 500), ("b", 0, "source", 2, 30), ("c", 0, "source", 0, 80), ("c", 0, "source", 1, 80), ("c", 0, "source", 2, 7)]
     out = verify.evidence_shares(spark.createDataFrame(blocks, "review_id string, batch_offset int, kind string, seq int, chars int"), 100)
-    assert {(r.review_id, r.seq): r.allocation for r in out.collect()} == {("a", 0): 49, ("a", 1): 49, ("b", 0): 10, ("b", 1): 56, ("b", 2): 30, ("c", 0): 44, ("c", 1): 45, ("c", 2): 7}
+    assert {(r.review_id, r.seq): r.allocation for r in out.collect()} == {("a", 0): 49, ("a", 1): 49, ("b", 0): 10, ("b", 1): 56, ("b", 2): 30, ("c", 0): 45, ("c", 1): 44, ("c", 2): 7}
 
 
 def test_missing_values_fail_their_gates(spark):
