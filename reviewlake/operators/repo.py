@@ -106,7 +106,8 @@ def legal_cursors(requests: DataFrame, offers: DataFrame) -> DataFrame:
 def related_tests(paths: DataFrame, tree: DataFrame, limit: int = 10, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """(review_id, path, test_path): tests whose stem holds the path's stem, or shares a word of three letters or more with it.
 
-    Words meet in an equi join; a stem inside another is found through the words that it is made of, or by whole stem.
+    Words meet in an equi join, each with its first tests alone, which is exact as only the first of all are returned. A stem inside
+    another is found by its first characters, three at most, and then compared.
     """
     words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: F.length(w) >= 3)
     tests = tree.where(is_test_path(F.col("path"))).select("commit_sha", F.col("path").alias("test_path")).distinct()
@@ -114,8 +115,12 @@ def related_tests(paths: DataFrame, tree: DataFrame, limit: int = 10, suffixes:
         tests = tests.where(F.lower(F.concat(F.lit("."), F.element_at(F.split("test_path", r"\."), -1))).isin(*suffixes))
     tests = tests.withColumn("test_stem", F.lower(stem(F.col("test_path"))))
     want = paths.select("review_id", "commit_sha", "path").withColumn("own_stem", F.lower(stem(F.col("path"))))
-    by_word = want.select("*", F.explode(words(stem(F.col("path")))).alias("w")).join(tests.select("*", F.explode(words(F.col("test_stem"))).alias("w")), ["commit_sha", "w"])
-    by_stem = want.join(tests, "commit_sha").where(F.contains("test_stem", "own_stem"))
+    postings = tests.select("*", F.explode(words(F.col("test_stem"))).alias("w"))
+    nth = F.row_number().over(Window.partitionBy("commit_sha", "w").orderBy("test_path"))
+    by_word = want.select("*", F.explode(words(stem(F.col("path")))).alias("w")).join(postings.withColumn("_n", nth).where(F.col("_n") <= limit + 1), ["commit_sha", "w"])
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("test_stem") - n + 1, F.lit(1))), lambda i: F.substr("test_stem", i, F.lit(n)))
+    known = tests.select("*", F.explode(F.array_distinct(F.concat(*map(grams, (1, 2, 3))))).alias("_g"))
+    by_stem = want.where("own_stem <> ''").withColumn("_g", F.left("own_stem", F.lit(3))).join(known, ["commit_sha", "_g"]).where(F.contains("test_stem", "own_stem"))
     cols = ["review_id", "path", "test_path"]
     both = by_word.select(*cols).unionByName(by_stem.select(*cols)).where("path <> test_path").distinct()
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("review_id", "path").orderBy("test_path"))).where(F.col("rank") <= limit)

@@ -65,7 +65,7 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep_comparable(spark: SparkSession, d: str) -> DataFrame:
-    o = V.table(spark, d, "orders").where("o_custkey % 5 = 0")
+    o = V.table(spark, d, "orders")
     rows = o.select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 50 == 0, "g2").otherwise("g").alias("golden_url"), F.lit("r").alias("review_url"), F.lit("b").alias("base_sha"), F.lit("h").alias("head_sha"), F.when(F.col("o_orderkey") % 20 == 1, "d2").otherwise("d").alias("diff_sha256"))
     return benchmark.sweep_violations(rows)
 
@@ -208,7 +208,7 @@ ORACLE = {
     "work_queue": "SELECT o_custkey AS case_id, o_orderpriority AS model, o_totalprice AS diff_chars FROM orders",
     "latest_records": f"{_LATEST} SELECT model, case_id, status, o_orderkey FROM l WHERE r = 1",
     "run_status": f"{_LATEST} SELECT status, count(*) AS records FROM l WHERE r = 1 GROUP BY status",
-    "sweep_comparable": """WITH o AS (SELECT * FROM orders WHERE o_custkey % 5 = 0), b AS (SELECT o_custkey AS case_id, count(DISTINCT o_orderpriority) AS m, count(DISTINCT o_orderkey % 50 = 0) AS s, count(DISTINCT o_orderkey % 20 = 1) AS d FROM o GROUP BY 1)
+    "sweep_comparable": """WITH o AS (SELECT * FROM orders), b AS (SELECT o_custkey AS case_id, count(DISTINCT o_orderpriority) AS m, count(DISTINCT o_orderkey % 50 = 0) AS s, count(DISTINCT o_orderkey % 20 = 1) AS d FROM o GROUP BY 1)
       SELECT case_id, CASE WHEN m < (SELECT count(DISTINCT o_orderpriority) FROM o) THEN 'case is missing for a model' WHEN s > 1 THEN 'snapshots differ' ELSE 'diffs differ' END AS reason FROM b WHERE m < (SELECT count(DISTINCT o_orderpriority) FROM o) OR s > 1 OR d > 1""",
     "manifest_check": """WITH r AS (SELECT o_custkey AS k, count(*) AS n, bool_and(o_orderstatus <> 'O') AS ok FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1), s AS (SELECT k % 400 AS a, count(*) AS owners FROM r GROUP BY 1)
       SELECT * FROM (SELECT '5-LOW' AS model, coalesce(c_custkey, k) AS case_id, CASE WHEN c_custkey IS NULL THEN 'unexpected record' WHEN n IS NULL THEN 'missing record' WHEN n > 1 THEN 'several records' WHEN NOT ok THEN 'not completed' WHEN owners > 1 THEN 'artifact is shared' END AS reason

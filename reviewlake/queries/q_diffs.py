@@ -118,7 +118,7 @@ def prefix_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def anchor_excerpts(spark: SparkSession, d: str) -> DataFrame:
     lines = V.src_lines(spark, d)
-    at = lines.where("doc_id % 3 = 0 and line_no % 7 = 2").select("commit_sha", "path", F.col("line_no").alias("line"), F.concat_ws(":", "path", "line_no").alias("finding"))
+    at = lines.select("commit_sha", "path", F.col("line_no").alias("line"), F.concat_ws(":", "path", "line_no").alias("finding"))
     out = packing.anchor_excerpts(lines.select("commit_sha", "path", "line_no", "text"), at, ["finding"], ["commit_sha", "path"], radius=2)
     return out.select("finding", F.sha2("excerpt", 256).alias("excerpt_sha256"), F.length("excerpt").cast("long").alias("chars"))
 
@@ -204,7 +204,7 @@ ORACLE = {
         UNION ALL SELECT it.conv_id, it.k, CASE WHEN f.used + it.n <= 1200 THEN f.used + it.n ELSE f.used END, f.used + it.n <= 1200 FROM f JOIN it ON it.conv_id = f.conv_id AND it.k = f.k + 1)
       SELECT conv_id, turn, kept FROM f JOIN it USING (conv_id, k)""",
     "prefix_fit": f"WITH {V.V8} SELECT conv_id, turn FROM (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM it) WHERE used <= 1200",
-    "anchor_excerpts": f"""WITH {V.V1}, a AS (SELECT path, line_no AS line FROM v1 WHERE doc_id % 3 = 0 AND line_no % 7 = 2),
+    "anchor_excerpts": f"""WITH {V.V1}, a AS (SELECT path, line_no AS line FROM v1),
       e AS (SELECT a.path || ':' || line AS finding, string_agg(lpad(CAST(line_no AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY line_no) AS x FROM a JOIN v1 ON v1.path = a.path AND line_no BETWEEN line - 2 AND line + 2 GROUP BY a.path, line)
       SELECT finding, sha256(x) AS excerpt_sha256, length(x) AS chars FROM e""",
     "risk_cues": f"""WITH {V.V1} SELECT commit_sha AS review_id, doc_id || ':risk:00' AS hypothesis_id, doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.py' END AS path, CAST(min(line_no) AS BIGINT) AS line,

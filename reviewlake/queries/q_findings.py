@@ -128,7 +128,7 @@ def parsed_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redaction(spark: SparkSession, d: str) -> DataFrame:
-    c = F.concat(F.lit("api_key="), F.left(F.sha2("text", 256), F.lit(12)), F.lit(", Bearer abc.def sk-12345678 "), F.left("text", F.lit(200)))
+    c = F.concat(F.lit("api_key="), F.left(F.sha2("text", 256), F.lit(12)), F.lit(", Bearer abc.def sk-12345678 "), F.coalesce("text", F.lit("")))
     return V.table(spark, d, "documents").select("doc_id", F.sha2(text.redact(c, ["the of", "the"]), 256).alias("redacted_sha256"))
 
 
@@ -149,7 +149,7 @@ def pr_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     p = V.table(spark, d, "documents")
-    name = F.left("text", F.lit(40))
+    name = F.coalesce("text", F.lit(""))
     return p.select("doc_id", paths.tool_model_id(F.col("source"), name).alias("tool_id"), paths.fixture_tool(F.col("source"), name).alias("fixture"), text.slug(name).alias("slug"))
 
 
@@ -254,7 +254,7 @@ ORACLE = {
     "parsed_findings": """WITH t AS (SELECT conv_id AS review_id, turn AS batch_id, conv_id * 10 + turn AS t FROM conversations)
       SELECT review_id, batch_id, CASE WHEN t % 5 = 0 OR t % 7 = 0 OR t % 11 = 0 OR t % 13 = 0 THEN 0 ELSE 2 END::BIGINT AS n,
         CASE WHEN t % 7 = 0 OR t % 11 = 0 THEN 'finding has other keys' WHEN t % 5 = 0 OR t % 13 = 0 THEN 'finding has a bad value' ELSE '' END AS reason FROM t""",
-    "redaction": r"""SELECT doc_id, sha256(left(regexp_replace(regexp_replace(regexp_replace(replace(replace('api_key=' || sha256(text)[:12] || ', Bearer abc.def sk-12345678 ' || left(text, 200), 'the of', '[REDACTED]'), 'the', '[REDACTED]'),
+    "redaction": r"""SELECT doc_id, sha256(left(regexp_replace(regexp_replace(regexp_replace(replace(replace('api_key=' || sha256(text)[:12] || ', Bearer abc.def sk-12345678 ' || coalesce(text, ''), 'the of', '[REDACTED]'), 'the', '[REDACTED]'),
         '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)(api[_-]?key\s*[=:]\s*)[^\s,;]+', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g'), 2000)) AS redacted_sha256 FROM documents""",
     "clip_and_tokens": """SELECT doc_id, sha256(CASE WHEN length(text) <= 300 THEN text ELSE left(text, 300 - length(m)) || m END) AS clipped_sha256, (length(text) + 3) // 4 AS tokens, length(text) AS chars, strlen(text) AS bytes
       FROM (SELECT *, chr(10) || '...[document truncated at 300 characters]' AS m FROM documents)""",
@@ -262,7 +262,7 @@ ORACLE = {
     "pr_urls": r"""WITH u AS (SELECT page_id, page_id % 5 <> 0 AND page_id > 0 AS ok, 'o' || (page_id % 7) AS owner, regexp_replace(regexp_replace(regexp_extract(url, '//([^/]+)', 1), '[^a-z.]', '', 'g'), '\.git$', '') AS repo FROM pages)
       SELECT page_id, CASE WHEN ok THEN owner ELSE '' END AS owner, CASE WHEN ok THEN repo ELSE '' END AS repo, CASE WHEN ok THEN page_id ELSE 0 END AS number,
         CASE WHEN ok THEN trim(regexp_replace(lower(owner || '-' || repo || '-pr' || page_id), '[^a-z0-9]+', '-', 'g'), '-') || '-' || sha256('https://github.com/' || owner || '/' || repo || '/pull/' || page_id)[:10] ELSE '' END AS case_id FROM u""",
-    "identity_keys": """WITH x AS (SELECT doc_id, source AS t, left(text, 40) AS m, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS tp, trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS mp FROM documents)
+    "identity_keys": """WITH x AS (SELECT doc_id, source AS t, coalesce(text, '') AS m, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS tp, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-') AS mp FROM documents)
       SELECT doc_id, CASE WHEN tp <> '' AND mp <> '' THEN rtrim(left(tp || '-' || mp, 83), '-') || '-' || sha256(t || chr(0) || m || chr(0))[:12] END AS tool_id, CASE WHEN tp <> '' AND mp <> '' THEN rtrim(left(tp || '-' || mp, 21), '-') || '-' || sha256(t || chr(0) || m)[:8] END AS fixture,
         CASE WHEN mp = '' THEN 'value' ELSE mp END AS slug FROM x""",
     "safe_paths": """WITH x AS (SELECT doc_id, doc_id % 7 AS m, lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/test_x.py' ELSE '/main.py' END AS p, doc_id % 2 = 0 AS t FROM documents)

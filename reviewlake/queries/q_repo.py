@@ -15,8 +15,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = V.table(spark, d, "documents").where("doc_id % 5 = 0")
-    rows = docs.select(F.col("source").alias("review_id"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit("def "), F.substring("text", 1, 30), F.lit(" class Made_"), "doc_id", F.lit(" run_it(1) ")).alias("added"), F.lit("function outer_one() {}").alias("excerpt"))
+    docs = V.table(spark, d, "documents")
+    rows = docs.select(F.col("source").alias("review_id"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit("def "), F.coalesce("text", F.lit("")), F.lit(" class Made_"), "doc_id", F.lit(" run_it(1) ")).alias("added"), F.lit("function outer_one() {}").alias("excerpt"))
     return context.rank_symbols(rows, 6).select("review_id", "chunk_id", "symbol", "score", "rank")
 
 
@@ -37,7 +37,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("line_no") % 5
     text = F.when(k == 0, F.concat(F.lit("import "), "symbol")).when(k == 1, F.concat(F.lit("def "), "symbol", F.lit("(x):"))).when(k == 2, F.concat(F.lit("  y = "), "symbol", F.lit(" (1)"))).when(k == 3, F.concat(F.lit("z + "), "symbol")).otherwise(F.concat("symbol", F.lit("Other()")))
     path = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("tests/"), "path")).otherwise(F.col("path"))
-    return V.src_lines(spark, d).where("doc_id % 3 = 0").select(F.col("commit_sha").alias("review_id"), F.lit("f$oo").alias("symbol"), "doc_id", path.alias("path"), "line_no").withColumn("text", text)
+    return V.src_lines(spark, d).select(F.col("commit_sha").alias("review_id"), F.lit("f$oo").alias("symbol"), "doc_id", path.alias("path"), "line_no").withColumn("text", text)
 
 
 def hit_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +112,14 @@ def legal_cursors(spark: SparkSession, d: str) -> DataFrame:
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents")
     word = F.lower(F.regexp_extract("text", r"([A-Za-z]{3,})", 1))
-    rows = docs.select("doc_id", F.lit("c").alias("commit_sha"), F.when(word == "", "none").otherwise(word).alias("w"))
-    tree = rows.where("doc_id % 4 = 1").select("commit_sha", F.concat(F.lit("tests/test_"), "w", F.lit("_"), "doc_id", F.lit(".py")).alias("path"))
-    want = rows.where("doc_id % 4 = 2").select(F.col("doc_id").alias("review_id"), "commit_sha", F.concat(F.lit("src/"), "w", F.lit("_mod.py")).alias("path"))
+    rows = docs.select("doc_id", F.col("source").alias("commit_sha"), F.when(word == "", "none").otherwise(word).alias("w"))
+    tree = rows.select("commit_sha", F.concat(F.lit("tests/test_"), "w", F.lit("_"), "doc_id", F.lit(".py")).alias("path"))
+    want = rows.select(F.col("doc_id").alias("review_id"), "commit_sha", F.concat(F.lit("src/"), "w", F.lit("_mod.py")).alias("path"))
     return repo.related_tests(want, tree, limit=3).select("review_id", "test_path", F.col("rank").cast("long").alias("rank"))
 
 
 def focus_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.ledger(spark, d).where("line % 3 = 0").select("review_id", "path", "line", F.lit(1900).alias("n_lines"))
+    rows = V.ledger(spark, d).where("line is not null").select("review_id", "path", "line", F.lit(1900).alias("n_lines"))
     return context.focus_windows(rows, ["review_id", "path"], 6).select("review_id", "path", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
@@ -161,11 +161,11 @@ _KW = ", ".join(f"'{w}'" for w in context.KEYWORDS)
 HITS = f"""{V.V1}, h AS (
   SELECT commit_sha AS review_id, CASE WHEN doc_id % 6 = 0 THEN 'tests/' || path ELSE path END AS path, line_no, doc_id, CASE line_no % 5 WHEN 0 THEN 'import f$oo' WHEN 1 THEN 'def f$oo(x):' WHEN 2 THEN 'y = f$oo (1)' WHEN 3 THEN 'z + f$oo' ELSE 'f$ooOther()' END AS snippet,
          CASE WHEN doc_id % 6 = 0 THEN 'test' ELSE CASE line_no % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'definition' WHEN 2 THEN 'caller' ELSE 'usage' END END AS kind
-  FROM v1 WHERE doc_id % 3 = 0),
+  FROM v1),
 il AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY CASE WHEN t <= 3 THEN 0 ELSE t END, nth, t) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY review_id, kind ORDER BY path, line_no) AS nth, CASE kind WHEN 'definition' THEN 1 WHEN 'caller' THEN 2 WHEN 'test' THEN 3 WHEN 'import' THEN 4 ELSE 5 END AS t FROM h) WHERE nth <= 8)"""
 ORACLE = {
-    "symbol_rank": f"""WITH s AS (SELECT source AS review_id, doc_id AS chunk_id, 'def ' || substr(text, 1, 30) || ' class Made_' || doc_id || ' run_it(1) ' AS a FROM documents WHERE doc_id % 5 = 0),
+    "symbol_rank": f"""WITH s AS (SELECT source AS review_id, doc_id AS chunk_id, 'def ' || coalesce(text, '') || ' class Made_' || doc_id || ' run_it(1) ' AS a FROM documents),
       p AS (SELECT review_id, chunk_id, 0 AS pass, regexp_extract_all(a, '\\b(?:async\\s+)?(?:def|function|fn|func|class|interface|trait|struct|enum|type)\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS l FROM s
         UNION ALL SELECT review_id, chunk_id, 1, regexp_extract_all(a, '\\b([A-Za-z_$][A-Za-z0-9_$]*)\\s*(?:<[^\\n;()]*>)?\\s*\\(', 1) FROM s
         UNION ALL SELECT review_id, chunk_id, 2, regexp_extract_all(a, '[A-Za-z_$][A-Za-z0-9_$]*') FROM s UNION ALL SELECT review_id, chunk_id, 3, ['outer_one'] FROM s),
@@ -197,11 +197,11 @@ ORACLE = {
     "legal_cursors": """WITH r AS (SELECT event_id AS seq, user_id, event_id % 2 AS a, event_type AS p, CASE WHEN event_id % 5 <> 0 THEN 'c' || (event_id % 6) END AS cur, event_id % 3 AS round FROM events),
       o AS (SELECT user_id, a, p, cur, min(round) AS f FROM r WHERE seq % 3 = 1 AND cur IS NOT NULL GROUP BY ALL)
       SELECT seq, r.cur IS NULL OR coalesce(f < round, false) AS legal FROM r LEFT JOIN o USING (user_id, a, p, cur)""",
-    "related_tests": """WITH w AS (SELECT doc_id, CASE WHEN x = '' THEN 'none' ELSE lower(x) END AS w FROM (SELECT doc_id, regexp_extract(text, '([A-Za-z]{3,})', 1) AS x FROM documents)),
-      t AS (SELECT w, doc_id, 'tests/test_' || w || '_' || doc_id || '.py' AS test_path, 'test_' || w || '_' || doc_id AS stem FROM w WHERE doc_id % 4 = 1),
-      m AS (SELECT DISTINCT a.doc_id AS review_id, test_path FROM w a JOIN t ON a.w = t.w OR contains(stem, a.w || '_mod') OR (length(t.doc_id::VARCHAR) >= 3 AND a.w = t.doc_id::VARCHAR) OR a.w = 'test' OR t.w = 'mod' WHERE a.doc_id % 4 = 2)
+    "related_tests": """WITH w AS (SELECT doc_id, source, CASE WHEN x = '' THEN 'none' ELSE lower(x) END AS w FROM (SELECT doc_id, source, regexp_extract(text, '([A-Za-z]{3,})', 1) AS x FROM documents)),
+      t AS (SELECT w, source, doc_id, 'tests/test_' || w || '_' || doc_id || '.py' AS test_path, 'test_' || w || '_' || doc_id AS stem FROM w),
+      m AS (SELECT DISTINCT a.doc_id AS review_id, test_path FROM w a JOIN t ON a.source = t.source AND (a.w = t.w OR contains(stem, a.w || '_mod') OR (length(t.doc_id::VARCHAR) >= 3 AND a.w = t.doc_id::VARCHAR) OR a.w = 'test' OR t.w = 'mod'))
       SELECT review_id, test_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY test_path) AS rank FROM m) WHERE rank <= 3""",
-    "focus_windows": f"""WITH {V.V5}, f AS (SELECT DISTINCT review_id, path, greatest(1, least(line, 1900)) AS x FROM ledger WHERE line % 3 = 0), w AS (SELECT DISTINCT review_id, path, greatest(1, x - 6) AS s, least(1900, x + 6) AS e FROM f),
+    "focus_windows": f"""WITH {V.V5}, f AS (SELECT DISTINCT review_id, path, greatest(1, least(line, 1900)) AS x FROM ledger WHERE line IS NOT NULL), w AS (SELECT DISTINCT review_id, path, greatest(1, x - 6) AS s, least(1900, x + 6) AS e FROM f),
       m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY review_id, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM w),
       i AS (SELECT *, sum(nw) OVER (PARTITION BY review_id, path ORDER BY s, e) AS g FROM m) SELECT review_id, path, min(s) AS start, max(e) AS "end" FROM i GROUP BY review_id, path, g""",
     "index_prefix": """WITH t AS (SELECT DISTINCT source AS commit_sha, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents), u AS (SELECT *, sum(length(path) + 1) OVER (PARTITION BY commit_sha ORDER BY path) - 1 AS used FROM t)
