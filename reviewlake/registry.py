@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``reviewlake.queries``; each has QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("q_judge", "q_diffs", "q_findings", "q_repo", "q_bench")
+MODULES: tuple[str, ...] = ("q_judge", "q_diffs", "q_findings", "q_repo", "q_bench", "q_jobs")
 
 
 def _merged(name: str) -> dict:

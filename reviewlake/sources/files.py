@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,21 @@ from .. import schemas
 from ..functions.paths import parse_pr_url, strict_path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, a folder of our own on a single machine, and an error on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def read_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """golden, bench_reviews and the quarantine (golden_url, reason) of files with one JSON object keyed by golden address."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True).select("value")
     entries = whole.select(F.explode(F.from_json("value", f"map<string,struct<{schemas.BENCH_ENTRY.replace(', ', ',')}>>")).alias("golden_url", "e"))
     blank = F.exists("e.golden_comments", lambda x: x["comment"].isNull() | (F.trim(x["comment"]) == ""))
     reason = (
@@ -43,7 +58,7 @@ def read_nested(spark: SparkSession, path: str, value: str) -> DataFrame:
 def read_repo_files(spark: SparkSession, path: str, root: str, commit_sha: str, cap: int = 2_000_000) -> DataFrame:
     """(commit_sha, path, blob_sha, content) of text files under root: safe paths, at most cap bytes, no NUL."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= cap)
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^"), F.lit(root.rstrip("/") + "/")), F.lit(""))
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^"), F.lit(re.sub("^file:/*", "/", root).rstrip("/") + "/")), F.lit(""))
     rows = files.select(F.lit(commit_sha).alias("commit_sha"), relative.alias("path"), F.sha1("content").alias("blob_sha"), "content").where(F.instr(F.hex("content"), "00") % 2 != 1)
     return rows.where(strict_path(F.col("path"))).withColumn("content", F.decode("content", "UTF-8"))
 
