@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Rounds after which something must be wrong.
+ROUNDS = 500
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """For each u: the least of itself and its neighbours v."""
@@ -29,13 +32,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, label) for each node of an edge: label is the least node that can be reached.
 
     No neighbourhood is gathered: each round is joins and least values, whatever a node's
-    degree. Each round ends in the shared folder. The rounds end when the edges stay.
+    degree. Each round ends in the shared folder, where it takes the place of the one before. The rounds end when the
+    edges stay; their number grows with the logarithm of the longest path, and ``ROUNDS`` is far beyond it.
     """
-    now = common.stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = common.stored_at(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    while True:
+    for _ in range(ROUNDS):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-        seen = state
-        now = common.stored(_small_star(_large_star(now)), "edges")
+        seen, before = state, path
+        now, path = common.stored_at(_small_star(_large_star(now)), "edges")
+        common.remove(spark, before)
+    raise RuntimeError("components do not settle")
