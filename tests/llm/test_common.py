@@ -1,14 +1,15 @@
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.llm import common
 from reviewlake.llm.components import connected_components
 
 
-def session(conf, checkpoint):
+def session(conf, checkpoint, master="local[2]"):
     seen = []
-    context = SimpleNamespace(getCheckpointDir=lambda: checkpoint, setCheckpointDir=seen.append)
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint, setCheckpointDir=seen.append)
     return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf or d), sparkContext=context), seen
 
 
@@ -19,6 +20,13 @@ def test_the_shared_folder_is_the_clusters():
     assert seen == [] and common.shared_folder(own).startswith("file://") and len(seen) == 1
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    own, seen = session(None, None, "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(own)
+    assert seen == [] and common.shared_folder(session("s3a://x", None, "yarn")[0]) == "s3a://x"
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (100, 101), (101, 100)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
