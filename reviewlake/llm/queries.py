@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("q_line_dedup", "q_quality", "q_bpe", "q_lang_id", "q_suffixes", "q_token_counts", "q_pii", "q_simhash", "q_brown", "q_decontam", "q_mixing", "q_runs")
+MODULES = ("q_line_dedup", "q_quality", "q_bpe", "q_lang_id", "q_suffixes", "q_token_counts", "q_pii", "q_simhash", "q_brown", "q_decontam", "q_mixing", "q_runs", "q_trie")
 
 
 def _merged(name: str) -> dict:
