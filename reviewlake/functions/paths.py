@@ -12,6 +12,13 @@ TEST_DIRS = ("__tests__", "spec", "specs", "test", "testing", "tests")
 TEST_NAME = r"(?i)(?:^test_|_test\.|\.test\.|\.spec\.|tests?\.|spec\.)"
 IMPORT_LINE = r"""(?i)^\s*(?:import\b|from\s+\S+\s+import\b|export\s+.*\s+from\b|const\s+\w+\s*=\s*require\s*\(|use\s+\S+|#include\s*[<"])"""
 PR_URL = r"^https://github\.com/([A-Za-z0-9][A-Za-z0-9-]{0,38})/([^/?#]+?)(?:\.git)?/pull/([1-9][0-9]*)(?:[/?#].*)?$"
+BENCH_URL = r"^https://github\.com/([^/]+)/([^/]+)/pull/(\d+)(?:[/?#].*)?$"
+ACTION_PATH_CHARS = 4_096
+DEFINED = r"\b(?:async\s+)?(?:def|function|fn|func)\s+", r"\b"
+TYPED = r"\b(?:class|interface|trait|struct|enum|type)\s+", r"\b"
+BOUND = r"\b(?:const|let|var|static|final)\s+", r"\b"
+ARROW = r"\b", r"\s*[:=]\s*(?:async\s*)?\([^\n]*\)\s*=>"
+CALL = r"\b", r"\s*(?:<[^\n;()]*>)?\s*\("
 
 
 def canonical_path(c: Column) -> Column:
@@ -57,24 +64,36 @@ def is_definition(line: Column, symbol: Column) -> Column:
     def has(before: str, after: str) -> Column:
         return F.regexp_like(line, F.concat(F.lit("(?i)" + before), s, F.lit(after)))
 
-    return (
-        has(r"\b(?:async\s+)?(?:def|function|fn|func)\s+", r"\b")
-        | has(r"\b(?:class|interface|trait|struct|enum|type)\s+", r"\b")
-        | has(r"\b(?:const|let|var|static|final)\s+", r"\b")
-        | has(r"\b", r"\s*[:=]\s*(?:async\s*)?\([^\n]*\)\s*=>")
-    )
+    return has(*DEFINED) | has(*TYPED) | has(*BOUND) | has(*ARROW)
 
 
 def is_call(line: Column, symbol: Column) -> Column:
-    return F.regexp_like(line, F.concat(F.lit(r"\b"), quoted(symbol), F.lit(r"\s*(?:<[^\n;()]*>)?\s*\(")))
+    return F.regexp_like(line, F.concat(F.lit(CALL[0]), quoted(symbol), F.lit(CALL[1])))
+
+
+def _pr(c: Column, pattern: str) -> Column:
+    owner, repo, number = (F.regexp_extract(c, pattern, k) for k in (1, 2, 3))
+    number = number.try_cast("long")
+    url = F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit("/pull/"), number.cast("string"))
+    return F.when(c.rlike(pattern), F.struct(owner.alias("owner"), repo.alias("repo"), number.alias("number"), url.alias("url")))
 
 
 def parse_pr_url(c: Column) -> Column:
-    """(owner, repo, number, url) of a pull request's address; null if it is none."""
-    owner, repo = F.regexp_extract(c, PR_URL, 1), F.regexp_extract(c, PR_URL, 2)
-    number = F.regexp_extract(c, PR_URL, 3)
-    url = F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit("/pull/"), number.try_cast("long").cast("string"))
-    return F.when(c.rlike(PR_URL), F.struct(owner.alias("owner"), repo.alias("repo"), number.try_cast("long").alias("number"), url.alias("url")))
+    """(owner, repo, number, url) of a pull request's address, blanks around it aside; null if it is none."""
+    pr = _pr(strip(c), PR_URL)
+    return F.when(~pr.repo.isin(".", "..", ""), pr)
+
+
+def bench_pr_url(c: Column) -> Column:
+    """As ``parse_pr_url``, by the looser rule of benchmark data: any owner and repository, any number, no blanks around."""
+    return _pr(c, BENCH_URL)
+
+
+def action_path(c: Column) -> Column:
+    """Normal form of a path in a request, "" for the root; null if it is absolute, leaves the root, is too long or has a backslash or NUL."""
+    parts = F.split(c, "/")
+    unsafe = (F.length(c) > ACTION_PATH_CHARS) | c.rlike(r"[\\\x00]") | c.startswith("/") | F.array_contains(parts, "..")
+    return F.when(~unsafe, F.array_join(F.filter(parts, lambda x: (x != "") & (x != ".")), "/"))
 
 
 def _component(c: Column) -> Column:
@@ -82,7 +101,7 @@ def _component(c: Column) -> Column:
 
 
 def case_id(url: Column) -> Column:
-    pr = parse_pr_url(url)
+    pr = bench_pr_url(url)
     readable = _component(F.concat_ws("", pr.owner, F.lit("-"), pr.repo, F.lit("-pr"), pr.number.cast("string")))
     return F.when(pr.isNotNull(), F.concat(readable, F.lit("-"), F.left(F.sha2(pr.url, 256), F.lit(10))))
 

@@ -104,9 +104,9 @@ def json_hash(c: Column) -> Column:
     return F.sha2(canonical_json(c), 256)
 
 
-def slug(c: Column, default: str = "value") -> Column:
+def slug(c: Column, default: str = "value", limit: int = 64) -> Column:
     made = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(made == "", default).otherwise(made)
+    return F.rtrim(F.left(F.when(made == "", default).otherwise(made), F.lit(limit)), F.lit("-"))
 
 
 def redact(c: Column, secrets: list[str] | None = None, limit: int = 2000) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import case_id, parse_pr_url
+from ..functions.paths import bench_pr_url, case_id
 from ..functions.text import json_hash
 
 
@@ -29,7 +29,7 @@ def golden_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def cases(golden: DataFrame, reviews: DataFrame, preferred: str | None = None) -> DataFrame:
     """(case_id, golden_url, review_url, repository, pr_number, fixture_tool, fixture_repo_name, golden_sha256)."""
-    pr = parse_pr_url(F.col("golden_url"))
+    pr = bench_pr_url(F.col("golden_url"))
     rows = pick_fixtures(reviews, preferred).join(golden_hashes(golden), "golden_url")
     return rows.select(case_id(F.col("golden_url")).alias("case_id"), "golden_url", "review_url", F.concat(pr.owner, F.lit("/"), pr.repo).alias("repository"), pr.number.alias("pr_number"), "fixture_tool", "fixture_repo_name", "golden_sha256")
 
@@ -80,16 +80,42 @@ def latest_records(records: DataFrame, order: list[str], key: tuple[str, ...] =
     return last.select(*key, "r.*")
 
 
+def semantic_digest(diffs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(review_id, semantic_sha256): what a diff says, whatever its text: merge base, numbers of files, hunks and lines, and the changed ranges of each side and path.
+
+    diffs: (review_id, merge_base_sha, additions, deletions, files, hunks), null where one is missing; ledger: (review_id, side, path, ranges), of
+    ``diffs.ledger_arrays``.
+    """
+    ranges = ledger.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("side", "path", "ranges"))).alias("ranges"))
+    fields = ("merge_base_sha", "additions", "deletions", "files", "hunks")
+    rows = diffs.join(ranges, "review_id", "left")
+    whole = F.forall(F.array(*[F.col(c).isNotNull() for c in (*fields, "ranges")]), lambda x: x) & (F.col("merge_base_sha") != "")
+    return rows.select("review_id", F.when(whole, F.sha2(F.to_json(F.struct(*fields, "ranges")), 256)).alias("semantic_sha256"))
+
+
 def sweep_violations(artifacts: DataFrame) -> DataFrame:
-    """(case_id, reason): what keeps artifacts (model, case_id, golden_url, review_url, base_sha, head_sha, diff_sha256) from being compared.
+    """(case_id, reason): what keeps artifacts (model, case_id, golden_url, review_url, base_sha, head_sha, diff_sha256, semantic_sha256) of several models from being compared.
 
-    Each model has each case, and a case has one identity and one diff for all models.
+    Each model has each case once, with no field missing. In each case a model has the identity of the first model by name, and its diff, by the text's digest or, if
+    both have one, by ``semantic_digest``. One model alone has nothing to be compared with.
     """
-    n_models = artifacts.select("model").distinct().count()
-    by = artifacts.groupBy("case_id").agg(
-        F.count_distinct("model").alias("models"), F.count_distinct(F.struct("golden_url", "review_url", "base_sha", "head_sha")).alias("snapshots"), F.count_distinct("diff_sha256").alias("diffs"),
+    rows = artifacts if "semantic_sha256" in artifacts.columns else artifacts.withColumn("semantic_sha256", F.lit(None).cast("string"))
+    models = rows.agg(F.count_distinct("model").alias("n"), F.min("model").alias("first")).first()
+    if models.n < 2:
+        return rows.select("case_id", F.lit("").alias("reason")).where("false")
+    needed = ("golden_url", "review_url", "base_sha", "head_sha", "diff_sha256")
+    missing = F.exists(F.array(F.col("case_id").cast("string"), *[F.col(c).cast("string") for c in needed]), lambda x: x.isNull() | (x == ""))
+    own = rows.groupBy("model", "case_id").agg(F.count("*").alias("n"), F.bool_or(missing).alias("missing"), *[F.min(c).alias(c) for c in (*needed, "semantic_sha256")])
+    base = own.where(F.col("model") == models["first"]).select("case_id", F.struct(*needed[:4]).alias("_identity"), F.col("diff_sha256").alias("_diff"), F.col("semantic_sha256").alias("_semantic"))
+    rows = own.join(base, "case_id", "left")
+    same_diff = (F.col("diff_sha256") == F.col("_diff")) | F.coalesce(F.col("semantic_sha256") == F.col("_semantic"), F.lit(False))
+    by = rows.groupBy("case_id").agg(
+        F.bool_or("missing").alias("missing"), F.max("n").alias("most"), F.count("*").alias("models"), F.bool_or(~F.coalesce(F.struct(*needed[:4]) == F.col("_identity"), F.lit(False))).alias("moved"), F.bool_or(~F.coalesce(same_diff, F.lit(False))).alias("changed"),
+    )
+    reason = (
+        F.when(F.col("missing"), "artifact lacks an identity").when(F.col("most") > 1, "several artifacts for a case").when(F.col("models") < models.n, "case is missing for a model")
+        .when(F.col("moved"), "snapshots differ").when(F.col("changed"), "diffs differ")
     )
-    reason = F.when(F.col("models") < n_models, "case is missing for a model").when(F.col("snapshots") > 1, "snapshots differ").when(F.col("diffs") > 1, "diffs differ")
     return by.withColumn("reason", reason).where("reason is not null").select("case_id", "reason")
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.paths import strict_path
+from ..functions.text import strip
 from .findings import in_ranges, ordered, render_candidate
 
 KEY = ["golden_url", "tool"]
+#: Texts that a final finding has.
+TEXTS = ("title", "body", "trigger", "impact", "evidence", "suggested_fix", "chunk_id")
 
 
 def eligibility(artifacts: DataFrame, cases: DataFrame, schema_version: str, expected: dict[str, str] | None = None, fixtures: DataFrame | None = None) -> DataFrame:
@@ -49,17 +52,24 @@ def one_configuration(artifacts: DataFrame, column: str = "config_json") -> Data
 
 
 def finding_violations(findings: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Final findings (review_id, finding_id, ...) that must not be exported, with the reason."""
-    inside = in_ranges(in_ranges(findings, ranges, "line"), ranges, "end_line").select("review_id", "finding_id").distinct().withColumn("_in", F.lit(True))
-    rows = findings.join(inside, ["review_id", "finding_id"], "left").withColumn("_n", F.count("*").over(Window.partitionBy("review_id", "finding_id")))
-    blank = F.exists(F.array("title", "body", "evidence", "trigger", "impact"), lambda x: x.isNull() | (F.trim(x) == ""))
-    reason = (
-        F.when(~F.coalesce(strict_path(F.col("path")), F.lit(False)), "unsafe path").when(~F.coalesce(F.col("side").isin("LEFT", "RIGHT"), F.lit(False)), "bad side")
-        .when(~F.coalesce(F.col("finding_id").rlike("^[a-z]{2}-[0-9a-f]{20}$"), F.lit(False)), "bad id").when(blank, "empty text")
-        .when(~F.coalesce(F.col("severity").isin(*schemas.SEVERITIES) & F.col("category").isin(*schemas.CATEGORIES), F.lit(False)), "unknown severity or category")
-        .when(F.col("_in").isNull(), "not a changed line").when(F.col("_n") > 1, "duplicate id")
+    """Final findings (review_id, finding_id, fingerprint, ...) that must not be exported, with the reason: the first that holds.
+
+    Path, lines and side, changed lines, id and fingerprint, texts, severity and category, confidence; last, whether another finding has the same id, place and text.
+    """
+    rows = findings
+    inside = in_ranges(in_ranges(rows, ranges, "line"), ranges, "end_line").select("review_id", "finding_id", "path", "side", "line", "end_line").distinct().withColumn("_in", F.lit(True))
+    text = render_candidate()
+    same = Window.partitionBy("review_id", "finding_id", "path", "line", F.sha2(text, 256))
+    rows = rows.join(inside, ["review_id", "finding_id", "path", "side", "line", "end_line"], "left").withColumn("_n", F.count("*").over(same))
+    known = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  what can't be told does not hold
+    holds = (
+        ("unsafe path", strict_path(F.col("path"))), ("bad lines", (F.col("line") > 0) & (F.col("end_line") >= F.col("line"))), ("bad side", F.col("side").isin("LEFT", "RIGHT")), ("not a changed line", F.col("_in")),
+        ("bad id", F.col("finding_id").rlike("^[a-z]{2}-[0-9a-f]{20}$")), ("bad fingerprint", F.col("fingerprint").rlike("^[0-9a-f]{64}$")),
+        ("empty text", F.forall(F.array(*TEXTS), lambda x: x.isNotNull() & (strip(x) != ""))), ("unknown severity or category", F.col("severity").isin(*schemas.SEVERITIES) & F.col("category").isin(*schemas.CATEGORIES)),
+        ("bad confidence", F.col("confidence").between(0, 1) & ~F.isnan("confidence")), ("duplicate finding", F.col("_n") == 1),
     )
-    return rows.withColumn("reason", reason).where("reason is not null").drop("_in", "_n")
+    reason = F.coalesce(*[F.when(~known(c), F.lit(why)) for why, c in holds])
+    return rows.withColumn("reason", reason).where("reason is not null").select(*findings.columns, "reason")
 
 
 def export_candidates(reviews: DataFrame, findings: DataFrame) -> DataFrame:

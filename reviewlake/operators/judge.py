@@ -89,7 +89,8 @@ def siblings(candidates: DataFrame, groups: DataFrame) -> DataFrame:
 def evaluate(golden: DataFrame, candidates: DataFrame, verdicts: DataFrame, reviews: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(golden_url, tool, skipped, tp, fp, fn, errors_count, total_candidates, total_golden, precision, recall) for each review.
 
-    Golden texts and candidate texts that repeat count once in tp, fn and fp, each time in the totals.
+    Golden texts and candidate texts that repeat count once in tp, fn and fp, each time in the totals; where there are no candidates, fn is all of the golden
+    comments, each time.
     """
     best = running_best(verdicts)
     hit = best.where("improves")
@@ -108,7 +109,7 @@ def evaluate(golden: DataFrame, candidates: DataFrame, verdicts: DataFrame, revi
     out = out.na.fill(0, ["total_golden", "comments", "total_candidates", "texts", "tp", "matched", "errors_count"])
     ratio = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)
     return out.select(
-        *KEY, (F.col("total_golden") == 0).alias("skipped"), "tp", F.when(F.col("total_golden") > 0, F.col("texts") - F.col("matched")).otherwise(0).alias("fp"), (F.col("comments") - F.col("tp")).alias("fn"),
+        *KEY, (F.col("total_golden") == 0).alias("skipped"), "tp", F.when(F.col("total_golden") > 0, F.col("texts") - F.col("matched")).otherwise(0).alias("fp"), F.when(F.col("total_candidates") == 0, F.col("total_golden")).otherwise(F.col("comments") - F.col("tp")).alias("fn"),
         "errors_count", "total_candidates", "total_golden", ratio("total_candidates").alias("precision"), ratio("total_golden").alias("recall"),
     )
 

@@ -69,14 +69,14 @@ def key_edges(batch: pa.RecordBatch, key: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def folded(df: DataFrame, key: list[str], order: list[str], length: str, start: Callable[[], NextFit | SkipFit], out: str, kind: T.DataType) -> DataFrame:
+def folded(df: DataFrame, key: list[str], order: list[str], length: str, start: Callable[..., NextFit | SkipFit], out: str, kind: T.DataType, given: Sequence[str] = ()) -> DataFrame:
     """df with what a fold over the lengths gives each row, in order within its key.
 
     Only (key, order, length) is dealt out by key and sorted; a task goes through its rows once and holds one
-    state, however many rows a key has.
+    state, however many rows a key has. The state of a key starts with the values that the columns given have in its first row.
     """
-    rows = df.select(*key, *order, F.col(length).cast("long").alias("_n")).repartition(*key).sortWithinPartitions(*key, *order)
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_n"]).add(out, kind)
+    rows = df.select(*key, *order, F.col(length).cast("long").alias("_n"), *[F.col(c).alias(f"_given{i}") for i, c in enumerate(given)]).repartition(*key).sortWithinPartitions(*key, *order)
+    schema = T.StructType([f for f in rows.schema.fields if f.name in (*key, *order)]).add(out, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = None, None
@@ -88,9 +88,9 @@ def folded(df: DataFrame, key: list[str], order: list[str], length: str, start:
             for a, b in zip(edges, [*edges[1:], len(n)], strict=True):
                 now = tuple(batch.column(k)[a].as_py() for k in key)
                 if now != last:
-                    state, last = start(), now
+                    state, last = start(*(batch.column(f"_given{i}")[a].as_py() for i in range(len(given)))), now
                 values += map(state.add, n[a:b])
-            kept = batch.drop_columns(["_n"])
+            kept = batch.select([*key, *order])
             yield kept.append_column(out, pa.array(values, pa.bool_() if kind == T.BooleanType() else pa.int32()))
 
     return df.join(rows.mapInArrow(run, schema), [*key, *order])
@@ -135,9 +135,16 @@ def fair_share(df: DataFrame, key: list[str], order: list[str], length: str, bud
     return df.withColumn(out, F.when(F.col("_fits"), F.col(length)).otherwise(share).cast("long")).drop("_total", "_fits", "_left", "_open")
 
 
-def render_fitting(df: DataFrame, key: list[str], order: list[str], length: str, cap: int, base: int = 0, out: str = "kept") -> DataFrame:
-    """df with a flag for each row: does it fit, in order, skipping those that do not."""
-    return folded(df, key, order, length, lambda: SkipFit(cap, base), out, T.BooleanType())
+def render_fitting(df: DataFrame, key: list[str], order: list[str], length: str, cap: int | str, base: int | str = 0, out: str = "kept") -> DataFrame:
+    """df with a flag for each row: does it fit, in order, skipping those that do not. cap and base are numbers, or columns that are alike within a key."""
+    given = [c for c in (cap, base) if isinstance(c, str)]
+
+    def start(*values: int) -> SkipFit:
+        own = iter(values)
+        most, used = (next(own) if isinstance(c, str) else c for c in (cap, base))
+        return SkipFit(most, used)
+
+    return folded(df, key, order, length, start, out, T.BooleanType(), given)
 
 
 def prefix_fit(df: DataFrame, key: list[str], order: list[str], cost: Column, cap: int) -> DataFrame:

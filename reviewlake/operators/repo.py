@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import canonical_path, is_test_path, stem
+from ..functions.paths import action_path, is_test_path, stem
 from ..functions.text import py_splitlines
+from .ordered import running, stored
 
 TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -40,17 +41,63 @@ def under(path: Column, prefix: Column) -> Column:
     return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
-def literal_search(requests: DataFrame, lines: DataFrame, page: int = 12, max_offset: int = 100_000) -> DataFrame:
-    """Hits of each request (request_id, commit_sha, prefix, query, start): lines that hold the query, paged by offset.
+#: Characters of a gram; each place of a line begins one, as a line's end is padded.
+GRAM = 3
+
+
+def gram_index(lines: DataFrame) -> DataFrame:
+    """(commit_sha, gram, path, line_no, at) for lines (commit_sha, path, line_no, text): the gram of three characters at each place of a line.
+
+    Write it bucketed by commit and gram to search it often.
+    """
+    padded = F.concat("text", F.lit("\0" * (GRAM - 1)))
+    grams = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return lines.where("text <> ''").select("commit_sha", "path", "line_no", F.posexplode(grams).alias("at", "gram"))
+
+
+def literal_hits(requests: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(request_id, path, line_no, text): all lines that hold a request's query (request_id, commit_sha, prefix, query), under its prefix.
+
+    A query meets only the places of its rarest gram, of these only the ones where its second rarest stands as far off as in the query, and only those lines
+    are compared with their text. A query shorter than a gram meets the places that begin with it. Queries that repeat are searched for once.
+    """
+    index = gram_index(lines) if index is None else index
+    asked = requests.where("query <> ''").select("commit_sha", "query").distinct()
+    n = F.length("query")
+    own = F.regexp_extract_all("query", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    wanted = asked.where(n >= GRAM).select("commit_sha", "query", F.posexplode(own).alias("at", "gram"))
+    # one pass over the index leaves the grams that some query has
+    places = stored(index.join(wanted.select("commit_sha", "gram").distinct(), ["commit_sha", "gram"], "left_semi").select("commit_sha", "gram", "path", "line_no", "at"), "gram_places")
+    sizes = places.groupBy("commit_sha", "gram").agg(F.count("*").alias("n"))
+    # a gram that the commit lacks has no places, and is the rarest
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram"))), 1, 2)
+    two = wanted.join(sizes, ["commit_sha", "gram"], "left").groupBy("commit_sha", "query").agg(ranked.alias("g"))
+    first, second = F.get("g", F.lit(0)), F.get("g", F.lit(1))
+    rare = two.select("commit_sha", "query", first["gram"].alias("gram"), second["gram"].alias("gram2"), (second["at"] - first["at"]).alias("away"))
+    begun = rare.join(places, ["commit_sha", "gram"]).withColumn("at", F.col("at") + F.coalesce("away", F.lit(0))).drop("gram")
+    met = begun.where("gram2 is not null").withColumnRenamed("gram2", "gram").join(places, ["commit_sha", "gram", "path", "line_no", "at"])
+    short = asked.where(n < GRAM)
+    begins = F.explode(F.array(*[F.left("gram", F.lit(k)) for k in range(1, GRAM)])).alias("query")
+    few = index.select("commit_sha", "path", "line_no", begins).join(short, ["commit_sha", "query"])
+    found = [df.select("commit_sha", "query", "path", "line_no") for df in (begun.where("gram2 is null"), met, few)]
+    at = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    held = at.join(lines.select("commit_sha", "path", "line_no", "text"), ["commit_sha", "path", "line_no"]).where(F.contains("text", "query"))
+    return requests.select("request_id", "commit_sha", "prefix", "query").join(held, ["commit_sha", "query"]).where(under(F.col("path"), F.col("prefix"))).select("request_id", "path", "line_no", "text")
+
+
+def literal_search(requests: DataFrame, lines: DataFrame, page: int = 12, max_offset: int = 100_000, index: DataFrame | None = None) -> DataFrame:
+    """Hits of each request (request_id, commit_sha, prefix, query, start), paged by offset, found by ``literal_hits``.
 
     start counts hits from 1; null is 1. Columns hit_no and more.
     """
-    r = requests.select("request_id", "commit_sha", "prefix", "query", F.coalesce("start", F.lit(1)).alias("start")).where(F.col("start") <= max_offset)
-    hit = r.join(lines, "commit_sha").where(under(F.col("path"), F.col("prefix")) & F.contains("text", "query"))
-    w = Window.partitionBy("request_id").orderBy("path", "line_no")
-    hit = hit.withColumn("hit_no", F.row_number().over(w)).where(F.col("hit_no") <= F.col("start") + page)
+    r = requests.withColumn("start", F.coalesce("start", F.lit(1))).where(F.col("start") <= max_offset)
+    hit = literal_hits(r, lines, index)
+    # no more of a request's hits are sorted than its last page can show
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("path", "line_no"))
+    hit = hit.withColumn("hit_no", place).where(F.col("hit_no") <= max_offset + page).join(r.select("request_id", "start"), "request_id")
+    hit = hit.where(F.col("hit_no").between(F.col("start"), F.col("start") + page))
     more = F.max("hit_no").over(Window.partitionBy("request_id")) >= F.col("start") + page
-    return hit.withColumn("more", more).where(F.col("hit_no").between(F.col("start"), F.col("start") + page - 1)).select("request_id", "path", "line_no", "text", "hit_no", "more")
+    return hit.withColumn("more", more).where(F.col("hit_no") < F.col("start") + page).select("request_id", "path", "line_no", "text", "hit_no", "more")
 
 
 def line_range_read(requests: DataFrame, lines: DataFrame) -> DataFrame:
@@ -58,10 +105,37 @@ def line_range_read(requests: DataFrame, lines: DataFrame) -> DataFrame:
     return requests.join(lines, ["commit_sha", "path"]).where(F.col("line_no").between(F.col("start"), F.col("end"))).select("request_id", "path", "line_no", "text")
 
 
-def path_list(requests: DataFrame, tree: DataFrame, page: int = 100) -> DataFrame:
-    """Paths of each request (request_id, commit_sha, prefix, cursor) after its cursor: (request_id, path, place, more, next_cursor)."""
-    hit = requests.join(tree.select("commit_sha", "path").distinct(), "commit_sha").where(under(F.col("path"), F.col("prefix")) & (F.col("path") > F.coalesce("cursor", F.lit(""))))
-    hit = hit.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("path"))).where(F.col("place") <= page + 1)
+#: Paths of a block of the path table; a page is smaller.
+BLOCK = 128
+
+
+def path_table(tree: DataFrame) -> DataFrame:
+    """(commit_sha, path, block) of a tree's paths, once each: a block is 128 that follow one another. Write it to list from it often."""
+    rows = tree.select("commit_sha", "path").distinct().withColumn("one", F.lit(1))
+    return running(rows, ["commit_sha", "path"], {"nth": "one"}, "path_table").select("commit_sha", "path", F.floor((F.col("nth") - 1) / BLOCK).alias("block"))
+
+
+def path_list(requests: DataFrame, tree: DataFrame, page: int = 100, paths: DataFrame | None = None) -> DataFrame:
+    """Paths of each request (request_id, commit_sha, prefix, cursor) after its cursor: (request_id, path, place, more, next_cursor).
+
+    Below a prefix the paths are one interval of the ordered table. Where it begins is found among the first paths of all blocks,
+    in one pass over these and the requests; then a page meets the two blocks that hold it. The prefix as a path of its own
+    is looked up.
+    """
+    if page >= BLOCK:
+        raise ValueError(f"a page has less than {BLOCK} paths")
+    paths = stored(path_table(tree), "paths") if paths is None else paths
+    r = requests.select("request_id", "commit_sha", "prefix", F.coalesce("cursor", F.lit("")).alias("cursor"))
+    below = F.when(F.col("prefix") == "", "").otherwise(F.concat("prefix", F.lit("/")))
+    r = r.withColumn("from", F.greatest(below, F.col("cursor")))
+    fences = paths.groupBy("block").agg(F.min(F.struct("commit_sha", "path")).alias("f")).select("f.commit_sha", F.col("f.path").alias("from"), F.lit(None).cast(r.schema["request_id"].dataType).alias("request_id"), F.lit(1).alias("fence"))
+    marked = fences.unionByName(r.select("commit_sha", "from", "request_id", F.lit(0).alias("fence"))).withColumn("after", 1 - F.col("fence"))
+    begins = running(marked, ["commit_sha", "from", "after"], {"fences": "fence"}, "path_fences").where("fence = 0")
+    # what comes from there on begins in the block of the last fence that is not behind, or with the next one
+    blocks = begins.select("request_id", F.explode(F.array(F.col("fences") - 1, F.col("fences"))).alias("block"))
+    inside = paths.join(blocks, "block").join(r, ["request_id", "commit_sha"]).where((F.col("path") > F.col("cursor")) & ((F.col("prefix") == "") | F.startswith(F.col("path"), below)))
+    same = paths.join(r.where("prefix <> '' and prefix > cursor"), (paths.commit_sha == r.commit_sha) & (paths.path == r.prefix)).select("request_id", "path")
+    hit = inside.select("request_id", "path").unionByName(same).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("path"))).where(F.col("place") <= page + 1)
     whole = Window.partitionBy("request_id")
     more = F.max("place").over(whole) > page
     hit = hit.withColumn("more", more).where(F.col("place") <= page)
@@ -69,21 +143,26 @@ def path_list(requests: DataFrame, tree: DataFrame, page: int = 100) -> DataFram
 
 
 def validate_requests(requests: DataFrame, cap: int = 8, read_lines: int = 400, max_offset: int = 100_000, max_query: int = 500) -> DataFrame:
-    """requests (review_id, batch_id, round, seq, action, path, query, start_line, end_line) with error; those beyond the cap are errors too."""
-    path = canonical_path(F.col("path"))
+    """requests (review_id, batch_id, round, seq, action, path, query, start_line, end_line) with error; those beyond the cap are errors too.
+
+    Paths, and the cursors of lists, come out in their normal form, which the other operators want.
+    """
+    path = action_path(F.coalesce("path", F.lit("")))
     start, end, query = F.col("start_line"), F.col("end_line"), F.coalesce("query", F.lit(""))
-    free = F.coalesce("path", F.lit("")) == ""
+    cursor = F.when(query == "", "").otherwise(action_path(query))
     rank = F.row_number().over(Window.partitionBy("review_id", "batch_id", "round").orderBy("seq"))
-    read = (path.isNull() | (query != "") | start.isNull() | (start < 1) | end.isNull() | (end < start) | (end - start + 1 > read_lines))
-    search = (path.isNull() & ~free) | (query == "") | (F.length(query) > max_query) | query.rlike(r"[\x00\r\n]") | (start < 1) | (start > max_offset) | end.isNotNull()
-    listing = (path.isNull() & ~free) | ((query != "") & canonical_path(query).isNull()) | start.isNotNull() | end.isNotNull()
+    read = path.isNull() | (path == "") | (query != "") | start.isNull() | (start < 1) | end.isNull() | (end < start) | (end - start + 1 > read_lines)
+    search = path.isNull() | (query == "") | (F.length(query) > max_query) | query.rlike(r"[\x00\r\n]") | (start < 1) | (start > max_offset) | end.isNotNull()
+    listing = path.isNull() | cursor.isNull() | ((query != "") & (cursor == "")) | start.isNotNull() | end.isNotNull()
     error = (
         F.when(rank > cap, "too many requests").when(~F.coalesce(F.col("action").isin("read", "search", "list"), F.lit(False)), "action type is unsupported")
         .when((F.col("action") == "read") & F.coalesce(read, F.lit(True)), "read action has invalid arguments")
         .when((F.col("action") == "search") & F.coalesce(search, F.lit(False)), "search action has invalid arguments")
         .when((F.col("action") == "list") & F.coalesce(listing, F.lit(False)), "list action has invalid arguments")
     )
-    return requests.withColumn("error", error)
+    rows = requests.withColumn("error", error)
+    sound = F.col("error").isNull()
+    return rows.withColumns({"path": F.when(sound, path).otherwise(F.col("path")), "query": F.when(sound & (F.col("action") == "list"), cursor).otherwise(query)})
 
 
 def dedup_requests(requests: DataFrame) -> DataFrame:
@@ -94,20 +173,32 @@ def dedup_requests(requests: DataFrame) -> DataFrame:
 
 
 def legal_cursors(requests: DataFrame, offers: DataFrame) -> DataFrame:
-    """requests (review_id, batch_id, action, path, query, cursor, round) with legal: a first page, or a cursor offered in an earlier round.
+    """requests (review_id, batch_id, action, path, query, cursor, round) with legal: a null cursor is a first page, others must be the one offered last before their round.
 
-    offers: (review_id, batch_id, action, path, query, cursor, round).
+    offers: (review_id, batch_id, action, path, query, cursor, round), by round; a null cursor says that there is no more. After an offer, the
+    first page isn't the next one either. ``replay`` makes the offers as it goes.
     """
-    key = ["review_id", "batch_id", "action", "path", "query", "cursor"]
-    first = offers.where("cursor is not null").groupBy(*key).agg(F.min("round").alias("_offered"))
-    return requests.join(first, key, "left").withColumn("legal", F.col("cursor").isNull() | F.coalesce(F.col("_offered") < F.col("round"), F.lit(False))).drop("_offered")
+    key = ["review_id", "batch_id", "action", "path", "query"]
+    both = requests.withColumns({"_asks": F.lit(True), "_offer": F.lit(None).cast("string")}).unionByName(
+        offers.select(*key, "round", F.struct(F.col("cursor")).alias("_o")).groupBy(*key, "round").agg(F.max("_o.cursor").alias("_offer")).withColumn("_asks", F.lit(False)), allowMissingColumns=True
+    )
+    earlier = Window.partitionBy(*key).orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("_last", F.last(F.when(~F.col("_asks"), F.struct("_offer")), ignorenulls=True).over(earlier)).where("_asks")
+    expected = F.when(F.col("_last").isNull(), F.lit(None).cast("string")).otherwise(F.col("_last._offer"))
+    legal = F.when(F.col("_last").isNotNull() & expected.isNull(), False).otherwise(expected.eqNullSafe(F.col("cursor")))
+    return rows.withColumn("legal", legal).select(*requests.columns, "legal")
+
 
+# What a source file that may have tests ends with.
+SOURCE_SUFFIXES = (".c", ".cc", ".cpp", ".cs", ".go", ".java", ".js", ".jsx", ".kt", ".php", ".py", ".rb", ".rs", ".scala", ".swift", ".ts", ".tsx")
 
-def related_tests(paths: DataFrame, tree: DataFrame, limit: int = 10, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """(review_id, path, test_path): tests whose stem holds the path's stem, or shares a word of three letters or more with it.
+
+def related_tests(paths: DataFrame, tree: DataFrame, limit: int = 10, suffixes: tuple[str, ...] = SOURCE_SUFFIXES) -> DataFrame:
+    """(review_id, path, test_path, rank): tests whose stem holds the path's stem, or shares a word of three letters or more with it.
 
     Words meet in an equi join, each with its first tests alone, which is exact as only the first of all are returned. A stem inside
-    another is found by its first characters, three at most, and then compared.
+    another is found by its rarest gram of three characters, counted over the tests of its commit, and then compared; a stem
+    shorter than that by the grams that begin with it.
     """
     words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: F.length(w) >= 3)
     tests = tree.where(is_test_path(F.col("path"))).select("commit_sha", F.col("path").alias("test_path")).distinct()
@@ -115,21 +206,36 @@ def related_tests(paths: DataFrame, tree: DataFrame, limit: int = 10, suffixes:
         tests = tests.where(F.lower(F.concat(F.lit("."), F.element_at(F.split("test_path", r"\."), -1))).isin(*suffixes))
     tests = tests.withColumn("test_stem", F.lower(stem(F.col("test_path"))))
     want = paths.select("review_id", "commit_sha", "path").withColumn("own_stem", F.lower(stem(F.col("path"))))
-    postings = tests.select("*", F.explode(words(F.col("test_stem"))).alias("w"))
     nth = F.row_number().over(Window.partitionBy("commit_sha", "w").orderBy("test_path"))
-    by_word = want.select("*", F.explode(words(stem(F.col("path")))).alias("w")).join(postings.withColumn("_n", nth).where(F.col("_n") <= limit + 1), ["commit_sha", "w"])
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("test_stem") - n + 1, F.lit(1))), lambda i: F.substr("test_stem", i, F.lit(n)))
-    known = tests.select("*", F.explode(F.array_distinct(F.concat(*map(grams, (1, 2, 3))))).alias("_g"))
-    by_stem = want.where("own_stem <> ''").withColumn("_g", F.left("own_stem", F.lit(3))).join(known, ["commit_sha", "_g"]).where(F.contains("test_stem", "own_stem"))
+    postings = tests.select("*", F.explode(words(F.col("test_stem"))).alias("w")).withColumn("_n", nth).where(F.col("_n") <= limit + 1)
+    by_word = want.select("*", F.explode(words(stem(F.col("path")))).alias("w")).join(postings, ["commit_sha", "w"])
+    stems = tests.select("commit_sha", "test_path", F.lit(1).alias("line_no"), F.col("test_stem").alias("text")).withColumnRenamed("test_path", "path")
+    asked = want.where("own_stem <> ''").select("commit_sha", "own_stem").distinct()
+    asked = asked.select(F.struct("commit_sha", "own_stem").alias("request_id"), "commit_sha", F.lit("").alias("prefix"), F.col("own_stem").alias("query"))
+    inside = literal_hits(asked, stems).select("request_id.*", F.col("path").alias("test_path"))
+    first = F.row_number().over(Window.partitionBy("commit_sha", "own_stem").orderBy("test_path"))
+    by_stem = want.join(inside.withColumn("_n", first).where(F.col("_n") <= limit + 1), ["commit_sha", "own_stem"])
     cols = ["review_id", "path", "test_path"]
     both = by_word.select(*cols).unionByName(by_stem.select(*cols)).where("path <> test_path").distinct()
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("review_id", "path").orderBy("test_path"))).where(F.col("rank") <= limit)
 
 
+# Fixed value: what stands for the paths that an index leaves out.
+INDEX_MARKER = "...[repository index truncated; use list to inspect a prefix]"
+
+
 def index_prefix(tree: DataFrame, limit: int) -> DataFrame:
-    """Paths of each commit in order while they fit, with LF between, and whether all did: (commit_sha, index, truncated)."""
-    w = Window.partitionBy("commit_sha").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tree.select("commit_sha", "path").distinct().withColumn("used", F.sum(F.length("path") + 1).over(w) - 1)
-    fit = F.when(F.col("used") <= limit, F.col("path"))
-    out = rows.groupBy("commit_sha").agg(F.array_join(F.array_sort(F.collect_list(fit)), "\n").alias("index"), F.max(F.col("used") > limit).alias("truncated"))
-    return out
+    """(commit_sha, index, truncated): paths of each commit in order, with LF between; where not all fit in limit, as many as leave room for a marker, and the marker.
+
+    Lengths are summed in global order, so no task reads a commit whole; only the paths that are shown meet.
+    """
+    if limit < len(INDEX_MARKER):
+        raise ValueError(f"an index has {len(INDEX_MARKER)} characters at least")
+    rows = tree.select("commit_sha", "path").distinct().withColumn("n", F.length("path").cast("long") + 1)
+    summed = running(rows, ["commit_sha", "path"], {"upto": "n"}, "index_lengths")
+    commits = summed.groupBy("commit_sha").agg((F.max("upto") - F.min(F.col("upto") - F.col("n")) - 1).alias("all"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    used = F.col("upto") - F.col("before") - 1
+    shown = summed.join(commits, "commit_sha").where((F.col("all") <= limit) | (used + len(INDEX_MARKER) <= limit)).groupBy("commit_sha").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("paths"))
+    out = commits.join(shown, "commit_sha", "left").withColumn("truncated", F.col("all") > limit).withColumn("paths", F.coalesce("paths", F.lit("")))
+    cut = F.concat("paths", F.when(F.col("paths") != "", "\n").otherwise(""), F.lit(INDEX_MARKER))
+    return out.select("commit_sha", F.when(F.col("truncated"), F.left(cut, F.lit(limit))).otherwise(F.col("paths")).alias("index"), "truncated")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, export, repo, telemetry
+from ..operators import benchmark, diffs, export, repo, telemetry
 from . import views as V
 
 
@@ -65,16 +65,31 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep_comparable(spark: SparkSession, d: str) -> DataFrame:
-    o = V.table(spark, d, "orders")
-    rows = o.select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 50 == 0, "g2").otherwise("g").alias("golden_url"), F.lit("r").alias("review_url"), F.lit("b").alias("base_sha"), F.lit("h").alias("head_sha"), F.when(F.col("o_orderkey") % 20 == 1, "d2").otherwise("d").alias("diff_sha256"))
-    return benchmark.sweep_violations(rows)
+    """The first order of each priority and customer as an artifact; identities, texts and meanings of diffs differ here and there, some lack a field, some come twice."""
+    k = F.col("k")
+    rows = V.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 300).alias("case_id")).agg(F.min("o_orderkey").alias("k"))
+    rows = rows.select(
+        "model", "case_id", F.when(k % 50 == 0, "g2").otherwise("g").alias("golden_url"), F.lit("r").alias("review_url"), F.when(k % 61 != 0, "b").alias("base_sha"), F.lit("h").alias("head_sha"), F.when(k % 20 == 1, "d2").otherwise("d").alias("diff_sha256"),
+        F.when(k % 40 == 1, "s2").when(k % 33 != 0, "s").alias("semantic_sha256"), "k",
+    )
+    return benchmark.sweep_violations(rows.unionByName(rows.where("k % 67 = 0")).drop("k"))
+
+
+def semantic_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of what the diffs of suppliers change, by merge base, counts and ranges; some have no merge base."""
+    led = diffs.ledger_arrays(V.ledger(spark, d))
+    counts = V.ledger(spark, d).groupBy("review_id").agg(F.count_distinct("path").alias("files"), F.count_if(F.col("side") == "RIGHT").alias("additions"), F.count_if(F.col("side") == "LEFT").alias("deletions"))
+    rows = counts.select("review_id", F.when(F.col("review_id") % 7 != 0, "m").alias("merge_base_sha"), "additions", "deletions", "files", F.col("files").alias("hunks"))
+    return benchmark.semantic_digest(rows, led).select("review_id", F.coalesce("semantic_sha256", F.lit("")).alias("semantic_sha256"))
 
 
 def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     o = V.table(spark, d, "orders")
-    expected = V.table(spark, d, "customer").select(F.lit("5-LOW").alias("model"), F.col("c_custkey").alias("case_id"))
-    rec = o.where("o_orderpriority = '5-LOW'").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "failed").otherwise("completed").alias("status"), F.concat(F.lit("a"), F.col("o_custkey") % 400).alias("artifact"), F.lit("x").alias("artifact_sha256"))
-    return benchmark.manifest_violations(expected, rec)
+    expected = V.table(spark, d, "customer").select(F.explode(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))).alias("model"), F.col("c_custkey").alias("case_id"))
+    artifact = F.concat("o_orderpriority", F.lit("/a"), F.col("o_custkey") % 400)
+    rec = o.select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "failed").otherwise("completed").alias("status"), artifact.alias("artifact"), F.concat(F.lit("x"), F.col("o_custkey") % 50).alias("artifact_sha256"))
+    contents = rec.select("artifact").distinct().withColumn("sha256", F.concat(F.lit("x"), F.element_at(F.split("artifact", "/a"), -1).cast("int") % 50))
+    return benchmark.manifest_violations(expected, rec, contents.where("not endswith(artifact, '7')"))
 
 
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -129,11 +144,10 @@ def last_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate quantiles lie within the range of the stage."""
-    rows = V.calls(spark, d)
-    q = telemetry.latency_quantiles(rows).withColumnRenamed("latency_ms", "q")
-    lim = rows.groupBy("stage").agg(F.min("latency_ms").alias("lo"), F.max("latency_ms").alias("hi"))
-    return q.join(lim, "stage").select("stage", F.forall("q", lambda x: x.between(F.col("lo"), F.col("hi"))).alias("within"))
+    """Quantiles of latency by stage, to three digits, where each stage has few enough calls to rank exactly."""
+    rows = V.calls(spark, d).withColumn("group", F.floor(F.col("review_id") / 10))
+    q = telemetry.latency_quantiles(rows, "stage", "group")
+    return q.select("stage", "group", *[F.round(F.get("latency_ms", F.lit(i)), 3).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 def context_pressure(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +204,7 @@ def file_lists(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fixture_pick, dataset_manifest, golden_hashes, golden_changes, case_filter, job_matrix_resume, work_queue, latest_records, run_status, sweep_comparable, manifest_check, duplicate_ids, artifact_gates, one_configuration, hunk_coverage,
+        fixture_pick, dataset_manifest, golden_hashes, golden_changes, case_filter, job_matrix_resume, work_queue, latest_records, run_status, sweep_comparable, semantic_diffs, manifest_check, duplicate_ids, artifact_gates, one_configuration, hunk_coverage,
         call_usage, call_usage_hourly, last_usage, latency_bounds, context_pressure, context_totals, omissions, file_sets, selection_telemetry, pages_left, budget_derivation, file_lists,
     )
 }
@@ -208,11 +222,19 @@ ORACLE = {
     "work_queue": "SELECT o_custkey AS case_id, o_orderpriority AS model, o_totalprice AS diff_chars FROM orders",
     "latest_records": f"{_LATEST} SELECT model, case_id, status, o_orderkey FROM l WHERE r = 1",
     "run_status": f"{_LATEST} SELECT status, count(*) AS records FROM l WHERE r = 1 GROUP BY status",
-    "sweep_comparable": """WITH o AS (SELECT * FROM orders), b AS (SELECT o_custkey AS case_id, count(DISTINCT o_orderpriority) AS m, count(DISTINCT o_orderkey % 50 = 0) AS s, count(DISTINCT o_orderkey % 20 = 1) AS d FROM o GROUP BY 1)
-      SELECT case_id, CASE WHEN m < (SELECT count(DISTINCT o_orderpriority) FROM o) THEN 'case is missing for a model' WHEN s > 1 THEN 'snapshots differ' ELSE 'diffs differ' END AS reason FROM b WHERE m < (SELECT count(DISTINCT o_orderpriority) FROM o) OR s > 1 OR d > 1""",
-    "manifest_check": """WITH r AS (SELECT o_custkey AS k, count(*) AS n, bool_and(o_orderstatus <> 'O') AS ok FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1), s AS (SELECT k % 400 AS a, count(*) AS owners FROM r GROUP BY 1)
-      SELECT * FROM (SELECT '5-LOW' AS model, coalesce(c_custkey, k) AS case_id, CASE WHEN c_custkey IS NULL THEN 'unexpected record' WHEN n IS NULL THEN 'missing record' WHEN n > 1 THEN 'several records' WHEN NOT ok THEN 'not completed' WHEN owners > 1 THEN 'artifact is shared' END AS reason
-      FROM customer FULL JOIN r ON k = c_custkey LEFT JOIN s ON s.a = k % 400) WHERE reason IS NOT NULL""",
+    "sweep_comparable": """WITH k AS (SELECT o_orderpriority AS model, o_custkey % 300 AS case_id, min(o_orderkey) AS k FROM orders GROUP BY 1, 2), f AS (SELECT min(model) AS first, count(DISTINCT model) AS n FROM k),
+      r AS (SELECT model, case_id, k, k % 50 = 0 AS g, k % 20 = 1 AS d, CASE WHEN k % 40 = 1 THEN 's2' WHEN k % 33 <> 0 THEN 's' END AS s FROM k),
+      j AS (SELECT r.*, b.k AS bk, b.g AS bg, b.d AS bd, b.s AS bs FROM r LEFT JOIN r b ON b.case_id = r.case_id AND b.model = (SELECT first FROM f)),
+      c AS (SELECT case_id, bool_or(k % 61 = 0) AS missing, bool_or(k % 67 = 0) AS twice, count(*) AS m, bool_or(bk IS NULL OR coalesce(bk % 61 = 0, true) OR k % 61 = 0 OR g <> bg) AS moved, bool_or(bk IS NULL OR (d <> bd AND NOT coalesce(s = bs, false))) AS changed FROM j GROUP BY case_id)
+      SELECT * FROM (SELECT case_id, CASE WHEN missing THEN 'artifact lacks an identity' WHEN twice THEN 'several artifacts for a case' WHEN m < (SELECT n FROM f) THEN 'case is missing for a model' WHEN moved THEN 'snapshots differ' WHEN changed THEN 'diffs differ' END AS reason FROM c) WHERE reason IS NOT NULL""",
+    "semantic_diffs": f"""WITH {V.V5}, i AS (SELECT review_id, side, path, min(line) AS s, max(line) AS e FROM (SELECT *, line - row_number() OVER (PARTITION BY review_id, side, path ORDER BY line) AS g FROM ledger WHERE line > 0) GROUP BY review_id, side, path, g),
+      p AS (SELECT review_id, side, path, '{{"side":"' || side || '","path":"' || path || '","ranges":[' || string_agg('{{"start":' || s || ',"end":' || e || '}}', ',' ORDER BY s) || ']}}' AS j FROM i GROUP BY review_id, side, path),
+      a AS (SELECT review_id, string_agg(j, ',' ORDER BY side, path) AS j FROM p GROUP BY review_id), c AS (SELECT review_id, count(DISTINCT path) AS f, count(*) FILTER (WHERE side = 'RIGHT') AS a, count(*) FILTER (WHERE side = 'LEFT') AS d FROM ledger GROUP BY review_id)
+      SELECT review_id, CASE WHEN review_id % 7 = 0 THEN '' ELSE sha256('{{"merge_base_sha":"m","additions":' || c.a || ',"deletions":' || d || ',"files":' || f || ',"hunks":' || f || ',"ranges":[' || j || ']}}') END AS semantic_sha256 FROM c JOIN a USING (review_id)""",
+    "manifest_check": """WITH r AS (SELECT o_orderpriority AS model, o_custkey AS k, count(*) AS n, bool_and(o_orderstatus <> 'O') AS ok FROM orders GROUP BY 1, 2), s AS (SELECT model, k % 400 AS a, count(*) AS owners FROM r GROUP BY 1, 2),
+      e AS (SELECT model, c_custkey FROM customer, (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS model))
+      SELECT * FROM (SELECT coalesce(e.model, r.model) AS model, coalesce(c_custkey, r.k) AS case_id, CASE WHEN c_custkey IS NULL THEN 'unexpected record' WHEN n IS NULL THEN 'missing record' WHEN n > 1 THEN 'several records' WHEN NOT ok THEN 'not completed' WHEN owners > 1 THEN 'artifact is shared'
+        WHEN r.k % 400 % 10 = 7 THEN 'checksum differs' END AS reason FROM e FULL JOIN r ON r.k = c_custkey AND r.model = e.model LEFT JOIN s ON s.model = r.model AND s.a = r.k % 400) WHERE reason IS NOT NULL""",
     "duplicate_ids": "SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE n > 1 GROUP BY n",
     "artifact_gates": """WITH a AS (SELECT *, o_orderkey AS k, count(*) OVER (PARTITION BY o_orderpriority, o_custkey) AS n, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 13 <> 0) ON c_custkey = o_custkey)
       SELECT CASE WHEN k % 19 = 0 THEN 'unsupported schema' WHEN k % 23 = 0 THEN 'tool_version is not the expected one' WHEN k % 29 = 0 THEN 'suite is not the expected one' WHEN o_orderstatus = 'O' THEN 'not completed' WHEN NOT known THEN 'unknown case'
@@ -226,7 +248,7 @@ ORACLE = {
     "call_usage": f"WITH {V.V3} SELECT stage, count(*) AS calls, count(input_tokens) AS reporting, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS tokens, count(*) - count(input_tokens) AS missing, count(error) AS errors, round(sum(latency_ms), 2) AS latency_ms FROM calls GROUP BY stage",
     "call_usage_hourly": f"WITH {V.V3} SELECT strftime(ts, '%Y-%m-%d %H') AS hour, stage, count(*) AS calls, count(input_tokens) AS reporting, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS tokens, count(error) AS errors FROM calls GROUP BY ALL",
     "last_usage": f"SELECT user_id AS call_id, arg_max({_K}, event_id) AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_input_tokens FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
-    "latency_bounds": "SELECT DISTINCT event_type AS stage, true AS within FROM events",
+    "latency_bounds": f"WITH {V.V3} SELECT stage, review_id // 10 AS \"group\", round(quantile_disc(latency_ms, 0.5), 3) AS p50, round(quantile_disc(latency_ms, 0.9), 3) AS p90, round(quantile_disc(latency_ms, 0.99), 3) AS p99 FROM calls GROUP BY 1, 2",
     "context_pressure": """SELECT conv_id AS review_id, count(*) AS batches, count(*) FILTER (WHERE length(text) > 400) AS truncated_batches, count(*) FILTER (WHERE least(length(text), 400) / 400.0 >= 0.95) AS near_limit,
       round(max(least(length(text), 400) / CAST(400 AS DOUBLE)), 9) AS max_utilisation, bool_or(length(text) > 400) AS hit_limit FROM conversations GROUP BY conv_id""",
     "context_totals": """SELECT conv_id AS review_id, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS tokens, count(*) FILTER (WHERE length(text) > 800) AS omitted,

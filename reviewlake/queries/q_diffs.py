@@ -10,7 +10,7 @@ from . import views as V
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    return diffs.tables(diffs.parsed(V.diffs(spark, d)))
+    return diffs.tables(diffs.parsed_once(V.diffs(spark, d)))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -69,9 +69,16 @@ def verifier_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verifier_checks(spark: SparkSession, d: str) -> DataFrame:
-    dec = V.decisions(spark, d)
-    sizes = dec.groupBy("review_id", "batch_offset").agg(F.lit(20).alias("n"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return verify.validate_decisions(dec, sizes.withColumn("n", F.col("batch_offset") % 4 + 3)).select("review_id", "batch_offset", F.coalesce("error", F.lit("")).alias("error"))
+    """Labels in batches of sixteen ids, with every fault somewhere: by doc_id, and by batch for one decision too few."""
+    k, i, n = F.floor(F.col("doc_id") / 16), F.col("i"), F.col("doc_id")
+    rows = V.table(spark, d, "labels").select("doc_id", "toxic", "quality", k.alias("batch_offset")).withColumn("i", F.row_number().over(Window.partitionBy("batch_offset").orderBy("doc_id")) - 1)
+    said = F.when(n % 47 == 0, "maybe").when(i == 0, "keep").when(F.col("toxic") == 1, "drop").when(F.col("quality") == 1, "keep").otherwise("merge")
+    dec = rows.withColumn("decision", said).select(
+        F.lit(1).alias("review_id"), "batch_offset", (i + F.when(n % 43 == 0, 1).otherwise(0)).alias("candidate_index"), "decision", F.when(n % 31 == 0, 5.0).when(n % 37 == 0, None).otherwise((n % 50) / 49).alias("confidence"),
+        F.when(n % 41 == 0, " ").otherwise("because").alias("reason"), F.when(F.col("decision") == "merge", F.when(n % 23 == 0, i + 1).when(n % 3 == 0, i - 1).otherwise(0)).when(n % 29 == 0, 0).alias("canonical_index"),
+    )
+    sizes = dec.groupBy("review_id", "batch_offset").agg((F.count("*") + F.when(F.col("batch_offset") % 13 == 0, 1).otherwise(0)).alias("n"))
+    return verify.validate_decisions(dec, sizes).select("batch_offset", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def verifier_fail_closed(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +99,17 @@ def evidence_accounting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finding_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = _gated(spark, d).withColumn("finding_id", F.concat(F.lit("rl-"), F.left(F.sha2(F.concat_ws(":", F.col("review_id") % 2, F.col("seq") % 50_000), 256), F.lit(20))))
-    bad = export.finding_violations(rows, diffs.compact_ranges(V.ledger(spark, d)))
-    return bad.groupBy("reason").agg(F.count("*").alias("n"))
+    """Gated findings with one thing wrong at each of some values of q, and some of them twice."""
+    q = F.col("q")
+    kinds = V.findings(spark, d).select("review_id", "seq", "q")
+    rows = _gated(spark, d).drop("fingerprint", "stage", "reason").join(kinds, ["review_id", "seq"])
+    rows = rows.withColumns({
+        "end_line": F.when(q == 17, F.col("line") - 1).otherwise(F.col("end_line")), "side": F.when(q == 19, "UP").otherwise(F.col("side")), "fingerprint": F.when(q == 13, "zz").otherwise(F.sha2(F.col("seq").cast("string"), 256)),
+        "finding_id": F.when(q == 23, "rl-xyz").otherwise(F.concat(F.lit("rl-"), F.left(F.sha2(F.col("seq").cast("string"), 256), F.lit(20)))), "chunk_id": F.when(q == 29, " ").otherwise("c"),
+        "suggested_fix": F.when(q != 31, "f"), "confidence": F.when(q == 37, float("nan")).otherwise(F.col("confidence")),
+    })
+    twice = rows.unionByName(rows.where("seq % 97 = 0"))
+    return export.finding_violations(twice, diffs.compact_ranges(V.ledger(spark, d))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def json_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -159,10 +174,32 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = _gated(spark, d).where("reason is null").withColumn("finding_id", F.col("fingerprint"))
+    rows = _gated(spark, d).where("reason is null").withColumn("finding_id", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 12, "0")))
     reviews = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("review_id"), F.concat(F.lit("u"), "s_suppkey").alias("url"))
-    out = export.render_reports(reviews, rows)
-    return out.select("review_id", F.regexp_extract("report", r"Findings: (\d+)", 1).cast("long").alias("findings"), F.left("report", F.lit(20)).alias("head"))
+    return export.render_reports(reviews, rows).select("review_id", F.sha2("report", 256).alias("report_sha256"), F.length("report").cast("long").alias("chars"))
+
+
+def action_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths as requests have them: roots, slashes too many, dots, backslashes, zero bytes and blanks, of every document."""
+    forms = ("{}", "/{}", "{}//x/", "./{}/.", "../{}", "a\\{}", "{}/..", " {} ", "{}\0", ".", "", "a/./b//{}", "..{}/c")
+    raw = F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("doc_id") % len(forms)).cast("int")), F.lit("{}"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")))
+    return V.table(spark, d, "documents").select("doc_id", F.coalesce(paths.action_path(raw), F.lit("unsafe")).alias("path"))
+
+
+def bench_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by the strict rule and by the looser one of benchmark data."""
+    forms = ("https://github.com/o/r{}/pull/{}", " https://github.com/o/r{}/pull/{} ", "https://github.com/-o_/r{}/pull/0{}", "https://github.com/o/../pull/{}", "https://github.com/o/r{}.git/pull/{}/files", "http://github.com/o/r{}/pull/{}", "https://github.com/o/r{}/pull/x{}")
+    url = F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("page_id") % len(forms)).cast("int")), F.lit("{}"), F.col("page_id").cast("string"))
+    said = lambda p: F.coalesce(p.url, F.lit(""))
+    return V.table(spark, d, "pages").select("page_id", said(paths.parse_pr_url(url)).alias("strict"), said(paths.bench_pr_url(url)).alias("loose"))
+
+
+def oversized_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as findings, the reviews whose longest fits no batch, and how many batches the others have."""
+    rows = V.items(spark, d).select(F.col("conv_id").alias("review_id"), F.col("turn").alias("seq"), F.col("n").alias("payload_chars"))
+    made = verify.verifier_batches(rows, max_items=3, max_chars=1_200).groupBy("review_id").agg(F.count_distinct("batch_index").alias("batches"))
+    bad = verify.oversized(rows, 1_200).groupBy("review_id").agg(F.count("*").alias("oversized"))
+    return made.join(bad, "review_id", "full").na.fill(0, ["batches", "oversized"])
 
 
 def candidate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         location_gate, assign_chunk, evidence_gate, anchor_gate, gate_reasons, rejection_funnel, verifier_outcome, verifier_checks, verifier_fail_closed, verifier_batches, evidence_accounting, finding_violations, json_responses, judge_texts,
-        parsed_findings, redaction, clip_and_tokens, untrusted_blocks, pr_urls, identity_keys, safe_paths, report_text, candidate_text, publish_keys,
+        parsed_findings, redaction, clip_and_tokens, untrusted_blocks, pr_urls, identity_keys, safe_paths, report_text, action_paths, bench_urls, oversized_findings, candidate_text, publish_keys,
     )
 }
 _IN = "EXISTS (SELECT 1 FROM ledger l WHERE l.review_id = f.review_id AND l.side = f.side AND l.path = f.path AND l.line = f.{} AND l.line > 0)"
@@ -225,12 +262,15 @@ ORACLE = {
     "gate_reasons": f"WITH {GATED} SELECT review_id, seq, stage, reason FROM gr",
     "rejection_funnel": f"WITH {GATED} SELECT CASE WHEN grouping(stage) = 1 THEN 'all' ELSE stage END AS stage, CASE WHEN grouping(reason) = 1 THEN 'all' ELSE reason END AS reason, count(*) AS n FROM gr GROUP BY GROUPING SETS ((stage), (stage, reason), ())",
     "verifier_outcome": f"WITH {V.V7} SELECT review_id, CASE WHEN decision = 'merge' THEN 'verifier_merge' WHEN decision <> 'keep' THEN 'verifier' WHEN confidence < 0.78::DOUBLE THEN 'verifier_confidence' ELSE 'kept' END AS outcome, count(*) AS n FROM dec GROUP BY ALL",
-    "verifier_checks": f"""WITH {V.V7}, k AS (SELECT DISTINCT review_id, batch_offset, candidate_index FROM dec WHERE decision = 'keep' AND confidence >= 0.78::DOUBLE),
-      s AS (SELECT dec.review_id, dec.batch_offset, dec.batch_offset % 4 + 3 AS n, count(*) AS r, count(DISTINCT dec.candidate_index) AS dist, min(dec.candidate_index) AS lo, max(dec.candidate_index) AS hi,
-              bool_or(decision = 'merge' AND coalesce(canonical_index = dec.candidate_index, false)) AS self, bool_or(decision = 'merge' AND k.candidate_index IS NULL) AS lost
-            FROM dec LEFT JOIN k ON k.review_id = dec.review_id AND k.batch_offset = dec.batch_offset AND k.candidate_index = dec.canonical_index GROUP BY ALL)
-      SELECT review_id, batch_offset, CASE WHEN dist < n AND r = dist THEN 'a finding has no decision' WHEN lo < 0 OR hi >= n THEN 'decision index is out of range' WHEN r > dist THEN 'duplicate decision index'
-        WHEN self THEN 'merge points to itself' WHEN lost THEN 'merge into a finding that is not kept' ELSE '' END AS error FROM s WHERE r > 1""",
+    # the faults of a payload, in the documented order
+    "verifier_checks": """WITH r AS (SELECT *, doc_id // 16 AS k, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) - 1 AS i FROM labels),
+      x AS (SELECT *, CASE WHEN doc_id % 47 = 0 THEN 'maybe' WHEN i = 0 THEN 'keep' WHEN toxic = 1 THEN 'drop' WHEN quality = 1 THEN 'keep' ELSE 'merge' END AS said, CASE WHEN doc_id % 43 = 0 THEN i + 1 ELSE i END AS idx FROM r),
+      d AS (SELECT *, CASE WHEN said = 'merge' THEN CASE WHEN doc_id % 23 = 0 THEN i + 1 WHEN doc_id % 3 = 0 THEN i - 1 ELSE 0 END WHEN doc_id % 29 = 0 THEN 0 END AS canon FROM x),
+      b AS (SELECT k, count(*) AS c, count(*) + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS n, count(DISTINCT idx) AS dist, max(idx) AS hi FROM d GROUP BY k),
+      f AS (SELECT d.k, bool_or(said = 'maybe') AS unknown, bool_or(said = 'merge' AND NOT (canon >= 0 AND canon < idx)) AS forward, bool_or(said <> 'merge' AND canon IS NOT NULL) AS named, bool_or(doc_id % 31 = 0 OR doc_id % 37 = 0) AS unsure, bool_or(doc_id % 41 = 0) AS silent,
+        bool_or(said = 'merge' AND NOT EXISTS (SELECT 1 FROM d t WHERE t.k = d.k AND t.idx = d.canon AND t.said = 'keep')) AS lost FROM d GROUP BY d.k)
+      SELECT k AS batch_offset, CASE WHEN c <> n THEN 'not one decision for each finding' WHEN hi >= n THEN 'decision index is out of range' WHEN dist < c THEN 'duplicate decision index' WHEN unknown THEN 'unknown decision' WHEN forward THEN 'merge without an earlier finding'
+        WHEN named THEN 'only a merge names another finding' WHEN unsure THEN 'confidence is outside [0, 1]' WHEN silent THEN 'reason is empty' WHEN lost THEN 'merge into a finding that is not kept' ELSE '' END AS error FROM b JOIN f USING (k)""",
     "verifier_fail_closed": f"""WITH {V.V7}, b AS (SELECT review_id, batch_offset, bool_or(decision = 'merge' AND candidate_index = 0) AS bad FROM dec GROUP BY ALL), m AS (SELECT *, min(batch_offset) FILTER (WHERE bad) OVER (PARTITION BY review_id) AS f FROM b)
       SELECT review_id, batch_offset, CASE WHEN f IS NULL THEN 'final' WHEN batch_offset < f THEN 'verifier_run_failed' WHEN batch_offset = f THEN 'verifier_error' ELSE 'verifier_skipped' END AS outcome FROM m""",
     "verifier_batches": f"""WITH RECURSIVE {V.V8}, fit(conv_id, k, g, used, c) AS (
@@ -246,9 +286,10 @@ ORACLE = {
           list_transform(ns, lambda x: {'left': 0::BIGINT, 'open': 0::BIGINT, 'given': 0::BIGINT, 'none': 0::BIGINT, 'n': x::BIGINT})),
           lambda a, x: {'left': a.left - least(x.n, a.left // a.open), 'open': a.open - 1, 'given': a.given + least(x.n, a.left // a.open), 'none': a.none + (least(x.n, a.left // a.open) = 0)::BIGINT, 'n': 0::BIGINT}) AS s FROM g)
       SELECT conv_id AS review_id, role AS kind, len(ns)::BIGINT AS blocks, CAST(list_sum(ns) AS BIGINT) AS available_chars, s.given AS rendered_chars, CAST(list_sum(ns) - s.given AS BIGINT) AS omitted_chars, s.none AS omitted_blocks FROM r""",
-    "finding_violations": f"""WITH {GATED}, x AS (SELECT *, count(*) OVER (PARTITION BY review_id, seq % 50000) AS n, EXISTS (SELECT 1 FROM gr g2 WHERE g2.review_id = gr.review_id AND g2.seq % 50000 = gr.seq % 50000 AND g2.has_line AND g2.has_end AND g2.line > 0 AND g2.q <> 7) AS inside FROM gr)
-      SELECT CASE WHEN q = 7 THEN 'unsafe path' WHEN q = 11 THEN 'empty text' WHEN severity = 'fatal' OR category = 'weird' THEN 'unknown severity or category' WHEN NOT inside THEN 'not a changed line' ELSE 'duplicate id' END AS reason, count(*) AS n
-      FROM x WHERE q IN (7, 11) OR severity = 'fatal' OR category = 'weird' OR NOT inside OR n > 1 GROUP BY 1""",
+    "finding_violations": f"""WITH {GATED}, x AS (SELECT *, CASE WHEN seq % 97 = 0 THEN 2 ELSE 1 END AS n FROM gr),
+      y AS (SELECT n, CASE WHEN q = 7 THEN 'unsafe path' WHEN q = 17 OR line IS NULL OR line <= 0 THEN 'bad lines' WHEN q = 19 THEN 'bad side' WHEN NOT (has_line AND has_end AND line > 0) THEN 'not a changed line' WHEN q = 23 THEN 'bad id' WHEN q = 13 THEN 'bad fingerprint'
+        WHEN q IN (11, 29, 31) THEN 'empty text' WHEN severity = 'fatal' OR category = 'weird' THEN 'unknown severity or category' WHEN q = 37 OR q > 40 THEN 'bad confidence' WHEN n > 1 THEN 'duplicate finding' END AS reason FROM x)
+      SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM y WHERE reason IS NOT NULL GROUP BY reason""",
     "json_responses": "SELECT event_id, CASE WHEN k % 4 < 3 THEN k ELSE -1 END AS k, k % 4 = 3 AS failed FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     "judge_texts": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events",
     "parsed_findings": """WITH t AS (SELECT conv_id AS review_id, turn AS batch_id, conv_id * 10 + turn AS t FROM conversations)
@@ -264,10 +305,23 @@ ORACLE = {
         CASE WHEN ok THEN trim(regexp_replace(lower(owner || '-' || repo || '-pr' || page_id), '[^a-z0-9]+', '-', 'g'), '-') || '-' || sha256('https://github.com/' || owner || '/' || repo || '/pull/' || page_id)[:10] ELSE '' END AS case_id FROM u""",
     "identity_keys": """WITH x AS (SELECT doc_id, source AS t, coalesce(text, '') AS m, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS tp, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-') AS mp FROM documents)
       SELECT doc_id, CASE WHEN tp <> '' AND mp <> '' THEN rtrim(left(tp || '-' || mp, 83), '-') || '-' || sha256(t || chr(0) || m || chr(0))[:12] END AS tool_id, CASE WHEN tp <> '' AND mp <> '' THEN rtrim(left(tp || '-' || mp, 21), '-') || '-' || sha256(t || chr(0) || m)[:8] END AS fixture,
-        CASE WHEN mp = '' THEN 'value' ELSE mp END AS slug FROM x""",
+        CASE WHEN mp = '' THEN 'value' ELSE rtrim(left(mp, 64), '-') END AS slug FROM x""",
     "safe_paths": """WITH x AS (SELECT doc_id, doc_id % 7 AS m, lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/test_x.py' ELSE '/main.py' END AS p, doc_id % 2 = 0 AS t FROM documents)
       SELECT doc_id, CASE m WHEN 0 THEN p WHEN 3 THEN 'a/' || p WHEN 4 THEN p WHEN 5 THEN 'b/' || p ELSE '' END AS path, m = 0 AS strict, t AS is_test FROM x""",
-    "report_text": f"WITH {GATED} SELECT s_suppkey AS review_id, (SELECT count(*) FROM gr WHERE gr.review_id = s_suppkey AND stage = 'passed') AS findings, left('# Review of u' || s_suppkey || chr(10) || chr(10) || 'Findings: ' || (SELECT count(*) FROM gr WHERE gr.review_id = s_suppkey AND stage = 'passed') || chr(10) || chr(10) || '## [', 20) AS head FROM supplier",
+    "report_text": f"""WITH {GATED}, l AS (SELECT review_id, count(*) AS n, string_agg('## [' || upper(severity) || '] Title ' || (seq % 3) || chr(10) || chr(10) || path || ':' || line || chr(10) || chr(10) || 'the body of it', chr(10) || chr(10)
+          ORDER BY path, line, end_line, seq) AS b FROM gr WHERE stage = 'passed' GROUP BY review_id),
+      r AS (SELECT s_suppkey, concat_ws(chr(10) || chr(10), '# Review of u' || s_suppkey || chr(10) || chr(10) || 'Findings: ' || coalesce(n, 0), b) AS t FROM supplier LEFT JOIN l ON review_id = s_suppkey)
+      SELECT s_suppkey AS review_id, sha256(t) AS report_sha256, length(t) AS chars FROM r""",
+    "action_paths": """WITH p AS (SELECT doc_id, doc_id % 13 AS f, lang || '/' || doc_id AS x FROM documents)
+      SELECT doc_id, CASE f WHEN 0 THEN x WHEN 2 THEN x || '/x' WHEN 3 THEN x WHEN 7 THEN ' ' || x || ' ' WHEN 9 THEN '' WHEN 10 THEN '' WHEN 11 THEN 'a/b/' || x WHEN 12 THEN '..' || x || '/c' ELSE 'unsafe' END AS path FROM p""",
+    "bench_urls": """WITH u AS (SELECT page_id, page_id % 7 AS f, CASE WHEN page_id > 0 THEN 'https://github.com/o/r' || page_id || '/pull/' || page_id ELSE '' END AS good FROM pages)
+      SELECT page_id, CASE WHEN f IN (0, 1, 4) THEN good ELSE '' END AS strict, CASE f WHEN 0 THEN 'https://github.com/o/r' || page_id || '/pull/' || page_id WHEN 2 THEN 'https://github.com/-o_/r' || page_id || '/pull/' || page_id WHEN 3 THEN 'https://github.com/o/../pull/' || page_id
+        WHEN 4 THEN 'https://github.com/o/r' || page_id || '.git/pull/' || page_id ELSE '' END AS loose FROM u""",
+    "oversized_findings": f"""WITH RECURSIVE {V.V8}, bad AS (SELECT conv_id, count(*) AS o FROM it WHERE n > 1200 GROUP BY conv_id), ok AS (SELECT * FROM it WHERE conv_id NOT IN (SELECT conv_id FROM bad)), fit(conv_id, k, g, used, c) AS (
+        SELECT conv_id, k, 0, n, 1 FROM ok WHERE k = 1
+        UNION ALL SELECT s.conv_id, s.k, CASE WHEN f.used + s.n > 1200 OR f.c >= 3 THEN f.g + 1 ELSE f.g END, CASE WHEN f.used + s.n > 1200 OR f.c >= 3 THEN s.n ELSE f.used + s.n END, CASE WHEN f.used + s.n > 1200 OR f.c >= 3 THEN 1 ELSE f.c + 1 END
+        FROM fit f JOIN ok s ON s.conv_id = f.conv_id AND s.k = f.k + 1)
+      SELECT conv_id AS review_id, count(DISTINCT g) AS batches, CAST(0 AS BIGINT) AS oversized FROM fit GROUP BY conv_id UNION ALL SELECT conv_id, 0, o FROM bad""",
     "candidate_text": f"""WITH {V.V5} SELECT review_id, seq, concat_ws(chr(10) || chr(10), 'Location: ' || path || ':' || line || CASE WHEN end_line <> line THEN '-' || end_line ELSE '' END || ' (' || side || ')', 'A title', CASE WHEN q % 2 <> 0 THEN 'Body ' || q END,
         CASE WHEN q % 2 = 0 THEN 'Trigger: on start' END, CASE WHEN q % 3 <> 0 THEN 'Evidence: ev' END, CASE WHEN q % 5 = 0 THEN 'Suggested fix: fix it' END) AS candidate FROM findings""",
     "publish_keys": f"""WITH {V.V5}, i AS (SELECT review_id, string_agg('"f' || seq || '"', ',' ORDER BY 'f' || seq) AS ids FROM findings GROUP BY review_id)

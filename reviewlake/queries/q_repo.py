@@ -69,6 +69,15 @@ def literal_search_page(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request_id", "path", F.col("line_no").cast("long").alias("line_no"), F.col("hit_no").cast("long").alias("hit_no"), "more")
 
 
+def literal_search_short(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of one to fifty characters out of each item, from any place of it."""
+    i = F.col("item_id")
+    q = F.substring(F.col("text"), (i * 7 % 40 + 1).cast("int"), F.when(i % 3 == 0, i % 3 + 1).when(i % 3 == 1, 2).otherwise(i % 50 + 1).cast("int"))
+    req = V.table(spark, d, "benchmark").select(i.alias("request_id"), F.concat(F.lit("src"), i % 4).alias("commit_sha"), F.when(i % 5 == 0, "src/fr").otherwise("").alias("prefix"), q.alias("query"), F.when(i % 4 == 0, 3).cast("int").alias("start"))
+    out = repo.literal_search(req.where("query <> '' and not contains(query, '\n')"), _lines(spark, d), page=4)
+    return out.select("request_id", "path", F.col("line_no").cast("long").alias("line_no"), F.col("hit_no").cast("long").alias("hit_no"), "more")
+
+
 def path_list_page(spark: SparkSession, d: str) -> DataFrame:
     req = V.table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("src"), F.col("item_id") % 4).alias("commit_sha"), F.when(F.col("item_id") % 2 == 0, "src/en").otherwise("src").alias("prefix"), F.when(F.col("item_id") % 3 == 0, "src/en/5").alias("cursor"))
     out = repo.path_list(req, V.src_files(spark, d), page=7)
@@ -104,8 +113,9 @@ def request_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legal_cursors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _requests(spark, d).select("review_id", "batch_id", "action", "path", "query", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("c"), F.col("seq") % 6)).alias("cursor"), "round", "seq")
-    offers = rows.where("seq % 3 = 1").select("review_id", "batch_id", "action", "path", "query", "cursor", "round")
+    """Events as requests; every third also offers a cursor to what has its key, one in four of them none."""
+    rows = _requests(spark, d).select("review_id", "batch_id", "action", "path", "query", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("c"), F.col("seq") % 2)).alias("cursor"), "round", "seq")
+    offers = rows.where("seq % 3 = 1").withColumn("cursor", F.when(F.col("seq") % 4 != 0, F.concat(F.lit("c"), F.col("seq") % 3))).select("review_id", "batch_id", "action", "path", "query", "cursor", "round")
     return repo.legal_cursors(rows, offers).select("seq", "legal")
 
 
@@ -153,7 +163,7 @@ def final_context(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        symbol_rank, symbol_search, hit_kinds, hit_interleave, hit_render, local_imports, literal_search_page, path_list_page, line_range_read, request_checks, request_dedup, legal_cursors, related_tests, focus_windows, index_prefix,
+        literal_search_short, symbol_rank, symbol_search, hit_kinds, hit_interleave, hit_render, local_imports, literal_search_page, path_list_page, line_range_read, request_checks, request_dedup, legal_cursors, related_tests, focus_windows, index_prefix,
         exposed_paths, capacity, final_context,
     )
 }
@@ -185,6 +195,9 @@ ORACLE = {
     "literal_search_page": f"""WITH {V.V1}, q AS (SELECT item_id AS request_id, 'src' || (item_id % 4) AS commit_sha, CASE WHEN item_id % 2 = 0 THEN 'src/en' ELSE '' END AS prefix, string_split(regexp_replace(text, '^[^A-Za-z0-9_]+', ''), ' ')[2] AS query, CASE WHEN item_id % 3 = 0 THEN 2 ELSE 1 END AS start FROM benchmark),
       m AS (SELECT request_id, path, line_no, start, row_number() OVER (PARTITION BY request_id ORDER BY path, line_no) AS hit_no, count(*) OVER (PARTITION BY request_id) AS total FROM q JOIN v1 USING (commit_sha) WHERE query <> '' AND contains(text, query) AND (prefix = '' OR path = prefix OR starts_with(path, prefix || '/')))
       SELECT request_id, path, line_no, hit_no, total >= start + 5 AS more FROM m WHERE hit_no BETWEEN start AND start + 4""",
+    "literal_search_short": f"""WITH {V.V1}, q AS (SELECT item_id AS request_id, 'src' || (item_id % 4) AS commit_sha, CASE WHEN item_id % 5 = 0 THEN 'src/fr' ELSE '' END AS prefix, substr(text, item_id * 7 % 40 + 1, CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE item_id % 50 + 1 END) AS query, CASE WHEN item_id % 4 = 0 THEN 3 ELSE 1 END AS start FROM benchmark),
+      m AS (SELECT request_id, path, line_no, start, row_number() OVER (PARTITION BY request_id ORDER BY path, line_no) AS hit_no, count(*) OVER (PARTITION BY request_id) AS total FROM q JOIN v1 USING (commit_sha) WHERE query <> '' AND NOT contains(query, chr(10)) AND contains(text, query) AND (prefix = '' OR path = prefix OR starts_with(path, prefix || '/')))
+      SELECT request_id, path, line_no, hit_no, total >= start + 4 AS more FROM m WHERE hit_no BETWEEN start AND start + 3""",
     "path_list_page": """WITH t AS (SELECT DISTINCT source AS commit_sha, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents),
       q AS (SELECT item_id AS request_id, 'src' || (item_id % 4) AS commit_sha, CASE WHEN item_id % 2 = 0 THEN 'src/en' ELSE 'src' END AS prefix, CASE WHEN item_id % 3 = 0 THEN 'src/en/5' ELSE '' END AS cur FROM benchmark),
       m AS (SELECT request_id, path, row_number() OVER (PARTITION BY request_id ORDER BY path) AS place, count(*) OVER (PARTITION BY request_id) AS total FROM q JOIN t USING (commit_sha) WHERE starts_with(path, prefix || '/') AND path > cur)
@@ -194,9 +207,10 @@ ORACLE = {
       SELECT CASE WHEN r > 30 THEN 'too many requests' WHEN k = 6 THEN 'action type is unsupported' WHEN k < 2 AND (bad OR empty OR k = 1) THEN 'read action has invalid arguments' WHEN k IN (2, 3) AND bad THEN 'search action has invalid arguments'
         WHEN k IN (4, 5) AND bad THEN 'list action has invalid arguments' ELSE '' END AS error, count(*) AS n FROM e GROUP BY 1""",
     "request_dedup": "SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id, event_id % 2, event_type, CASE WHEN event_id % 2 = 1 THEN 0 ELSE 1 END ORDER BY event_id % 3, event_id) = 1 AS is_first FROM events",
-    "legal_cursors": """WITH r AS (SELECT event_id AS seq, user_id, event_id % 2 AS a, event_type AS p, CASE WHEN event_id % 5 <> 0 THEN 'c' || (event_id % 6) END AS cur, event_id % 3 AS round FROM events),
-      o AS (SELECT user_id, a, p, cur, min(round) AS f FROM r WHERE seq % 3 = 1 AND cur IS NOT NULL GROUP BY ALL)
-      SELECT seq, r.cur IS NULL OR coalesce(f < round, false) AS legal FROM r LEFT JOIN o USING (user_id, a, p, cur)""",
+    "legal_cursors": """WITH r AS (SELECT event_id AS seq, user_id, event_id % 2 AS a, event_type AS p, CASE WHEN event_id % 5 <> 0 THEN 'c' || (event_id % 2) END AS cur, event_id % 3 AS round FROM events),
+      o AS (SELECT user_id, a, p, round, max(CASE WHEN seq % 4 <> 0 THEN 'c' || (seq % 3) END) AS cur FROM r WHERE seq % 3 = 1 GROUP BY ALL),
+      l AS (SELECT r.seq, r.cur, max(o.round) AS last FROM r LEFT JOIN o ON o.user_id = r.user_id AND o.a = r.a AND o.p = r.p AND o.round < r.round GROUP BY r.seq, r.cur)
+      SELECT l.seq, CASE WHEN l.last IS NULL THEN l.cur IS NULL ELSE coalesce(o.cur = l.cur, false) END AS legal FROM l JOIN r USING (seq) LEFT JOIN o ON o.user_id = r.user_id AND o.a = r.a AND o.p = r.p AND o.round = l.last""",
     "related_tests": """WITH w AS (SELECT doc_id, source, CASE WHEN x = '' THEN 'none' ELSE lower(x) END AS w FROM (SELECT doc_id, source, regexp_extract(text, '([A-Za-z]{3,})', 1) AS x FROM documents)),
       t AS (SELECT w, source, doc_id, 'tests/test_' || w || '_' || doc_id || '.py' AS test_path, 'test_' || w || '_' || doc_id AS stem FROM w),
       m AS (SELECT DISTINCT a.doc_id AS review_id, test_path FROM w a JOIN t ON a.source = t.source AND (a.w = t.w OR contains(stem, a.w || '_mod') OR (length(t.doc_id::VARCHAR) >= 3 AND a.w = t.doc_id::VARCHAR) OR a.w = 'test' OR t.w = 'mod'))
@@ -204,8 +218,9 @@ ORACLE = {
     "focus_windows": f"""WITH {V.V5}, f AS (SELECT DISTINCT review_id, path, greatest(1, least(line, 1900)) AS x FROM ledger WHERE line IS NOT NULL), w AS (SELECT DISTINCT review_id, path, greatest(1, x - 6) AS s, least(1900, x + 6) AS e FROM f),
       m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY review_id, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM w),
       i AS (SELECT *, sum(nw) OVER (PARTITION BY review_id, path ORDER BY s, e) AS g FROM m) SELECT review_id, path, min(s) AS start, max(e) AS "end" FROM i GROUP BY review_id, path, g""",
-    "index_prefix": """WITH t AS (SELECT DISTINCT source AS commit_sha, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents), u AS (SELECT *, sum(length(path) + 1) OVER (PARTITION BY commit_sha ORDER BY path) - 1 AS used FROM t)
-      SELECT commit_sha, coalesce(string_agg(path, chr(10) ORDER BY path) FILTER (WHERE used <= 400), '') AS index, max(used) > 400 AS truncated FROM u GROUP BY commit_sha""",
+    "index_prefix": """WITH t AS (SELECT DISTINCT source AS commit_sha, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents), u AS (SELECT *, sum(length(path) + 1) OVER (PARTITION BY commit_sha ORDER BY path) - 1 AS used, sum(length(path) + 1) OVER (PARTITION BY commit_sha) - 1 AS whole FROM t),
+      g AS (SELECT commit_sha, coalesce(string_agg(path, chr(10) ORDER BY path) FILTER (WHERE whole <= 400 OR used + 61 <= 400), '') AS p, max(whole) > 400 AS truncated FROM u GROUP BY commit_sha)
+      SELECT commit_sha, CASE WHEN truncated THEN left(p || CASE WHEN p <> '' THEN chr(10) ELSE '' END || '...[repository index truncated; use list to inspect a prefix]', 400) ELSE p END AS index, truncated FROM g""",
     "exposed_paths": "SELECT DISTINCT source AS review_id, CASE WHEN doc_id % 3 = 0 THEN 'my ' ELSE '' END || lang || '/' || doc_id || '.py' AS path FROM documents WHERE doc_id % 8 IN (0, 2, 4, 5, 7)",
     # from the documented shares: a quarter (120 at least), a fifth (64) and a quarter (64) off, and 40
     "capacity": """WITH b AS (SELECT conv_id, turn, length(text) AS b FROM conversations), e AS (SELECT *, greatest(0, b - greatest(120, b // 4) - greatest(64, b // 5) - greatest(64, b // 4) - 40) AS e FROM b),

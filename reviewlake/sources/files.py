@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.paths import parse_pr_url, strict_path
+from ..functions.paths import bench_pr_url, strict_path
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +30,7 @@ def read_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     entries = whole.select(F.explode(F.from_json("value", f"map<string,struct<{schemas.BENCH_ENTRY.replace(', ', ',')}>>")).alias("golden_url", "e"))
     blank = F.exists("e.golden_comments", lambda x: x["comment"].isNull() | (F.trim(x["comment"]) == ""))
     reason = (
-        F.when(parse_pr_url(F.col("golden_url")).isNull(), "not a pull request's address").when(F.coalesce(F.size("e.golden_comments"), F.lit(0)) <= 0, "no golden comments").when(blank, "empty golden comment")
+        F.when(bench_pr_url(F.col("golden_url")).isNull(), "not a pull request's address").when(F.coalesce(F.size("e.golden_comments"), F.lit(0)) <= 0, "no golden comments").when(blank, "empty golden comment")
     )
     entries = entries.withColumn("reason", reason)
     good = entries.where("reason is null")

@@ -8,24 +8,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.benchmark import latest_records
 from ..operators.judge import resume
+from .state import VersionedState
+
+
+def records_of(spark: SparkSession, state: str, order: list[str]) -> VersionedState:
+    return VersionedState(spark, state, ("model", "case_id"), lambda rows: latest_records(rows, order))
 
 
 def upsert_records(stream: DataFrame, state: str, checkpoint: str, plan: DataFrame, order: list[str]) -> StreamingQuery:
-    """Keep the last record of each (model, case_id) under ``state``; records that are not in the plan are left out.
+    """Keep the last record of each (model, case_id) under ``state``, in versions; records that are not in the plan are left out.
 
-    A batch is written under its number, over what an earlier try left there, so a batch that comes again changes
-    nothing; ``records_state`` takes the last record over all batches.
+    A batch that comes again changes nothing. A commit rewrites the buckets that its records touch, and a read sees one version, whatever the number of batches.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        known = batch.join(plan.select("model", "case_id").distinct(), ["model", "case_id"], "left_semi")
-        latest_records(known, order).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        known = batch.join(plan.select("model", "case_id").distinct(), ["model", "case_id"], "left_semi").select(*batch.columns)
+        records_of(batch.sparkSession, state, order).commit(batch_id, known)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def records_state(spark: SparkSession, state: str, order: list[str]) -> DataFrame:
-    return latest_records(spark.read.parquet(state).drop("batch"), order)
+def records_state(spark: SparkSession, state: str, order: list[str]) -> DataFrame | None:
+    """The last record of each key; None before the first commit."""
+    return records_of(spark, state, order).rows()
 
 
 def pending_evaluations(stream: DataFrame, done: DataFrame, force: list[str] | None = None) -> DataFrame:
