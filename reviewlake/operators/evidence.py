@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +100,17 @@ def batch_evidence(found: DataFrame, chunks: DataFrame, contexts: DataFrame, lin
     first = F.row_number().over(Window.partitionBy(*KEY, F.sha2("context", 256)).orderBy("index"))
     shown = shown.withColumn("_n", first).where("_n = 1").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("index", "chunk_id", "context"))).alias("contexts"))
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for found_rows, context_rows in batches:
-            yield pd.DataFrame([rendered(list(f), list(c) if c is not None else [], patch_budget, context_budget) for f, c in zip(found_rows, context_rows, strict=True)], columns=NAMES)
+    rows = specs.join(shown, KEY, "left").select(*KEY, "found", "contexts")
+    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEY] + [MADE])
 
-    return specs.join(shown, KEY, "left").select(*KEY, F.pandas_udf(run, MADE)("found", "contexts").alias("m")).select(*KEY, "m.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row is a whole batch of findings with their texts: one at a time
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            made = rendered(row.column("found")[0].as_py(), row.column("contexts")[0].as_py() or [], patch_budget, context_budget)
+            values = [pa.array([v], pa.list_(pa.string()) if isinstance(v, list) else pa.string() if isinstance(v, str) else pa.int64()) for v in made]
+            yield pa.RecordBatch.from_arrays([*(row.column(k) for k in KEY), *values], names=[*KEY, *NAMES])
+
+    return rows.mapInArrow(run, schema)
 
 
 def evidence_files(made: DataFrame, found: DataFrame, context_files: DataFrame) -> DataFrame:

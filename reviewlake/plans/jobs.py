@@ -157,8 +157,10 @@ def build_prompts(batches: DataFrame, template: str, cap: int) -> DataFrame:
     """batches (review_id, batch_id, patch, context) with prompt: the template's {patch} and {context} filled, the context alone clipped to fit cap."""
     before, rest = template.split("{patch}")
     between, after = rest.split("{context}")
-    patch = wrap_untrusted("PATCH", F.col("patch"))
     framed = F.length(wrap_untrusted("CONTEXT", F.lit(""))) + 2 * 48  # a longer token may be needed
-    room = F.greatest(F.lit(0), F.lit(cap - len(before) - len(between) - len(after)) - F.length(patch) - framed)
-    body = wrap_untrusted("CONTEXT", clip_text(F.col("context"), room.cast("int"), "context"))
-    return batches.withColumn("prompt", F.concat(F.lit(before), patch, F.lit(between), body, F.lit(after)))
+    # a column for each step, so that no text is framed or cut more than once
+    rows = batches.withColumn("_patch", wrap_untrusted("PATCH", F.col("patch")))
+    rows = rows.withColumn("_room", F.greatest(F.lit(0), F.lit(cap - len(before) - len(between) - len(after)) - F.length("_patch") - framed).cast("int"))
+    rows = rows.withColumn("_context", clip_text(F.col("context"), F.col("_room"), "context"))
+    rows = rows.withColumn("prompt", F.concat(F.lit(before), "_patch", F.lit(between), wrap_untrusted("CONTEXT", F.col("_context")), F.lit(after)))
+    return rows.drop("_patch", "_room", "_context")

@@ -276,13 +276,13 @@ ORACLE = {
     "job_serve": f"""WITH {V.V1}, t AS (SELECT DISTINCT source AS c, 'src/' || lang || '/' || doc_id || '.txt' AS path FROM documents), p AS (SELECT c, list(path ORDER BY path) AS ps, count(*) AS n FROM t GROUP BY c),
       q AS (SELECT item_id AS i, 'src' || (item_id % 4) AS c, coalesce(string_split(regexp_replace(text, '^[^A-Za-z0-9_]+', ''), ' ')[2], '') AS w FROM benchmark),
       h AS (SELECT i, c, w, (SELECT count(*) FROM v1 WHERE v1.commit_sha = q.c AND contains(text, q.w)) AS hits FROM q),
-      x AS (SELECT h.*, ps, coalesce(n, 0) AS n FROM h LEFT JOIN p USING (c)),
-      o AS (SELECT i, 0 AS round, 0 AS seq, CASE WHEN w = '' THEN 'refused' ELSE 'served' END AS outcome, CASE WHEN w = '' THEN 'search action has invalid arguments' ELSE '' END AS reason, CASE WHEN w = '' THEN 0 ELSE least(hits, 4) END AS shown, w <> '' AND hits > 4 AS more, CASE WHEN w <> '' AND hits > 4 THEN 5 ELSE -1 END AS next_start, '' AS next_cursor FROM x
+      x AS (SELECT h.*, w = '' OR contains(w, chr(10)) AS bad, ps, coalesce(n, 0) AS n FROM h LEFT JOIN p USING (c)),
+      o AS (SELECT i, 0 AS round, 0 AS seq, CASE WHEN bad THEN 'refused' ELSE 'served' END AS outcome, CASE WHEN bad THEN 'search action has invalid arguments' ELSE '' END AS reason, CASE WHEN bad THEN 0 ELSE least(hits, 4) END AS shown, NOT bad AND hits > 4 AS more, CASE WHEN NOT bad AND hits > 4 THEN 5 ELSE -1 END AS next_start, '' AS next_cursor FROM x
         UNION ALL SELECT i, 0, 1, 'served', '', least(n, 4), n > 4, -1, CASE WHEN n > 4 THEN ps[4] ELSE '' END FROM x
         UNION ALL SELECT i, 0, 2, 'failed', 'path is not in the tree', 0, false, -1, '' FROM x
-        UNION ALL SELECT i, 0, 3, CASE WHEN w = '' THEN 'refused' ELSE 'duplicate' END, CASE WHEN w = '' THEN 'search action has invalid arguments' ELSE '' END, 0, false, -1, '' FROM x
-        UNION ALL SELECT i, 1, 0, CASE WHEN w <> '' AND hits > 4 AND i % 2 = 0 THEN 'served' ELSE 'refused' END, CASE WHEN w = '' THEN 'search action has invalid arguments' WHEN hits > 4 AND i % 2 = 0 THEN '' ELSE 'cursor was not offered' END,
-          CASE WHEN w <> '' AND hits > 4 AND i % 2 = 0 THEN least(hits - 4, 4) ELSE 0 END, w <> '' AND hits > 8 AND i % 2 = 0, CASE WHEN w <> '' AND hits > 8 AND i % 2 = 0 THEN 9 ELSE -1 END, '' FROM x
+        UNION ALL SELECT i, 0, 3, CASE WHEN bad THEN 'refused' ELSE 'duplicate' END, CASE WHEN bad THEN 'search action has invalid arguments' ELSE '' END, 0, false, -1, '' FROM x
+        UNION ALL SELECT i, 1, 0, CASE WHEN NOT bad AND hits > 4 AND i % 2 = 0 THEN 'served' ELSE 'refused' END, CASE WHEN bad THEN 'search action has invalid arguments' WHEN hits > 4 AND i % 2 = 0 THEN '' ELSE 'cursor was not offered' END,
+          CASE WHEN NOT bad AND hits > 4 AND i % 2 = 0 THEN least(hits - 4, 4) ELSE 0 END, NOT bad AND hits > 8 AND i % 2 = 0, CASE WHEN NOT bad AND hits > 8 AND i % 2 = 0 THEN 9 ELSE -1 END, '' FROM x
         UNION ALL SELECT i, 1, 1, CASE WHEN i % 3 = 0 AND n < 4 THEN 'duplicate' WHEN i % 3 = 0 AND n > 4 THEN 'served' ELSE 'refused' END, CASE WHEN i % 3 = 0 AND (n < 4 OR n > 4) THEN '' ELSE 'cursor was not offered' END,
           CASE WHEN i % 3 = 0 AND n > 4 THEN least(n - 4, 4) ELSE 0 END, i % 3 = 0 AND n > 8, -1, CASE WHEN i % 3 = 0 AND n > 8 THEN ps[8] ELSE '' END FROM x)
       SELECT i AS review_id, round::BIGINT AS round, seq::BIGINT AS seq, outcome, reason, shown::BIGINT AS shown, more, next_start::BIGINT AS next_start, next_cursor FROM o""",
@@ -313,10 +313,10 @@ ORACLE = {
       j AS (SELECT *, r % 7 = 0 AND k >= n - 1 - (n - 1) % 20 AS last, min(CASE WHEN r % 7 = 0 THEN n - 1 - (n - 1) % 20 END) OVER (PARTITION BY r) AS bad, CASE WHEN k % 20 = 0 OR (r + k) % 4 <> 0 THEN 'keep' ELSE 'merge' END AS said FROM a),
       v AS (SELECT r, count(*) FILTER (WHERE r % 7 <> 0 AND said = 'keep' AND (r + k) % 5 <> 0) AS final, count(*) FILTER (WHERE said = 'merge' AND NOT (r % 7 = 0 AND k = n - 1)) AS merged, count(*) AS n FROM j GROUP BY r),
       c AS (SELECT r, count(*) AS turns FROM l GROUP BY r) SELECT c.r AS review_id, coalesce(final, 0) AS final, turns - coalesce(n, 0) AS rejected, coalesce(merged, 0) AS merged FROM c LEFT JOIN v USING (r)""",
-    "job_export": f"""WITH {V.V5}, a AS (SELECT s_suppkey AS s, s_suppkey % 6 <> 0 AND s_suppkey % 13 <> 0 AS ok, s_suppkey % 10 = 0 AND EXISTS (SELECT 1 FROM ledger WHERE review_id = s_suppkey AND line % 2 = 0) AS broken FROM supplier),
+    "job_export": f"""WITH {V.V5}, wrong AS (SELECT * FROM ledger WHERE line IS NULL OR line <= 0 OR (review_id % 10 = 0 AND line % 2 = 0)), a AS (SELECT s_suppkey AS s, s_suppkey % 6 <> 0 AND s_suppkey % 13 <> 0 AS ok, EXISTS (SELECT 1 FROM wrong WHERE review_id = s_suppkey) AS broken FROM supplier),
       n AS (SELECT s, count(*) AS c FROM a JOIN ledger ON review_id = s WHERE ok AND NOT broken GROUP BY s)
       SELECT 'old' AS tool, count(*) AS reviews, count(*) AS candidates FROM supplier UNION ALL SELECT 'new', count(*), CAST(sum(c) AS BIGINT) FROM n HAVING count(*) > 0 UNION ALL SELECT 'refused', count(*), 0 FROM a WHERE NOT ok
-      UNION ALL SELECT 'violations', count(DISTINCT review_id), count(*) FROM ledger WHERE review_id % 10 = 0 AND line % 2 = 0""",
+      UNION ALL SELECT 'violations', count(DISTINCT review_id), count(*) FROM wrong""",
     "job_judge": q_judge.ORACLE["judge_metrics"],
     "job_prompts": """WITH t AS (SELECT conv_id, turn, left(text, 300) AS p, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS c FROM conversations),
       w AS (SELECT *, '<<<PATCH ' || sha256(p)[:16] || '>>>' || chr(10) || p || chr(10) || '<<<END PATCH ' || sha256(p)[:16] || '>>>' AS pw, length('<<<CONTEXT >>>' || '<<<END CONTEXT >>>') + 34 + 96 AS frame FROM t),
