@@ -21,17 +21,35 @@ def lines(spark):
     return spark.createDataFrame(rows, "commit_sha string, path string, line_no int, text string")
 
 
+CHUNK = "review_id string, chunk_id string, commit_sha string, path string, added string"
+ADDED = "export function processItems(xs) {\n  xs.forEach(async x => persist(x))\n}"
+
+
 def test_context_ranks_and_stays_in_budget(spark):
-    chunk = spark.createDataFrame([("r", "c", "h", "src/service.ts", "export function processItems(xs) {\n  xs.forEach(async x => persist(x))\n}", "")], "review_id string, chunk_id string, commit_sha string, path string, added string, excerpt string")
-    out = jobs.build_context(chunk, lines(spark), budget=400)
-    assert [r.symbol for r in out["symbols"].orderBy("rank").limit(2).collect()] == ["processItems", "persist"]
-    kinds = {(r.kind, r.path) for r in out["hits"].where("symbol = 'processItems'").collect()}
+    chunk = spark.createDataFrame([("r", "c", "h", "src/service.ts", ADDED)], CHUNK)
+    focus = spark.createDataFrame([("r", "c", 2)], "review_id string, chunk_id string, line int")
+    added = spark.createDataFrame([("r", "c", "src/service.ts", i, i + 2, x) for i, x in enumerate(ADDED.split("\n"))], "review_id string, chunk_id string, path string, line_index int, new_line int, content string")
+    whole = jobs.build_context(chunk, lines(spark), added, focus)
+    assert [r.symbol for r in whole["symbols"].orderBy("rank").limit(2).collect()] == ["processItems", "persist"]
+    kinds = {(r.kind, r.path) for r in whole["hits"].where("symbol = 'processItems'").collect()}
     assert kinds == {("definition", "src/service.ts"), ("import", "src/caller.ts"), ("caller", "src/caller.ts"), ("test", "tests/service.test.ts")}
-    packet = out["packets"].first().context
-    assert len(packet) <= 400 + len("RANKED REPOSITORY EVIDENCE:") and packet.index("DEFINITION") < packet.index("TEST HINT")
-    f = out["files"].first()
-    assert (f.changed_files, f.exposed_files) == (1, 1 + f.cross_files)
-    assert packet == jobs.build_context(chunk.repartition(3), lines(spark).repartition(7), budget=400)["packets"].first().context
+    packet = whole["packets"].first().packet
+    order = ["CONTEXT FOR DIFF CHUNK c", "Path: src/service.ts", "Selected symbols: processItems, persist", "RISK HYPOTHESES:", "- HYPOTHESIS src/service.ts:3: forEach", "SURROUNDING SOURCE:\n    1 | import", "    3 |   xs.forEach", "RANKED REPOSITORY EVIDENCE:", "- DEFINITION processItems", "- IMPORT"]
+    assert [packet.index(x) for x in order] == sorted(packet.index(x) for x in order)
+    f = whole["files"].first()
+    assert (f.changed_files, f.exposed_files) == (1, 1 + f.cross_files) and f.cross_files >= 2
+    small = jobs.build_context(chunk, lines(spark), added, focus, budget=900)
+    row = small["packets"].first()
+    assert len(row.packet) <= 900 and row.rows_rendered + row.rows_omitted == row.rows_available > row.rows_rendered > 0 and not row.packet_cut
+    again = jobs.build_context(chunk.repartition(3), lines(spark).repartition(7), added, focus, budget=900)["packets"].first()
+    assert again == row
+    assert jobs.build_context(chunk, lines(spark), budget=0)["packets"].first().packet == ""
+
+
+def test_tests_that_no_symbol_found_come_by_their_path(spark):
+    chunk = spark.createDataFrame([("r", "c", "h", "src/service.ts", "zzz_unknown(1)")], CHUNK)
+    hits = jobs.build_context(chunk, lines(spark))["hits"].where("kind = 'test'").collect()
+    assert [(r.symbol, r.path, r.line_no, r.snippet) for r in hits] == [("path-match", "tests/service.test.ts", 1, "processItems([])")]
 
 
 def test_risk_cues_need_script_suffix_and_no_promise_all(spark):
@@ -40,16 +58,6 @@ def test_risk_cues_need_script_suffix_and_no_promise_all(spark):
     assert {(r.hypothesis_id, r.line) for r in got.collect()} == {("c1:risk:00", 7), ("c1:risk:01", 8), ("c4:risk:00", 3)}
 
 
-def test_requests_are_served_paged_and_refused(spark):
-    rows = [("list", "", "", None, None), ("list", "src", "src/caller.ts", None, None), ("read", "src/store.ts", "", 2, 99), ("search", "src", "persist", None, None), ("search", "src", "persist", 1, None), ("read", "../x", "", 1, 2), ("fly", "", "", None, None)]
-    req = spark.createDataFrame([("r", "b", 0, i, "h", *x) for i, x in enumerate(rows)], "review_id string, batch_id string, round int, seq int, commit_sha string, action string, path string, query string, start_line int, end_line int")
-    out = jobs.serve_requests(req, lines(spark).select("commit_sha", "path").distinct(), lines(spark))
-    by = lambda df: df.groupBy("request_id").count().collect()
-    assert {r["request_id"]: r["count"] for r in by(out["lists"])} == {"r/b/0/0": 4, "r/b/0/1": 2}
-    assert [r.line_no for r in out["reads"].orderBy("line_no").collect()] == [2, 3]
-    assert {r["request_id"]: r["count"] for r in by(out["hits"])} == {"r/b/0/3": 3} and out["refused"].count() == 3
-
-
 def test_pages_follow_one_another(spark):
     req = spark.createDataFrame([("q", "h", "", "(", n) for n in (1, 3, 5)], "request_id string, commit_sha string, prefix string, query string, start int").withColumn("request_id", F.concat("request_id", "start"))
     got = repo.literal_search(req, lines(spark), page=2)
@@ -65,12 +73,6 @@ def test_coverage_without_hunks_is_whole(spark):
     assert got["r"].coverage_ratio == 1.0 and got["r"].status == "completed" and got["s"].status == "partial" and got["s"].failed_hunks == 1
 
 
-def test_verifier_evidence_keeps_anchors(spark):
-    found = spark.createDataFrame([("r", 0, "h", "src/store.ts", 2, 50), ("r", 1, "h", "src/caller.ts", 1, 50)], "review_id string, seq int, commit_sha string, path string, line int, payload_chars int")
-    prompt = jobs.verifier_evidence(found, lines(spark)).first().prompt
-    assert "db.query" in prompt and "processItems([1])" in prompt and prompt.startswith("<<<SOURCE ")
-
-
 def test_prompts_fit(spark):
     b = spark.createDataFrame([("r", "b", "patch", "c" * 5000)], "review_id string, batch_id string, patch string, context string")
     assert 800 < len(jobs.build_prompts(b, "A {patch} B {context} C", 1200).first().prompt) <= 1200
