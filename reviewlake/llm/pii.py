@@ -9,11 +9,12 @@ however they are written (coreference). Its surrogate follows from a keyed hash:
   its Luhn remainder; a phone number keeps its country code; an IP address moves to the
   reserved block 240.0.0.0/4; an address moves to a host of example.com; letters keep
   their case and their script;
-* a name keeps its title; the surrogate has the gender of the title and the script of the
-  name.
+* a name keeps its title; each of its words has one surrogate, wherever it stands, so that a family name alone and in
+  full names, and with any title, is one family. A word's surrogate has its script, and the gender of the titles that it comes with,
+  if they agree. A full name that has a title somewhere in a document is also found in it without one.
 
-Collision checks, over all entities at once: no two entities of a type have one surrogate,
-and no surrogate is itself an entity of the corpus. Those that fail, all but the least of
+Collision checks, over all entities at once (a name's words are entities, given and family names apart): no two entities of a type have one
+surrogate, and no surrogate is itself an entity of the corpus. So a word that draws again does so in every name that has it. Those that fail, all but the least of
 a clash, draw again, from a space that grows with each round for names, addresses and
 secrets. After ``ROUNDS`` rounds what still clashes (a format with fewer values than the
 corpus has entities) keeps its format and gets 32 hex digits of its keyed hash behind, which no
@@ -58,7 +59,9 @@ CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 SYLLABLES = ("ba", "ber", "dal", "den", "fo", "gar", "hol", "jan", "ka", "len", "mor", "nes", "ol", "per", "ros", "tav")
 CYRILLIC_SYLLABLES = ("ба", "вер", "дал", "зен", "ко", "лар", "мол", "не", "пав", "рос", "сем", "тол", "фед", "хар", "чер", "шал")
 SECRET_SIGNS = ("_", "-", "/", "+")
-TYPES = ("email", "name", "name_m", "name_f", "secret", "ip", "ssn", "phone", "card")
+TYPES = ("email", "given", "family", "secret", "ip", "ssn", "phone", "card")
+ENDINGS = {"latin": {"f": "a", "m": "o", "": "e"}, "cyrillic": {"f": "ана", "m": "ий", "": "я"}}
+FAMILY_ENDINGS = {"f": "ова", "m": "ов", "": "ов"}
 
 
 def _digits(c: Column) -> Column:
@@ -66,19 +69,16 @@ def _digits(c: Column) -> Column:
 
 
 def typed(raw: Column) -> Column:
-    title = F.regexp_extract(raw, rf"^({TITLES})", 1)
-    named = raw.rlike(rf"^(?:{TITLES})\.?\s\p{{Lu}}")
     return (
-        F.when(raw.contains("@"), "email")
-        .when(named & title.isin(*FEMALE), "name_f")
-        .when(named & title.isin(*MALE), "name_m")
-        .when(named, "name")
-        .when(raw.rlike("^[A-Za-z]"), "secret")
-        .when(raw.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
-        .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(raw.rlike(r"^[+(]|^\d{3}[.\-]\d{3}[.\-]\d{4}$"), "phone")
-        .otherwise("card")
-    )
+        F.when(raw.contains("@"), "email").when(raw.rlike(rf"^(?:{TITLES})\.?\s\p{{Lu}}"), "name").when(raw.rlike("^[A-Za-z]"), "secret").when(raw.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
+        .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(raw.rlike(r"^[+(]|^\d{3}[.\-]\d{3}[.\-]\d{4}$"), "phone").otherwise("card")
+    )
+
+
+def gender(raw: Column) -> Column:
+    """f or m by the title of a name, or nothing."""
+    title = F.regexp_extract(raw, rf"^({TITLES})", 1)
+    return F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("")
 
 
 def _secret_lead(raw: Column) -> Column:
@@ -97,7 +97,7 @@ def _after(raw: Column, lead: Column) -> Column:
 def normal(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(raw))
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(_after(raw, _title(raw)), r"\s+", " ")))
+        .when(kind == "name", F.lower(F.regexp_replace(_after(raw, _title(raw)), r"\s+", " ")))
         .when(kind == "secret", _after(raw, _secret_lead(raw)))
         .when(kind == "ip", raw)
         .when(kind == "phone", F.right(_digits(raw), F.lit(10)))
@@ -146,32 +146,28 @@ def _card(norm: Column, h: Column) -> Column:
     return F.concat(body, F.pmod(_luhn(norm) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
 
-def _name(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
-    """A given name for each word but the last, a family name for the last, by gender and script; a syllable longer in each round."""
-    words = F.split(norm, " ")
+def _stem(kind: Column, word: Column, h: Column, attempt: Column) -> Column:
+    """Syllables for a word of a name, by its script, one more in each round; a family name has two more."""
 
-    def one(w: Column, i: Column) -> Column:
-        own = F.sha2(F.concat(h, w), 512)
-        last, cyrillic = i == F.size(words) - 1, w.rlike(r"\p{IsCyrillic}")
+    def built(pool: tuple[str, ...]) -> Column:
+        syllable = lambda k: F.get(F.array(*map(F.lit, pool)), F.pmod(_draw(h, k), F.lit(len(pool))))
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: syllable(k + 3)), "")).otherwise("")
+        return F.concat(syllable(F.lit(0)), syllable(F.lit(1)), more, F.when(kind == "family", F.concat(syllable(F.lit(2)), syllable(F.lit(3)))).otherwise(""))
 
-        def built(pool: tuple[str, ...], n: int, feminine: str, masculine: str, family: tuple[str, str]) -> Column:
-            syllable = lambda k: F.get(F.array(*map(F.lit, pool)), F.pmod(_draw(own, k), F.lit(len(pool))))
-            parts = [syllable(F.lit(k)) for k in range(n + 2)]
-            more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: syllable(k + n + 1)), "")).otherwise("")
-            parts.insert(n, more)
-            given = F.concat(*parts[: n + 1], F.when(kind == "name_f", feminine).when(kind == "name_m", masculine).otherwise("e" if feminine == "a" else "я"))
-            return F.initcap(F.when(last, F.concat(*parts, F.when(kind == "name_f", family[1]).otherwise(family[0]))).otherwise(given))
+    return F.when(word.rlike(r"\p{IsCyrillic}"), built(CYRILLIC_SYLLABLES)).otherwise(built(SYLLABLES))
 
-        return F.when(cyrillic, built(CYRILLIC_SYLLABLES, 2, "ана", "ий", ("ов", "ова"))).otherwise(built(SYLLABLES, 2, "a", "o", ("", "")))
 
-    return F.array_join(F.transform(words, one), " ")
+def ended(kind: Column, form: Column, word: Column, stem: Column) -> Column:
+    """stem with the ending of its form (f, m or nothing); all but names stay."""
+    of = lambda endings: F.element_at(F.create_map(*[F.lit(x) for kv in endings.items() for x in kv]), form)
+    cyrillic = word.rlike(r"\p{IsCyrillic}")
+    given = F.when(cyrillic, of(ENDINGS["cyrillic"])).otherwise(of(ENDINGS["latin"]))
+    return F.when(kind == "given", F.concat(stem, given)).when((kind == "family") & cyrillic, F.concat(stem, of(FAMILY_ENDINGS))).otherwise(stem)
 
 
 def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of a normal form, itself in normal form but for the case of names."""
+    """Surrogate of a normal form, itself in normal form; of a name's word its stem."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
-    # a name's words are drawn by word, so that a family name alone and in a full name agree
-    by_word = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string")), 512)
     # from the second round on an address or secret is longer
     grown = lambda v, signs=False: F.concat(_like(v, h, signs), _like(F.repeat(F.lit("a"), 3 * attempt), F.reverse(h)))
     ip = F.concat_ws(".", *[(F.lit(240 if i == 0 else 1) + F.pmod(_draw(h, F.lit(i)), F.lit(15 if i == 0 else 254))).cast("string") for i in range(4)])
@@ -179,7 +175,7 @@ def drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     host = F.regexp_extract(norm, r"@([^.]+)", 1)
     return (
         F.when(kind == "email", F.concat(grown(local), F.lit("@"), _like(host, F.reverse(h)), F.lit(".example.com")))
-        .when(kind.startswith("name"), _name(kind, norm, by_word, attempt))
+        .when(kind.isin("given", "family"), _stem(kind, norm, h, attempt))
         .when((kind == "secret") & norm.startswith("AKIA"), F.concat(F.lit("AKIA"), _like(F.substr(norm, F.lit(5)), h)))
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), F.left(F.repeat(h, 8), F.length(norm)))
         .when(kind == "secret", grown(norm, True))
@@ -202,33 +198,50 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(chars, digit), ""), _after(surrogate, drawn_digits)))
         .when(kind == "secret", F.concat(_secret_lead(raw), surrogate))
-        .when(kind.startswith("name"), F.concat(_title(raw), surrogate))
+        .when(kind == "name", F.concat(_title(raw), surrogate))
         .when((kind == "email") & (raw == F.upper(raw)), F.upper(surrogate))
         .otherwise(surrogate)
     )
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate) for the distinct entities (kind, norm): no clash with one another or with an entity."""
+    """(kind, norm, surrogate) for the distinct entities (kind, norm, and form for names): no clash with one another or with an entity."""
+    entities = entities if "form" in entities.columns else entities.withColumn("form", F.lit(""))
     settled = None
     known = entities.select("kind", F.lower("norm").alias("taken")).distinct()
-    waiting = entities.select("kind", "norm")
+    waiting = entities.select("kind", "norm", "form")
+    draw = lambda attempt: ended(F.col("kind"), F.col("form"), F.col("norm"), drawn(F.col("kind"), F.col("norm"), F.lit(attempt), key))
     for attempt in range(ROUNDS):
-        new = waiting.withColumn("surrogate", drawn(F.col("kind"), F.col("norm"), F.lit(attempt), key)).withColumn("taken", F.lower("surrogate"))
+        new = waiting.withColumn("surrogate", draw(attempt)).withColumn("taken", F.lower("surrogate"))
         all_ = new.withColumn("old", F.lit(1)) if settled is None else new.withColumn("old", F.lit(1)).unionByName(settled.withColumn("old", F.lit(0)))
         # of those that share a surrogate one stays: a settled one, else the least
         first = all_.groupBy("kind", "taken").agg(F.min(F.struct("old", "norm")).alias("first"))
         checked = all_.join(first, ["kind", "taken"]).join(known.withColumn("real", F.lit(True)), ["kind", "taken"], "left")
         ok = (F.col("first.norm") == F.col("norm")) & F.col("real").isNull()
-        checked = common.stored(checked.withColumn("ok", ok).select("kind", "norm", "surrogate", "taken", "ok"), "pii_drawn")
-        settled, waiting = checked.where("ok").drop("ok"), checked.where("not ok").select("kind", "norm")
+        checked = common.stored(checked.withColumn("ok", ok).select("kind", "norm", "form", "surrogate", "taken", "ok"), "pii_drawn")
+        settled, waiting = checked.where("ok").drop("ok"), checked.where("not ok").select("kind", "norm", "form")
         if waiting.isEmpty():
             break
     last = F.left(F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm"), 256), F.lit(32))
-    rest = waiting.select("kind", "norm", F.concat(drawn(F.col("kind"), F.col("norm"), F.lit(0), key), F.lit("-"), last).alias("surrogate"))
+    rest = waiting.select("kind", "norm", F.concat(draw(0), F.lit("-"), last).alias("surrogate"))
     return settled.select("kind", "norm", "surrogate").unionByName(rest)
 
 
+def name_words(raws: DataFrame) -> DataFrame:
+    """(raw, at, kind, norm, gender) of each word of the names in raws (raw, kind, norm)."""
+    words = F.split("norm", " ")
+    rows = raws.where("kind = 'name'").select("raw", F.size(words).alias("n"), F.posexplode(words).alias("at", "norm"), gender(F.col("raw")).alias("gender"))
+    return rows.select("raw", "at", F.when(F.col("at") == F.col("n") - 1, "family").otherwise("given").alias("kind"), "norm", "gender")
+
+
+def distinct_entities(raws: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, norm, form): what is drawn for. A word's form is the gender of its titles, where all that have one agree."""
+    has = lambda g: F.bool_or(F.col("gender") == g)
+    form = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("")
+    own = words.groupBy("kind", "norm").agg(has("f").alias("f"), has("m").alias("m")).select("kind", "norm", form.alias("form"))
+    return raws.where("kind <> 'name'").select("kind", "norm", F.lit("").alias("form")).distinct().unionByName(own)
+
+
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs as ``_row`` with new_text and n_entities; key is the caller's secret."""
     # a document's map is found by 128 bits of its id and text
@@ -237,17 +250,30 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     found = F.regexp_extract_all(F.col("_text"), F.lit(ENTITY), F.lit(0))
     seen = common.stored(rows.where(hinted).select("_k", F.explode_outer(F.array_distinct(found)).alias("raw")).where("raw is not null"), "pii_found")
     raws = common.stored(seen.groupBy("raw").agg(F.count("*").alias("n")).select("raw", typed(F.col("raw")).alias("kind")).withColumn("norm", normal(F.col("kind"), F.col("raw"))), "pii_raws")
-    drawn_ = surrogates(raws.select("kind", "norm").distinct(), key)
-    shown = common.stored(raws.join(drawn_, ["kind", "norm"]).select("raw", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown")), "pii_shown")
+    words = name_words(raws)
+    drawn_ = common.stored(surrogates(distinct_entities(raws, words), key), "pii_surrogates")
+    others = raws.where("kind <> 'name'").join(drawn_, ["kind", "norm"]).select("raw", "kind", "surrogate")
+    named = words.join(drawn_, ["kind", "norm"]).groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("ws"))
+    named = named.select("raw", F.lit("name").alias("kind"), F.array_join(F.transform("ws", lambda w: F.initcap(w["surrogate"])), " ").alias("surrogate"))
+    # a full name as it stands behind its title
+    bare = F.when((F.col("kind") == "name") & F.contains("surrogate", F.lit(" ")), F.struct(_after(F.col("raw"), _title(F.col("raw"))).alias("name"), F.col("surrogate").alias("new")))
+    both = others.unionByName(named)
+    shown = common.stored(both.select("raw", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown"), bare.alias("bare")), "pii_shown")
     # stored, so that the join is free to split rows that repeat
-    maps = common.stored(seen.join(shown, "raw").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("raw", "shown"))).alias("_map")), "pii_maps")
+    maps = common.stored(seen.join(shown, "raw").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("raw", "shown"))).alias("_map"), F.array_sort(F.collect_set("bare")).alias("_bare")), "pii_maps")
     kept = rows.where(~hinted).select("_row", F.col("_text").alias("new_text"), F.lit(0).cast("long").alias("n_entities"))
     joined = rows.where(hinted).join(maps, "_k", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), found))
-    between = F.split(F.col("_text"), ENTITY, -1)
-    pieces = F.zip_with(between, F.col("_found"), lambda a, b: F.concat(a, F.coalesce(F.element_at("_map", b), F.lit(""))))
+    joined = joined.withColumn("_between", F.split(F.col("_text"), ENTITY, -1))
+    between = F.col("_between")
+    pattern = lambda e: F.concat(F.lit(r"(?<!\p{L})"), F.regexp_replace(e["name"], r"\s", r"\\s+"), F.lit(r"(?!\p{L})"))
+    untitled = lambda text: F.aggregate("_bare", text, lambda t, e: F.regexp_replace(t, pattern(e), e["new"]))
+    some = F.size("_bare") > 0
+    clean = F.when(some, F.transform(between, untitled)).otherwise(between)
+    again = F.aggregate(between, F.lit(0), lambda n, text: n + F.aggregate("_bare", F.lit(0), lambda k, e: k + F.regexp_count(text, pattern(e))))
+    pieces = F.zip_with(clean, F.col("_found"), lambda a, b: F.concat(a, F.coalesce(F.element_at("_map", b), F.lit(""))))
     changed = joined.select(
         "_row",
         F.when(F.col("_map").isNull(), F.col("_text")).otherwise(F.array_join(pieces, "")).alias("new_text"),
-        F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size("_found"), F.lit(0)) + F.when(some, again).otherwise(0)).cast("long").alias("n_entities"),
     )
     return kept.unionByName(changed.withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long"))))

@@ -375,6 +375,51 @@ def test_surrogates(spark):
     assert again[OTHER] != other and pii.replaced(docs(spark, []), "key").count() == 0
 
 
+def test_a_person_keeps_one_name(spark, monkeypatch):
+    rows = [(1, "Dr. Anna Weber came. Frau Weber and Ms. Anna Weber left; Herr Weber, Mr Max Weber stayed. Anna Weber wrote, Anna  Weber too, Anna Weberson not. Miss O'Hara, Prof. O'Hara", "en"), (2, "Dr. Kim Lee, Mr. Kim Roe, Mrs. Kim Poe; госпожа Анна Иванова, Dr. Иванова, господин Иванов", None), (3, "Anna Weber without any title", None)]
+    got = {r._row.doc_id: (r.new_text, r.n_entities) for r in pii.replaced(docs(spark, rows), "key").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Frau (\w+) and Ms\. (\w+) (\w+) left; Herr (\w+), Mr (\w+) (\w+) stayed\. (\w+) (\w+) wrote, (\w+) (\w+) too, Anna Weberson not\. Miss (\w+), Prof\. (\w+)", got[1][0])
+    anna, weber, max_ = m[1], m[2], m[7]
+    assert m.group(3, 5, 6, 8, 10, 12) == (weber,) * 6 and m.group(4, 9, 11) == (anna,) * 3 and anna.endswith("a") and max_.endswith("o") and m[13] == m[14] != weber and got[1][1] == 9
+    k = re.fullmatch(r"Dr\. (\w+) (\w+), Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+); госпожа (\w+ана) (\w+ова), Dr\. (\w+), господин (\w+ов)", got[2][0])
+    assert k[1] == k[3] == k[5] and k[1].endswith("e") and len({k[2], k[4], k[6]}) == 3 and k[8] == k[9] and got[3][0] == rows[2][1]
+    # a word that must draw again does so in every name that has it
+    real = pii.drawn
+    monkeypatch.setattr(pii, "drawn", lambda kind, n, a, key: F.when((kind == "family") & (a == 0), F.lit("same")).otherwise(real(kind, n, a, key)))
+    text = pii.replaced(docs(spark, [(1, "Mr. Kent, Mr. Clark Kent, Mr. Abel and Mr. Clark Abel", "en")]), "key").first().new_text
+    m = re.fullmatch(r"Mr\. (\w+), Mr\. (\w+) (\w+), Mr\. (\w+) and Mr\. (\w+) (\w+)", text)
+    assert m[1] == m[3] != m[4] == m[6] and m[2] == m[5] and "Same" in (m[1], m[4])
+
+
+def test_surrogates_equal_plain_code(spark):
+    """Stems, endings and letters of a first draw, computed again from the keyed hash."""
+    ents = [("given", "anna", "f"), ("given", "иван", ""), ("family", "weber", "f"), ("family", "иванова", "f"), ("phone", "2025550123", ""), ("ssn", "078051120", ""), ("secret", "Ab-9_cdefgh", "")]
+    got = {r.norm: r.surrogate for r in pii.surrogates(spark.createDataFrame(ents, "kind string, norm string, form string"), "k").collect()}
+
+    def draws(kind, norm):
+        h = hashlib.sha512(f"k|{kind}|{norm}|0".encode()).hexdigest()
+        return [int(h[2 * i % 128 : 2 * i % 128 + 2], 16) + i // 64 * 7 for i in range(80)]
+
+    def like(kind, norm):
+        pools = {"d": "0123456789", "a": pii.LATIN, "s": "".join(pii.SECRET_SIGNS)}
+        out = ""
+        for c, n in zip(norm, draws(kind, norm)):
+            pool = pools["d" if c.isdigit() else "a" if c.isalpha() else "s"]
+            new = pool[n % len(pool)]
+            out += new.upper() if c.isupper() else new
+        return out
+
+    for kind, norm, form in ents:
+        if kind in ("given", "family"):
+            cyrillic = "а" <= norm[0] <= "я"
+            pool = pii.CYRILLIC_SYLLABLES if cyrillic else pii.SYLLABLES
+            want = "".join(pool[n % 16] for n in draws(kind, norm)[: 4 if kind == "family" else 2])
+            want += pii.ENDINGS["cyrillic" if cyrillic else "latin"][form] if kind == "given" else pii.FAMILY_ENDINGS[form] if cyrillic else ""
+        else:
+            want = like(kind, norm)
+        assert got[norm] == want
+
+
 def test_clashes_are_drawn_again(spark, monkeypatch):
     # all first draws of cards agree; later ones follow from the attempt
     real = pii.drawn
@@ -389,7 +434,7 @@ def test_drawing_ends_whatever_the_entities(spark, monkeypatch):
     out = {r._row.text: r.new_text for r in pii.replaced(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), "key").collect()}
     assert len(set(out.values())) == len(texts) and not set(out) & set(out.values())
     # more names than the first draw has, and one kind whose every draw is the same
-    names = spark.range(70_000).select(F.lit("name").alias("kind"), F.concat(F.lit("w"), F.col("id")).alias("norm"))
+    names = spark.range(70_000).select(F.lit("family").alias("kind"), F.concat(F.lit("w"), F.col("id")).alias("norm"))
     got = pii.surrogates(names, "key")
     assert got.count() == got.select(F.lower("surrogate")).distinct().count() == 70_000
     monkeypatch.setattr(pii, "drawn", lambda k, n, a, key: F.lit("4000000000000002"))
