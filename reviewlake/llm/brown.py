@@ -31,6 +31,7 @@ other columns of docs are not read; a long text is scored whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -60,10 +61,11 @@ CELLS = 2_000_000
 @dataclass(frozen=True)
 class Params:
     classes: int = 32
-    min_count: int = 64
+    min_count: int = 5
     most: int = 4_000_000
-    sweeps: int = 6
-    least_moved: float = 0.01
+    #: Half-sweeps at most; they end before, when fewer than ``least_moved`` of the words that may move do.
+    sweeps: int = 24
+    least_moved: float = 0.02
     mix: float = 0.9
     smooth: float = 0.05
     #: Words in a block of sums; with two sides of at most 64 classes its cells have 16-bit numbers.
@@ -260,8 +262,9 @@ def _neighbour_sums(symbols: DataFrame, n_words: int, classes: np.ndarray, k: in
             cells, sums = _packed(at, out[at].astype(np.int64))
         return pa.table({"at": group.column("at").slice(0, 1).combine_chunks(), "salt": group.column("salt").slice(0, 1).combine_chunks(), "cells": pa.array([cells], pa.binary()), "sums": pa.array([sums], pa.binary())})
 
-    # two steps: the partial sums of many tasks never meet in one
-    partial = symbols.mapInArrow(run, "at int, cells binary, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    # two steps, each of about the square root of the tasks, so that the partial sums of many tasks never meet in one
+    salts = max(16, math.isqrt(symbols.rdd.getNumPartitions()))
+    partial = symbols.mapInArrow(run, "at int, cells binary, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     once, path = common.stored_at(partial.groupBy("at", "salt").applyInArrow(lambda t: total(t), "at int, salt int, cells binary, sums binary"), "lm_sums")
     table = sum((np.frombuffer(r.sums, np.int64) for r in once.where("at < 0").collect()), np.zeros(k * k, np.int64))
     return table.reshape(k, k), once.where("at >= 0"), path
