@@ -2,7 +2,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from reviewlake.llm import bpe, decontam, line_dedup, quality, simhash
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_labels
 
 PROSE = "the cat and the dog of the house went to the river in the morning and it was {} for the {} to be with {} of the {} as they said by the {} on that day"
 
@@ -14,6 +14,9 @@ def docs_of():
         rows.append((i, PROSE.format(*words) + f"\nShared line number one here\nown {' '.join(words)}", "en", f"s{i % 3}", 1))
     rows += [(70, rows[5][1], "en", "s", 1), (71, "short", "en", "s", 1), (72, None, None, None, None), (73, "word " * 80, "en", "s", 1)]
     rows.append((74, rows[9][1] + " " + " ".join(f"q{k}" for k in range(30)), "en", "s", 1))
+    # near copies of one long line, with a word changed; and one with too many
+    line = " ".join(PROSE.format(*[f"v{chr(97 + i)}{chr(97 + j)}" for j in range(5)]) for i in range(4))
+    rows += [(80, line, "en", "s", 1), (81, line.replace("vbc", "changed"), "en", "s", 1), (82, line.replace(" the ", " a "), "en", "s", 1)]
     return rows
 
 
@@ -33,7 +36,8 @@ def test_run_matches_plain_code(spark, tmp_path):
         for line in (texts[d] or "").split("\n"):
             first.setdefault(line.strip().lower(), d)
     texts = {d: "\n".join(x for x in t.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == d) for d, t in texts.items()}
-    label = brute_components({d: brute_fingerprint(t) for d, t in texts.items()})
+    label, _ = brute_labels(list(texts.items()))
+    assert {80, 81, 82} <= set(label) and label[81] == 80 and label[82] == 82
     texts = {d: t for d, t in texts.items() if label[d] == d and item not in t.lower()}
     assert set(got) == set(texts) and 5 in got and 74 not in got and not {71, 72, 73} & set(got)
     encoder = bpe.Encoder(bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
