@@ -26,6 +26,11 @@ class CuckooFilter:
         """Room for n_items at a load of at most 0.8; the number of buckets is a power of two."""
         return cls(1 << max(2, int(np.ceil(np.log2(max(1, n_items) / (0.8 * SLOTS))))))
 
+    @property
+    def load(self) -> float:
+        """Share of the slots that are taken; what is stashed counts with them."""
+        return (np.count_nonzero(self.table) + len(self.stash)) / self.table.size
+
     def to_bytes(self) -> bytes:
         return np.array([self.n, len(self.stash)], np.uint64).tobytes() + self.table.tobytes() + self.stash.tobytes()
 

@@ -10,9 +10,9 @@ A key enters its shard's filter when its count reaches two and leaves it when th
 falls below two, so inserts and deletions of documents can follow in any order. A line
 that its filter does not know is held once and needs no lookup; the others are looked up
 in the exact counts, so that false positives of a filter change nothing. Filters are not
-gathered anywhere: lines go to their shard's filter in some parts for each shard, so a common
-line is spread, and a task holds one filter at a time. When the shared keys have outgrown the
-shards, the filters are built anew from the counts with more of them.
+gathered anywhere: lines go to their shard's filter in as many parts as the shard has millions of lines, so a common
+line is spread, and a task holds one filter at a time. A filter that fills up is built anew from its shard's counts with more room;
+when the shared keys have outgrown the shards, all are, with more of them.
 
 Defined cases: a null or empty text is one empty line; lines under ``min_chars`` code
 points and rows without doc_id neither count nor lose lines; rows that share a doc_id
@@ -38,8 +38,10 @@ from .cuckoo import CuckooFilter
 MIN_CHARS = 10
 #: Keys in one shard's filter, about.
 SHARD_KEYS = 200_000
-#: Parts in which a shard's lines meet copies of its filter.
-PARTS = 4
+#: Lines that meet a copy of their shard's filter in one part; a shard has as many parts as its lines need.
+PART_LINES = 2_000_000
+#: Load at which a filter is built anew from its shard's counts, with more room.
+MOST_LOAD = 0.9
 
 
 def line_key(line: Column) -> Column:
@@ -78,15 +80,18 @@ def _shard(n: int) -> Column:
     return F.pmod(F.col("h2"), F.lit(n))
 
 
+FILTER = "shard long, filter binary, load double"
+
+
 def _filters(counts: DataFrame, n_shards: int) -> DataFrame:
     def build(group: pa.Table) -> pa.Table:
         h = group.column("h1").to_numpy().view(np.uint64)
         made = CuckooFilter.sized(len(h))
         made.add(h)
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary()), "load": pa.array([made.load])})
 
     keys = counts.select(_shard(n_shards).alias("shard"), "h1")
-    return keys.groupBy("shard").applyInArrow(build, "shard long, filter binary")
+    return keys.groupBy("shard").applyInArrow(build, FILTER)
 
 
 def _n_shards(counts: DataFrame) -> int:
@@ -135,17 +140,23 @@ def _changed(state: LineState, holders: DataFrame, touched: DataFrame) -> LineSt
         made = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter.sized(2 * len(h))
         made.remove(h[sign < 0])
         made.add(h[sign > 0])
-        return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary()), "load": pa.array([made.load])})
 
-    filters = state.filters.groupBy("shard").cogroup(signed.groupBy("shard")).applyInArrow(merge, "shard long, filter binary")
-    return LineState(holders, counts, common.stored(filters, "line_filters"), state.n_shards)
+    filters = common.stored(state.filters.groupBy("shard").cogroup(signed.groupBy("shard")).applyInArrow(merge, FILTER), "line_filters")
+    full = filters.where(F.col("load") > MOST_LOAD).select("shard")
+    if not full.isEmpty():
+        keys = counts.withColumn("shard", _shard(state.n_shards)).join(full, "shard", "left_semi").drop("shard")
+        filters = common.stored(filters.join(full, "shard", "left_anti").unionByName(_filters(keys, state.n_shards)), "line_filters")
+    return LineState(holders, counts, filters, state.n_shards)
 
 
 def maybe_shared(state: LineState, rows: DataFrame) -> DataFrame:
     """Rows (h1, h2, doc_id) whose key the filter of its shard may know."""
     id_type = rows.schema["doc_id"].dataType
-    filters = state.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(0).alias("kind"), "filter", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast(id_type).alias("doc_id"))
-    lines = rows.select(_shard(state.n_shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "h1", "h2", "doc_id")
+    parts = rows.groupBy(_shard(state.n_shards).alias("shard")).agg(F.ceil(F.count("*") / PART_LINES).cast("int").alias("parts"))
+    parts = common.stored(parts, "line_parts")
+    filters = state.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "filter", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast(id_type).alias("doc_id"))
+    lines = rows.withColumn("shard", _shard(state.n_shards)).join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "h1", "h2", "doc_id")
     met = filters.unionByName(lines).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

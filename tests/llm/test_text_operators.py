@@ -46,6 +46,20 @@ def test_cuckoo_overfull_keeps_all():
     assert CuckooFilter.from_bytes(f.to_bytes()).contains(h).all()
 
 
+def test_filters_that_fill_up_are_built_anew(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_LINES", 300)
+    state = None
+    for step in range(4):
+        rows = [(2 * i + k, "\n".join(f"line number {n} of step {step}" for n in range(i * 40, i * 40 + 40)), "en") for i in range(step * 20, step * 20 + 20) for k in (0, 1)]
+        state = line_dedup.insert(state, docs(spark, rows))
+        loads = [(r.load, len(CuckooFilter.from_bytes(bytes(r.filter)).stash)) for r in state.filters.collect()]
+        assert all(load <= line_dedup.MOST_LOAD and stash == 0 for load, stash in loads)
+    # a common line is spread over parts, and all of its rows are found
+    common_line = docs(spark, [(i, "one and the same line", "en") for i in range(2_000)])
+    done = line_dedup.apply(common_line, line_dedup.insert(None, common_line))
+    assert done.agg(F.sum("n_dropped")).first()[0] == 1_999
+
+
 LINES = [(3, "Shared line here\nown line of three\n short\nShared line here", "en"), (1, "\tSHARED line here \nx", "en"), (2, None, "en"), (5, "", None), (9, "own line of nine, é\n\nshared line here", "en"), (9, "own line of nine, é\n\nshared line here", "en"), (None, "shared line here", None)]
 
 
