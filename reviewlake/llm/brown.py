@@ -63,9 +63,10 @@ class Params:
     classes: int = 32
     min_count: int = 5
     most: int = 4_000_000
-    #: Half-sweeps at most; they end before, when fewer than ``least_moved`` of the words that may move do.
+    #: Half-sweeps at most. They end before, when fewer than ``least_moved`` of the words that may move do, or one gains less than ``least_gain`` of what all have gained.
     sweeps: int = 24
-    least_moved: float = 0.02
+    least_moved: float = 0.01
+    least_gain: float = 0.05
     mix: float = 0.9
     smooth: float = 0.05
     #: Words in a block of sums; with two sides of at most 64 classes its cells have 16-bit numbers.
@@ -310,14 +311,17 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     classes[np.lexsort((hashes, -counts))] = np.arange(len(hashes)) % params.classes
     fixed = np.arange(params.classes, k)
     symbols = _symbols(docs, docs.sparkSession.sparkContext.broadcast(hashes))
-    kept, kept_table, path = classes, None, None
+    kept, kept_table, path, gained = classes, None, None, []
     for sweep in range(params.sweeps + 1):
         if path:
             common.remove(docs.sparkSession, path)
         table, beside, path = _neighbour_sums(symbols, len(hashes), np.r_[classes, fixed], k, params.block, sweep % 2)
-        if kept_table is not None and likelihood(table) <= likelihood(kept_table):
+        gained.append(likelihood(table))
+        if sweep and gained[-1] <= gained[-2]:
             break
         kept, kept_table = classes, table
+        if sweep > 1 and gained[-1] - gained[-2] < params.least_gain * (gained[-1] - gained[0]):
+            break
         if sweep == params.sweeps or not len(hashes):
             break
         classes = _moved(classes, table, beside, params.classes, params.block, sweep % 2)
