@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 
 import corpus_pipeline
@@ -15,8 +17,11 @@ def docs_of():
     rows += [(70, rows[5][1], "en", "s", 1), (71, "short", "en", "s", 1), (72, None, None, None, None), (73, "word " * 80, "en", "s", 1)]
     rows.append((74, rows[9][1] + " " + " ".join(f"q{k}" for k in range(30)), "en", "s", 1))
     # near copies of one long line, with a word changed; and one with too many
-    line = " ".join(PROSE.format(*[f"v{chr(97 + i)}{chr(97 + j)}" for j in range(5)]) for i in range(4))
-    rows += [(80, line, "en", "s", 1), (81, line.replace("vbc", "changed"), "en", "s", 1), (82, line.replace(" the ", " a "), "en", "s", 1)]
+    words = random.Random(1).choices([w for w in PROSE.split() if w != "{}"], k=130)
+    near, far = list(words), list(words)
+    near[60] = "changed"
+    far[::10] = [f"other{chr(97 + i)}" for i in range(13)]
+    rows += [(80 + i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, near, far))]
     return rows
 
 
