@@ -8,7 +8,7 @@ end of a document, and the end is also what stands before a first word. Classes:
 * every word seen ``min_count`` times in training gets its class by exchange: in each sweep, half
   of these words may move to the class that most raises the likelihood of the class bigrams,
   given what stands left and right of each word in all training text. Sweeps end when few
-  words move or the likelihood falls, and the best classes stay;
+  words move, when one gains little of what all have gained, or when the likelihood falls, and the best classes stay;
 * every other word, known or not, has the class of its shape (ending, digits, script,
   length), which needs no list of words;
 * the end has a class of its own.
