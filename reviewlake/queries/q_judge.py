@@ -24,7 +24,7 @@ def judge_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judge_evaluations(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_evaluations(spark, d))
+    return _rounded(_evaluations(spark, d, whole=True))
 
 
 def judge_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ QUERIES = {
 }
 ORACLE = {
     "judge_metrics": f"WITH {V.V6_WHOLE} {METRICS}",
-    "judge_evaluations": f"""WITH {V.V6} SELECT golden_url, tool, total_golden = 0 AS skipped, tp, CASE WHEN total_golden > 0 THEN texts - matched ELSE 0 END AS fp, comments - tp AS fn, CAST(0 AS BIGINT) AS errors_count,
+    "judge_evaluations": f"""WITH {V.V6_WHOLE} SELECT golden_url, tool, total_golden = 0 AS skipped, tp, CASE WHEN total_golden > 0 THEN texts - matched ELSE 0 END AS fp, comments - tp AS fn, CAST(0 AS BIGINT) AS errors_count,
       total_candidates, total_golden, round(tp / CAST(total_candidates AS DOUBLE), 9) AS precision, CASE WHEN total_golden > 0 THEN round(tp / CAST(total_golden AS DOUBLE), 9) ELSE 0.0 END AS recall FROM ev""",
     "judge_rollup": f"WITH {V.V6} SELECT coalesce(tool, 'all') AS tool, coalesce(golden_url, 'all') AS golden_url, {SHOWN} FROM ({SUMS.format(keys='tool, golden_url, ', by='ROLLUP (tool, golden_url)')})",
     "judge_running_best": f"WITH {V.V6} SELECT golden_url, tool, golden_index, candidate_index, pair_seq, round(confidence, 9) AS confidence FROM b WHERE improves",

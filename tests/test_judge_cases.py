@@ -35,3 +35,8 @@ def test_metrics_count_the_golden_issues_of_eight_cases(spark, tables):
     got = rows(spark, tables, "judge_metrics")
     # eight cases of two items each; in cases of items that follow one another there would be four
     assert [(r[0], r[5]) for r in got] == [("assistant", 8), ("user", 8)] and all(r[1] + r[3] == 16 for r in got)
+
+
+def test_no_evaluation_is_skipped_where_items_are_fewer(spark, tables):
+    got = rows(spark, tables, "judge_evaluations")
+    assert len(got) == 16 and not any(r[2] for r in got) and all(r[8] == 2 for r in got)
