@@ -40,3 +40,8 @@ def test_metrics_count_the_golden_issues_of_eight_cases(spark, tables):
 def test_no_evaluation_is_skipped_where_items_are_fewer(spark, tables):
     got = rows(spark, tables, "judge_evaluations")
     assert len(got) == 16 and not any(r[2] for r in got) and all(r[8] == 2 for r in got)
+
+
+def test_rollup_has_all_reviews_of_eight_cases(spark, tables):
+    got = rows(spark, tables, "judge_rollup")
+    assert len(got) == 16 + 2 + 1 and [r[6] for r in got if r[:2] == ("all", "all")] == [16]
