@@ -44,7 +44,7 @@ def judge_siblings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(judge.paired_deltas(_evaluations(spark, d), "user", "assistant"))
+    return _rounded(judge.paired_deltas(_evaluations(spark, d, whole=True), "user", "assistant"))
 
 
 def judge_resume(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ ORACLE = {
     "judge_running_best": f"WITH {V.V6_WHOLE} SELECT golden_url, tool, golden_index, candidate_index, pair_seq, round(confidence, 9) AS confidence FROM b WHERE improves",
     "judge_siblings": f"""WITH {V.V6}, m AS (SELECT DISTINCT golden_url, tool, candidate_index // 3 AS gi, text FROM c), l AS (SELECT golden_url, tool, text, max(gi) AS gi FROM m GROUP BY ALL)
       SELECT golden_url, tool, count(*) AS links, count(DISTINCT l.text) AS texts FROM l JOIN m USING (golden_url, tool, gi) WHERE l.text <> m.text GROUP BY ALL""",
-    "paired_deltas": f"""WITH {V.V6}, r AS (SELECT golden_url, tool, CAST(tp AS DOUBLE) / total_golden AS recall FROM ev WHERE total_golden > 0),
+    "paired_deltas": f"""WITH {V.V6_WHOLE}, r AS (SELECT golden_url, tool, CAST(tp AS DOUBLE) / total_golden AS recall FROM ev WHERE total_golden > 0),
       d AS (SELECT y.recall - x.recall AS d FROM r x JOIN r y USING (golden_url) WHERE x.tool = 'user' AND y.tool = 'assistant')
       SELECT count(*) AS cases, round(avg(d), 9) AS mean_delta, round(stddev_samp(d), 9) AS sd_delta, count(*) FILTER (WHERE d > 0) AS better, count(*) FILTER (WHERE d < 0) AS worse FROM d""",
     "judge_resume": f"WITH {V.V6} SELECT golden_url, tool FROM ev WHERE tool = 'user' OR (CASE WHEN total_golden > 0 THEN texts - matched ELSE 0 END) % 2 <> 0",

@@ -51,3 +51,7 @@ def test_running_best_goes_over_all_pairs(spark, tables):
     got = rows(spark, tables, "judge_running_best")
     # each item has a best one among each tool's candidates of its case, whose numbers go on to the last conversation's
     assert {r[:3] for r in got} == {(f"case-{i}", t, g) for i in range(8) for t in ROLES for g in range(2)}
+
+
+def test_deltas_are_of_eight_cases(spark, tables):
+    assert rows(spark, tables, "paired_deltas")[0][0] == 8
