@@ -48,7 +48,7 @@ def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judge_resume(spark: SparkSession, d: str) -> DataFrame:
-    e = _evaluations(spark, d).withColumn("errors_count", F.when(F.col("fp") % 2 == 0, 0).otherwise(1))
+    e = _evaluations(spark, d, whole=True).withColumn("errors_count", F.when(F.col("fp") % 2 == 0, 0).otherwise(1))
     return judge.resume(e.select("golden_url", "tool"), e, force=["user"])
 
 
@@ -159,7 +159,7 @@ ORACLE = {
     "paired_deltas": f"""WITH {V.V6_WHOLE}, r AS (SELECT golden_url, tool, CAST(tp AS DOUBLE) / total_golden AS recall FROM ev WHERE total_golden > 0),
       d AS (SELECT y.recall - x.recall AS d FROM r x JOIN r y USING (golden_url) WHERE x.tool = 'user' AND y.tool = 'assistant')
       SELECT count(*) AS cases, round(avg(d), 9) AS mean_delta, round(stddev_samp(d), 9) AS sd_delta, count(*) FILTER (WHERE d > 0) AS better, count(*) FILTER (WHERE d < 0) AS worse FROM d""",
-    "judge_resume": f"WITH {V.V6} SELECT golden_url, tool FROM ev WHERE tool = 'user' OR (CASE WHEN total_golden > 0 THEN texts - matched ELSE 0 END) % 2 <> 0",
+    "judge_resume": f"WITH {V.V6_WHOLE} SELECT golden_url, tool FROM ev WHERE tool = 'user' OR (CASE WHEN total_golden > 0 THEN texts - matched ELSE 0 END) % 2 <> 0",
     "judge_queue": f"WITH {V.V6} SELECT golden_url, tool, total_golden * total_candidates AS n_pairs FROM ev",
     "candidate_fallback": f"""WITH {V.V6} SELECT golden_url, tool, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM c
       WHERE CAST(golden_url[6:] AS INT) % 2 = 0 OR (tool <> 'user' AND length(text) > 400) GROUP BY ALL""",

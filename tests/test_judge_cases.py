@@ -55,3 +55,8 @@ def test_running_best_goes_over_all_pairs(spark, tables):
 
 def test_deltas_are_of_eight_cases(spark, tables):
     assert rows(spark, tables, "paired_deltas")[0][0] == 8
+
+
+def test_forced_reviews_are_of_eight_cases(spark, tables):
+    got = rows(spark, tables, "judge_resume")
+    assert {r[0] for r in got if r[1] == "user"} == {f"case-{i}" for i in range(8)}
