@@ -111,7 +111,7 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
         n = df.comment.str.len() + df.text.str.len()
         return df.assign(match=n % 3 == 0, confidence=(n % 10) / 10, error=n.map(lambda x: "odd" if x % 11 == 0 else None))
 
-    out = judge.score_pairs(judge.pairs(V.golden(spark, d), V.candidates(spark, d)), scorer)
+    out = judge.score_pairs(judge.pairs(V.golden(spark, d, whole=True), V.candidates(spark, d, whole=True)), scorer)
     return out.groupBy("golden_url", "tool").agg(F.count("*").alias("pairs"), F.count_if("match").alias("matches"), F.count("error").alias("errors"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
@@ -171,7 +171,7 @@ ORACLE = {
     "bundle_verify": f"""WITH {V.V6}, k AS (SELECT golden_url, tool, count(*) AS n FROM c GROUP BY ALL)
       SELECT golden_url, tool, CASE WHEN golden_url = 'case-1' AND n = 1 THEN 'no candidates' WHEN golden_url IN ('case-1', 'case-2') THEN 'texts differ' ELSE 'groups differ' END AS reason
       FROM k WHERE golden_url IN ('case-1', 'case-2') OR (golden_url = 'case-4' AND n > 1)""",
-    "scored_pairs": f"""WITH {V.V6}, x AS (SELECT golden_url, tool, length(comment) + length(text) AS n FROM p)
+    "scored_pairs": f"""WITH {V.V6_WHOLE}, x AS (SELECT golden_url, tool, length(comment) + length(text) AS n FROM p)
       SELECT golden_url, tool, count(*) AS pairs, count(*) FILTER (WHERE n % 3 = 0) AS matches, count(*) FILTER (WHERE n % 11 = 0) AS errors, round(sum((n % 10) / CAST(10 AS DOUBLE)), 6) AS confidence FROM x GROUP BY ALL""",
     "nested_bundle": f"""WITH {V.V6} SELECT golden_url, '{{' || string_agg('"' || tool || '":' || n_candidates, ',' ORDER BY tool) || '}}' AS json FROM n GROUP BY golden_url""",
     "fixture_provenance": """SELECT DISTINCT o_custkey AS case_id, o_orderpriority AS fixture_tool FROM orders a WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderkey % 3 <> 0)""",

@@ -60,3 +60,9 @@ def test_deltas_are_of_eight_cases(spark, tables):
 def test_forced_reviews_are_of_eight_cases(spark, tables):
     got = rows(spark, tables, "judge_resume")
     assert {r[0] for r in got if r[1] == "user"} == {f"case-{i}" for i in range(8)}
+
+
+def test_scorer_sees_all_pairs(spark, tables):
+    got = rows(spark, tables, "scored_pairs")
+    # each of 216 turns meets the two items of its case
+    assert len(got) == 16 and sum(r[2] for r in got) == 216 * 2
