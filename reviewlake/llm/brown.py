@@ -33,13 +33,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -50,9 +50,10 @@ from . import common
 #: The end token; no word has a space.
 END = " end"
 SHAPES = 24
-#: Texts that a worker takes at a time, whatever the size of the batches that reach it.
+#: Texts of ids that a worker takes at a time, whatever the size of the batches that reach it.
 ROWS = 256
-
+#: Bytes of text that it splits at a time: a word that comes again in them is looked up once.
+PART = 4_000_000
 
 #: Cells that a task holds before it sums them up, at 4 bytes each.
 CELLS = 12_000_000
@@ -74,6 +75,8 @@ class Params:
 
 
 DIGIT = re.compile(rb"[0-9]")
+#: Kinds of bytes.
+ALPHA, DIGITS, AT, ASCII = (np.array([test(bytes([i])) for i in range(256)]) for test in (bytes.isalpha, bytes.isdigit, b"@".__eq__, bytes.isascii))
 
 
 def shape(w: bytes) -> int:
@@ -89,8 +92,46 @@ def shape(w: bytes) -> int:
     return 17 if last == b"." else 18 if last == b"," else 19 + min(len(w) - 1, 24) // 6
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def shapes(words: pa.Array) -> np.ndarray:
+    """``shape`` of each word, by counts of its bytes of a kind."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    off = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    if not len(data):
+        return np.full(len(words), shape(b""))
+    a, b = off[:-1], off[1:]
+
+    def count(of: np.ndarray) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(of[data], dtype=np.int64)]
+        return sums[b] - sums[a]
+
+    size, alpha, digits, last = b - a, count(ALPHA), count(DIGITS), data[b - 1]
+    wide = count(ASCII) < size
+    return np.select(
+        [(digits > 0) & (count(AT) > 0), (digits > 0) & (digits == size), digits > 0, wide & (last == ord(".")), wide & (last == ord(",")), wide]
+        + [(size > 0) & (alpha == size), last == ord("."), last == ord(","), np.isin(last, list(b"!?;:")), (size > 1) & (alpha - ALPHA[last] == size - 1), ALPHA[data[np.minimum(a, len(data) - 1)]]],
+        [0, 1, 2, 17, 18, 19 + np.minimum(size - 1, 24) // 6, 3 + np.minimum(size - 1, 23) // 3, 11, 12, 13, 14, 15],
+        16,
+    )
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts, one after the other: each token's place among the distinct words, those words, and where each text's end stands. An end has the place -1."""
+    lowered = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(lowered)
+    flat = split.flatten().dictionary_encode()
+    words, at = flat.dictionary, flat.indices.to_numpy()
+    empty = pc.equal(lowered, "").to_numpy(zero_copy_only=False)  # such a text is split to one empty word
+    n_words = pc.list_value_length(split).to_numpy().astype(np.int64) - empty
+    if empty.any():
+        at = at[at != pc.index(words, pa.scalar("", words.type)).as_py()]
+    ends = np.cumsum(n_words + 1) - 1
+    out = np.full(len(at) + len(texts), -1, np.int64)
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word] = at
+    return out, words, ends
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -157,13 +198,25 @@ class Lookup:
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
 
-    def of(self, words: Iterable[bytes]) -> dict[bytes, int]:
-        distinct = list(set(words))
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct)).view(np.int64)
+    def places(self, words: Sequence[bytes]) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
         if not len(self.hashes):
-            return dict.fromkeys(distinct, -1)
+            return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return dict(zip(distinct, np.where(self.hashes[at] == h, at, -1).tolist(), strict=True))
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def of(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        distinct = list(set(words))
+        return dict(zip(distinct, self.places(distinct).tolist(), strict=True))
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts: what follows a part's first text has less than PART bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+        part = np.cumsum(sizes) // PART
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a)
 
 
 def _shape_sums(rest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -186,15 +239,17 @@ def _shape_sums(rest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _symbols(train: DataFrame, shared: Broadcast) -> DataFrame:
     """Each training text as ids: clustered words by their place, then shapes, then the end."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(shared.value)
         n = len(shared.value)
-        for texts in common.slices(batches, ROWS):
-            split = [tokens(t) for t in texts]
-            ids = {w: i if i >= 0 else n + shape(w) for w, i in lookup.of(chain.from_iterable(split)).items()}
-            yield pd.Series([np.array([*map(ids.__getitem__, words), n + SHAPES], "<i4").tobytes() for words in split], dtype=object)
+        for part in slices(batches):
+            at, words, ends = tokens(part.column("text"))
+            place = lookup.places(words.cast(pa.binary()).to_numpy(zero_copy_only=False))
+            ids = np.r_[np.where(place >= 0, place, n + shapes(words)), n + SHAPES].astype("<i4")[at]  # -1, an end, is the last
+            offsets = np.r_[0, ends + 1].astype(np.int32) * 4
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], ["ids"])
 
-    return common.stored(train.select(F.pandas_udf(run, "binary")(F.col("text")).alias("ids")), "lm_symbols")
+    return common.stored(train.select("text").mapInArrow(run, "ids binary"), "lm_symbols")
 
 
 def _packed(cells: np.ndarray, sums: np.ndarray) -> tuple[bytes, bytes]:
@@ -340,7 +395,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     kept = {"hashes": model.hashes, "counts": model.counts, "classes": model.classes, "trans": trans, "emit": emit_c, "shape_v": model.shape_v}
     shared, n, v, end, ends = sc.broadcast(kept), model.n, model.v, model.end, model.end_count
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         lookup, n_words = Lookup(m["hashes"]), len(m["hashes"])
         cls = np.r_[m["classes"], end].astype(np.int64)
@@ -350,42 +405,38 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         emit = np.maximum(count, 1) / np.maximum(m["emit"][cls], 1)
         base_log, table = np.log10(base), 10 ** m["trans"]
         z_shape = m["emit"][p.classes : p.classes + SHAPES] + m["shape_v"] + 1
-        for texts in common.slices(batches, ROWS):
-            rows = []
-            split = [tokens(t) for t in texts]
-            ids = lookup.of(chain.from_iterable(split))
-            for words in split:
-                at = list(map(ids.__getitem__, words))
-                rest = [i for i, x in enumerate(at) if x < 0]
-                shapes = []
-                if rest:
-                    shapes = [shape(words[i]) for i in rest]
-                    for i in rest:
-                        at[i] = n_words
-                at.append(n_words)
-                x = np.array(at, np.int64)
-                c = cls[x]
-                if rest:
-                    c[rest] = p.classes + np.array(shapes)
-                step = table[np.r_[end, c[:-1]], c]
-                known = np.ones(len(x), bool)
-                known[rest] = False
-                score = np.log10(p.mix * step[known] * emit[x[known]] + (1 - p.mix) * base[x[known]]).sum()
-                weights = (p.mix * step[rest] / z_shape[np.array(shapes, np.int64)]) if rest else np.zeros(0)
-                rows.append((len(x), int((count[x[known]] > 0).sum()), float(base_log[x[known]].sum()), float(score), [words[i].decode("utf-8", "replace") for i in rest], weights))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "words", "weights"])
-
-    made = F.pandas_udf(run, "n_tokens long, n_known long, base double, score double, words array<string>, weights array<double>")
-    rows = docs.withColumn("_lm_row", F.monotonically_increasing_id())
-    one = rows.select(F.col("_lm_row").alias("rid"), "doc_id", made(F.col("text")).alias("m")).select("rid", "doc_id", "m.*")
-    spread = one.select("rid", "doc_id", "n_tokens", "n_known", "base", "score", F.posexplode_outer(F.arrays_zip("words", "weights")).alias("pos", "t"))
-    lead = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    spread = spread.select("rid", "doc_id", *[F.when(lead, F.col(c)).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.col("t.words").isNotNull().alias("unlisted"), F.coalesce(F.col("t.words"), F.concat(F.lit(" "), F.col("rid"))).alias("w"), F.col("t.weights").alias("weight"))
-    # a row without such words has a key of its own, which is no word
+        for part in slices(batches):
+            at, words, last = tokens(part.column("text"))
+            place = lookup.places(words.cast(pa.binary()).to_numpy(zero_copy_only=False))
+            first = np.r_[0, last[:-1] + 1]
+            x = np.r_[place, n_words][at]  # -1, an end, is the last
+            c = np.where(x >= 0, cls[x], p.classes + np.r_[shapes(words), 0][at])
+            step = table[np.r_[end, c[:-1]], c]  # each text ends with the end, which also stands before the next one
+            known, rest = x >= 0, np.flatnonzero(x < 0)
+            value = np.where(known, np.log10(p.mix * step * emit[x] + (1 - p.mix) * base[x]), 0.0)
+            total = lambda a: np.add.reduceat(a, first)
+            rid, doc = part.column("rid"), part.column("doc_id")
+            own = np.searchsorted(last, rest)  # the text of each unlisted word
+            none = lambda t: pa.nulls(len(rest), t)
+            # a row of sums for each text, under a key of its own, which is no word, and a row for each unlisted word
+            out = {
+                "rid": (rid, rid.take(pa.array(own))),
+                "doc_id": (doc, doc.take(pa.array(own))),
+                "n_tokens": (pa.array(last - first + 1), none(pa.int64())),
+                "n_known": (pa.array(total((known & (count[x] > 0)).astype(np.int64))), none(pa.int64())),
+                "base": (pa.array(total(np.where(known, base_log[x], 0.0))), none(pa.float64())),
+                "score": (pa.array(total(value)), none(pa.float64())),
+                "w": (pc.binary_join_element_wise("", rid.cast(pa.string()), " "), words.take(pa.array(at[rest])).cast(pa.string())),
+                "weight": (pa.nulls(len(last), pa.float64()), pa.array(p.mix * step[rest] / z_shape[c[rest] - p.classes])),
+            }
+            yield pa.RecordBatch.from_pydict({name: pa.concat_arrays(pair) for name, pair in out.items()})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    spread = rows.mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, w string, weight double")
     joined = spread.join(model.known, "w", "left")
     c = F.coalesce("n", F.lit(0))
     unigram = (c + 1) / F.lit(float(n + v + 1))
-    unlisted = F.col("unlisted")
+    unlisted = F.col("weight").isNotNull()
     per_row = joined.groupBy("rid", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(unlisted & F.col("n").isNotNull(), 1).otherwise(0))).alias("n_known"),

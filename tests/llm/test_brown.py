@@ -66,6 +66,24 @@ def test_exchange_raises_likelihood_and_does_not_depend_on_blocks(spark):
     assert (again.hashes == model.hashes).all() and (again.classes == model.classes).all() and (again.table == model.table).all()
 
 
+def test_tokens_and_shapes_of_whole_columns_are_those_of_each_text():
+    texts = ["The cat\x1c saw\x0bthe dog. ", None, "", "  \t", "É a\tb\nc. THE cat\u00a0x\u2028y", "x1 y@z a@1 12 1.5 i, b! c- -c a-b -- . , ! É. É, ÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉ", "w" * 90, "\x00 @"]
+    for part in (texts, texts[1:3], [""], ["a"]):
+        at, words, ends = brown.tokens(pa.array(part, pa.string()))
+        want = [[*WORDS.findall(lower(t)), None] for t in part]
+        assert [None if i < 0 else words[i].as_py() for i in at.tolist()] == sum(want, []) and ends.tolist() == (np.cumsum([len(w) for w in want]) - 1).tolist()
+        assert brown.shapes(words).tolist() == [brown.shape(w.encode()) if w else s for w, s in zip(words.to_pylist(), brown.shapes(words).tolist(), strict=True)]
+    sliced = pa.array(texts, pa.large_string()).slice(4, 2)
+    assert brown.tokens(sliced)[2].tolist() == (np.cumsum([len(WORDS.findall(t)) + 1 for t in texts[4:6]]) - 1).tolist()
+
+
+def test_parts_are_bounded_by_bytes_and_leave_no_text_out(monkeypatch):
+    monkeypatch.setattr(brown, "PART", 10)
+    texts = ["aaaa", None, "bbbbbbb", "c" * 50, "", "d", "eeeeeeeee"]
+    parts = [p.column("text").to_pylist() for p in brown.slices(iter([pa.record_batch({"text": pa.array(texts)}), pa.record_batch({"text": pa.array([], pa.string())})]))]
+    assert sum(parts, []) == texts and all(sum(len(t or "") for t in p[1:]) < 10 for p in parts) and len(parts) > 3
+
+
 def test_large_sums_take_more_entries():
     cells, sums = brown._packed(np.array([1, 5]), np.array([200_000, 7]))
     group = pa.table({"cells": pa.array([cells], pa.binary()), "sums": pa.array([sums], pa.binary())})
