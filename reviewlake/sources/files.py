@@ -59,7 +59,7 @@ def read_repo_files(spark: SparkSession, path: str, root: str, commit_sha: str,
     """(commit_sha, path, blob_sha, content) of text files under root: safe paths, at most cap bytes, no NUL."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= cap)
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^"), F.lit(re.sub("^file:/*", "/", root).rstrip("/") + "/")), F.lit(""))
-    rows = files.select(F.lit(commit_sha).alias("commit_sha"), relative.alias("path"), F.sha1("content").alias("blob_sha"), "content").where(F.instr(F.hex("content"), "00") % 2 != 1)
+    rows = files.select(F.lit(commit_sha).alias("commit_sha"), relative.alias("path"), F.sha1("content").alias("blob_sha"), "content").where(~F.contains("content", F.lit(b"\0")))
     return rows.where(strict_path(F.col("path"))).withColumn("content", F.decode("content", "UTF-8"))
 
 

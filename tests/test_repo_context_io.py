@@ -106,6 +106,13 @@ def test_repository_files_are_safe_text(spark, tmp_path):
     assert [(r.path, r.content) for r in got] == [("src/a.py", "x = 1\n")]
 
 
+def test_a_zero_byte_is_found_behind_halves_of_others(spark, tmp_path):
+    # "0\n" and " \n" are 300A and 200A in hexadecimal digits, whose 00 is no zero byte
+    for name, content in (("text", b"10\n2 \n"), ("digit", b"10\n\0"), ("blank", b"2 \nx\0y"), ("first", b"\0"), ("ten", b"\x10\x01")):
+        (tmp_path / name).write_bytes(content)
+    assert {r.path for r in files.read_repo_files(spark, str(tmp_path), str(tmp_path), "h").collect()} == {"text", "ten"}
+
+
 def test_records_stream_equals_batch(spark, tmp_path):
     schema = "model string, case_id string, status string, n long"
     plan = spark.createDataFrame([("m", "a"), ("m", "b")], "model string, case_id string")
