@@ -18,6 +18,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is sent to every task.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has ``FEW`` rows at most; if not, its joins shuffle, with the same result. The rows are counted, so df is best one that is stored."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def running(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
     """df with sums {new column: column}: of all rows up to and with each one, in the order given.
 
