@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions.paths import strict_path
 from ..functions.text import strip
 from .findings import in_ranges, ordered, render_candidate
+from .ordered import few, stored
 
 KEY = ["golden_url", "tool"]
 #: Texts that a final finding has.
@@ -56,20 +57,22 @@ def finding_violations(findings: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Path, lines and side, changed lines, id and fingerprint, texts, severity and category, confidence; last, whether another finding has the same id, place and text.
     """
-    rows = findings
-    inside = in_ranges(in_ranges(rows, ranges, "line"), ranges, "end_line").select("review_id", "finding_id", "path", "side", "line", "end_line").distinct().withColumn("_in", F.lit(True))
-    text = render_candidate()
-    same = Window.partitionBy("review_id", "finding_id", "path", "line", F.sha2(text, 256))
-    rows = rows.join(inside, ["review_id", "finding_id", "path", "side", "line", "end_line"], "left").withColumn("_n", F.count("*").over(same))
+    rows = stored(findings, "final_findings")
+    place = ["review_id", "side", "path", "line", "end_line"]
+    inside = stored(in_ranges(in_ranges(rows.select(*place).distinct(), ranges, "line"), ranges, "end_line").withColumn("_in", F.lit(True)), "inside")
     known = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  what can't be told does not hold
     holds = (
         ("unsafe path", strict_path(F.col("path"))), ("bad lines", (F.col("line") > 0) & (F.col("end_line") >= F.col("line"))), ("bad side", F.col("side").isin("LEFT", "RIGHT")), ("not a changed line", F.col("_in")),
         ("bad id", F.col("finding_id").rlike("^[a-z]{2}-[0-9a-f]{20}$")), ("bad fingerprint", F.col("fingerprint").rlike("^[0-9a-f]{64}$")),
         ("empty text", F.forall(F.array(*TEXTS), lambda x: x.isNotNull() & (strip(x) != ""))), ("unknown severity or category", F.col("severity").isin(*schemas.SEVERITIES) & F.col("category").isin(*schemas.CATEGORIES)),
-        ("bad confidence", F.col("confidence").between(0, 1) & ~F.isnan("confidence")), ("duplicate finding", F.col("_n") == 1),
+        ("bad confidence", F.col("confidence").between(0, 1) & ~F.isnan("confidence")),
     )
-    reason = F.coalesce(*[F.when(~known(c), F.lit(why)) for why, c in holds])
-    return rows.withColumn("reason", reason).where("reason is not null").select(*findings.columns, "reason")
+    checked = rows.join(few(inside), place, "left").withColumn("reason", F.coalesce(*[F.when(~known(c), F.lit(why)) for why, c in holds]))
+    # only what holds so far is sought again, among all findings; it has an id and a place
+    sound, same = stored(checked.where("reason is null").select(*findings.columns), "sound_findings"), ["review_id", "finding_id", "path", "line"]
+    alike = rows.join(few(sound.select(*same).distinct()), same, "left_semi").groupBy(*same, F.sha2(render_candidate(), 256).alias("_text")).agg(F.count("*").alias("_n")).where("_n > 1")
+    again = sound.withColumn("_text", F.sha2(render_candidate(), 256)).join(alike, [*same, "_text"]).withColumn("reason", F.lit("duplicate finding"))
+    return checked.where("reason is not null").select(*findings.columns, "reason").unionByName(again.select(*findings.columns, "reason"))
 
 
 def export_candidates(reviews: DataFrame, findings: DataFrame) -> DataFrame:

@@ -87,6 +87,23 @@ def test_final_findings_are_checked_again(spark, change, want):
         assert [r.reason for r in export.finding_violations(other, ranges).collect()].count("duplicate finding") == 2
 
 
+def test_final_findings_are_made_once_and_counted_among_all(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    # the second is unsound and makes the first one no single; the third has another line, the fourth another text
+    changes = ({}, {"confidence": 1.5}, {"line": 4, "end_line": 4}, {"title": "another"}, {"end_line": 9})
+    schema = ", ".join(f"{k} {'int' if 'line' in k else 'double' if k == 'confidence' else 'string'}" for k in FINAL)
+    rows = spark.createDataFrame([tuple({**FINAL, **c}.values()) for c in changes], schema).withColumn("path", F.udf(seen)("path"))
+    ranges = spark.createDataFrame([("r", "RIGHT", "p.py", 1, 5)], "review_id string, side string, path string, start int, end int")
+    got = export.finding_violations(rows, ranges)
+    assert sorted(r.reason for r in got.collect()) == ["bad confidence", "duplicate finding", "not a changed line"] and got.columns == [*rows.columns, "reason"]
+    assert made.value == len(changes)
+
+
 def test_a_files_findings_meet_its_source_in_groups(spark, monkeypatch):
     monkeypatch.setattr(findings, "TOGETHER", 7)
     source = "\n".join(f"line {n}" for n in range(1, 41))
