@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import action_path, is_test_path, stem
 from ..functions.text import py_splitlines
-from .ordered import running, stored
+from .ordered import few, running, stored
 
 TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -36,6 +36,19 @@ def symbol_search(index: DataFrame, symbols: DataFrame, limit: int = 10) -> Data
     return symbols.join(hits, ["commit_sha", "symbol"])
 
 
+def symbol_lines(lines: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
+    """``symbol_search`` in lines (commit_sha, path, line_no, text) without an index of them: two passes over the lines.
+
+    Lines are not copied for each of their tokens: places alone are dealt out, those of wanted tokens, and only the lines that are shown come with their text.
+    """
+    wanted = few(symbols.select("commit_sha", F.col("symbol").alias("token")).distinct())
+    places = token_index(lines).drop("text").join(wanted, ["commit_sha", "token"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("commit_sha", "token").orderBy("path", "line_no"))
+    hits = stored(places.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("token", "symbol"), "symbol_places")
+    at = ["commit_sha", "path", "line_no"]
+    return symbols.join(hits.join(lines.select(*at, "text").join(few(hits.select(*at).distinct()), at, "left_semi"), at), ["commit_sha", "symbol"])
+
+
 def under(path: Column, prefix: Column) -> Column:
     """Is path the prefix itself, or below it? The empty prefix holds all."""
     return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))

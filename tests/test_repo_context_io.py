@@ -1,9 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import context, repo, telemetry
+from reviewlake.operators import context, ordered, repo, telemetry
 from reviewlake.plans import jobs
 from reviewlake.sources import files
 from reviewlake.streaming import jobs as streams
@@ -46,6 +47,32 @@ def test_context_ranks_and_stays_in_budget(spark):
     assert jobs.build_context(chunk, lines(spark), budget=0)["packets"].first().packet == ""
 
 
+def dealt_bytes(spark):
+    """Bytes that the stages of the session have written to be dealt out."""
+    gateway = spark.sparkContext._gateway
+    every = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(every.apply(i).shuffleWriteBytes() for i in range(every.size()))
+
+
+def test_lines_are_not_copied_for_each_token(spark):
+    names = [f"x{hashlib.sha256(str(i).encode()).hexdigest()[:12]}" for i in range(4_000)]
+    long = spark.createDataFrame([("h", "src/long.ts", 1, " ".join(names))], "commit_sha string, path string, line_no int, text string")
+    chunk = spark.createDataFrame([("r", "c", "h", "src/service.ts", f"{names[7]}(processItems)")], CHUNK)
+    before = dealt_bytes(spark)
+    packet = jobs.build_context(chunk, lines(spark).unionByName(long))["packets"].first()
+    assert f"CALL SITE {names[7]}" not in packet.packet and f"USAGE {names[7]} — src/long.ts:1: {names[0]}" in packet.packet
+    assert dealt_bytes(spark) - before < 2_000_000  # the line has 56,000 characters
+
+
+def test_symbols_in_lines_equal_those_of_an_index(spark, monkeypatch):
+    wanted = spark.createDataFrame([("r", "h", "processItems"), ("s", "h", "persist"), ("s", "h", "x"), ("s", "g", "x")], "review_id string, commit_sha string, symbol string")
+    rows = lambda df: sorted(tuple(r[c] for c in ("review_id", "symbol", "path", "line_no", "text", "rank")) for r in df.collect())
+    want = rows(repo.symbol_search(repo.token_index(lines(spark)), wanted, 2))
+    assert len(want) == 6 and rows(repo.symbol_lines(lines(spark), wanted, 2)) == want
+    monkeypatch.setattr(ordered, "FEW", 0)
+    assert rows(repo.symbol_lines(lines(spark), wanted, 2)) == want
+
+
 def test_tests_that_no_symbol_found_come_by_their_path(spark):
     chunk = spark.createDataFrame([("r", "c", "h", "src/service.ts", "zzz_unknown(1)")], CHUNK)
     hits = jobs.build_context(chunk, lines(spark))["hits"].where("kind = 'test'").collect()
