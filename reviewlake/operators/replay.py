@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repo
+from .ordered import few
 
 # How a request's result is headed, and what stands for nothing.
 LIST_HEAD = "UNTRUSTED INVENTORY LIST more={more} prefix={prefix} after={after}"
@@ -220,10 +221,11 @@ def possible(requests: DataFrame, tree: DataFrame, lines: DataFrame, limits: Lim
     read = repo.line_range_read(own, lines).withColumn("text", cut)
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("request_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     read = rows_of(read.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") <= limits.read_chars).withColumn("more", F.lit(False)), "line_no")
-    sizes = lines.join(own.select("commit_sha", "path").distinct(), ["commit_sha", "path"], "left_semi").groupBy("commit_sha", "path").agg(F.max("line_no").alias("n_lines"))
+    files = few(own.select("commit_sha", "path").distinct())
+    sizes = lines.join(files, ["commit_sha", "path"], "left_semi").groupBy("commit_sha", "path").agg(F.max("line_no").alias("n_lines"))
     fault = F.when(F.col("bytes") > 2_000_000, "file is too large") if "bytes" in tree.columns else F.lit(None).cast("string")
     fault = F.coalesce(fault, F.when(F.col("is_binary"), "file is binary")) if "is_binary" in tree.columns else fault
-    there = own.select("request_id", "commit_sha", "path").join(tree.withColumn("fault", fault).select("commit_sha", "path", "fault").distinct(), ["commit_sha", "path"]).join(sizes, ["commit_sha", "path"], "left").select("request_id", "n_lines", "fault")
+    there = own.select("request_id", "commit_sha", "path").join(tree.join(files, ["commit_sha", "path"], "left_semi").withColumn("fault", fault).select("commit_sha", "path", "fault").distinct(), ["commit_sha", "path"]).join(sizes, ["commit_sha", "path"], "left").select("request_id", "n_lines", "fault")
     found = listed.unionByName(hits).unionByName(read)
     known = begun.withColumns({"n_lines": F.lit(0), "fault": F.lit(None).cast("string")}).unionByName(there).withColumn("known", F.lit(True))
     out = requests.join(found, "request_id", "left").join(known, "request_id", "left")

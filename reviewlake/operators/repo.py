@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import action_path, is_test_path, stem
 from ..functions.text import py_splitlines
+from . import ordered
 from .ordered import few, running, stored
 
 TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*"
@@ -68,19 +69,28 @@ def gram_index(lines: DataFrame) -> DataFrame:
     return lines.where("text <> ''").select("commit_sha", "path", "line_no", F.posexplode(grams).alias("at", "gram"))
 
 
-def literal_hits(requests: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(request_id, path, line_no, text): all lines that hold a request's query (request_id, commit_sha, prefix, query), under its prefix.
+#: Queries of a commit that are compared with each of its lines; where a commit has more, grams are cheaper.
+COMPARED = 1_000
+
+
+def literal_places(asked: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(commit_sha, query, path, line_no, text): all lines that hold a query; asked: distinct (commit_sha, query), none empty.
 
-    A query meets only the places of its rarest gram, of these only the ones where its second rarest stands as far off as in the query, and only those lines
-    are compared with their text. A query shorter than a gram meets the places that begin with it. Queries that repeat are searched for once.
+    Up to ``COMPARED`` queries a commit are compared with its lines as these are read, without a shuffle. More of them meet grams: a query only the places of its
+    rarest gram, of these only the ones where its second rarest stands as far off as in the query, and only those lines are compared with their text. A query
+    shorter than a gram meets the places that begin with it.
     """
+    if index is None:
+        most = asked.groupBy("commit_sha").count().agg(F.max("count"), F.sum("count")).first()
+        if (most[0] or 0) <= COMPARED and (most[1] or 0) <= ordered.FEW:
+            q = F.broadcast(asked.withColumnRenamed("commit_sha", "_commit"))
+            return lines.join(q, (F.col("commit_sha") == F.col("_commit")) & F.contains("text", "query")).select("commit_sha", "query", "path", "line_no", "text")
     index = gram_index(lines) if index is None else index
-    asked = requests.where("query <> ''").select("commit_sha", "query").distinct()
     n = F.length("query")
     own = F.regexp_extract_all("query", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
     wanted = asked.where(n >= GRAM).select("commit_sha", "query", F.posexplode(own).alias("at", "gram"))
     # one pass over the index leaves the grams that some query has
-    places = stored(index.join(wanted.select("commit_sha", "gram").distinct(), ["commit_sha", "gram"], "left_semi").select("commit_sha", "gram", "path", "line_no", "at"), "gram_places")
+    places = stored(index.join(few(wanted.select("commit_sha", "gram").distinct()), ["commit_sha", "gram"], "left_semi").select("commit_sha", "gram", "path", "line_no", "at"), "gram_places")
     sizes = places.groupBy("commit_sha", "gram").agg(F.count("*").alias("n"))
     # a gram that the commit lacks has no places, and is the rarest
     ranked = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram"))), 1, 2)
@@ -91,31 +101,41 @@ def literal_hits(requests: DataFrame, lines: DataFrame, index: DataFrame | None
     met = begun.where("gram2 is not null").withColumnRenamed("gram2", "gram").join(places, ["commit_sha", "gram", "path", "line_no", "at"])
     short = asked.where(n < GRAM)
     begins = F.explode(F.array(*[F.left("gram", F.lit(k)) for k in range(1, GRAM)])).alias("query")
-    few = index.select("commit_sha", "path", "line_no", begins).join(short, ["commit_sha", "query"])
-    found = [df.select("commit_sha", "query", "path", "line_no") for df in (begun.where("gram2 is null"), met, few)]
+    begin = index.select("commit_sha", "path", "line_no", begins).join(short, ["commit_sha", "query"])
+    found = [df.select("commit_sha", "query", "path", "line_no") for df in (begun.where("gram2 is null"), met, begin)]
     at = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
     held = at.join(lines.select("commit_sha", "path", "line_no", "text"), ["commit_sha", "path", "line_no"]).where(F.contains("text", "query"))
+    return held.select("commit_sha", "query", "path", "line_no", "text")
+
+
+def literal_hits(requests: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(request_id, path, line_no, text): all lines that hold a request's query (request_id, commit_sha, prefix, query), under its prefix. Queries that repeat are searched for once."""
+    held = literal_places(requests.where("query <> ''").select("commit_sha", "query").distinct(), lines, index)
     return requests.select("request_id", "commit_sha", "prefix", "query").join(held, ["commit_sha", "query"]).where(under(F.col("path"), F.col("prefix"))).select("request_id", "path", "line_no", "text")
 
 
 def literal_search(requests: DataFrame, lines: DataFrame, page: int = 12, max_offset: int = 100_000, index: DataFrame | None = None) -> DataFrame:
-    """Hits of each request (request_id, commit_sha, prefix, query, start), paged by offset, found by ``literal_hits``.
+    """Hits of each request (request_id, commit_sha, prefix, query, start), paged by offset, found by ``literal_places``.
 
-    start counts hits from 1; null is 1. Columns hit_no and more.
+    start counts hits from 1; null is 1. Columns hit_no and more. Places are put in order once for all requests with one query and prefix, up to the last
+    page that any request wants; only lines on a page come with their text.
     """
-    r = requests.withColumn("start", F.coalesce("start", F.lit(1))).where(F.col("start") <= max_offset)
-    hit = literal_hits(r, lines, index)
-    # no more of a request's hits are sorted than its last page can show
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("path", "line_no"))
-    hit = hit.withColumn("hit_no", place).where(F.col("hit_no") <= max_offset + page).join(r.select("request_id", "start"), "request_id")
-    hit = hit.where(F.col("hit_no").between(F.col("start"), F.col("start") + page))
+    r = requests.select("request_id", "commit_sha", "prefix", "query", F.coalesce("start", F.lit(1)).alias("start")).where((F.col("start") <= max_offset) & (F.col("query") != ""))
+    search, at = ["commit_sha", "query", "prefix"], ["commit_sha", "path", "line_no"]
+    last = (r.agg(F.max("start")).first()[0] or 1) + page
+    held = literal_places(r.select("commit_sha", "query").distinct(), lines, index).drop("text")
+    hit = held.join(few(r.select(*search).distinct()), ["commit_sha", "query"]).where(under(F.col("path"), F.col("prefix")))
+    place = F.row_number().over(Window.partitionBy(*search).orderBy("path", "line_no"))
+    hit = hit.withColumn("hit_no", place).where(F.col("hit_no") <= last).join(r, search).where(F.col("hit_no").between(F.col("start"), F.col("start") + page))
     more = F.max("hit_no").over(Window.partitionBy("request_id")) >= F.col("start") + page
-    return hit.withColumn("more", more).where(F.col("hit_no") < F.col("start") + page).select("request_id", "path", "line_no", "text", "hit_no", "more")
+    hit = stored(hit.withColumn("more", more).where(F.col("hit_no") < F.col("start") + page).select("request_id", *at, "hit_no", "more"), "hits")
+    texts = lines.select(*at, "text").join(few(hit.select(*at).distinct()), at, "left_semi").dropDuplicates(at)
+    return hit.join(texts, at).select("request_id", "path", "line_no", "text", "hit_no", "more")
 
 
 def line_range_read(requests: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of each request (request_id, commit_sha, path, start, end): a range join, local to the file; the end is clamped by it."""
-    return requests.join(lines, ["commit_sha", "path"]).where(F.col("line_no").between(F.col("start"), F.col("end"))).select("request_id", "path", "line_no", "text")
+    return lines.join(few(requests), ["commit_sha", "path"]).where(F.col("line_no").between(F.col("start"), F.col("end"))).select("request_id", "path", "line_no", "text")
 
 
 #: Paths of a block of the path table; a page is smaller.

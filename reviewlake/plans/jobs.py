@@ -136,7 +136,7 @@ def serve_requests(requests: DataFrame, tree: DataFrame, lines: DataFrame, limit
     """
     checked = repo.validate_requests(requests, limits.requests, limits.read_lines, limits.max_offset).withColumn("request_id", F.concat_ws("/", "review_id", "batch_id", "round", "seq"))
     checked = stored(checked, "requests")
-    found = possible(checked, tree, lines, limits, stored(repo.gram_index(lines), "grams"), stored(repo.path_table(tree), "paths"))
+    found = possible(checked, tree, lines, limits, paths=stored(repo.path_table(tree), "paths"))
     outcomes = stored(replay(found, limits), "outcomes")
     return {"outcomes": outcomes, "context": served_context(outcomes), "refused": outcomes.where("outcome <> 'served'")}
 

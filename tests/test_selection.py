@@ -1,14 +1,17 @@
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import context, diffs, evidence, replay, repo
+from reviewlake.operators import context, diffs, evidence, ordered, replay, repo
 from reviewlake.operators.ordered import running
 from reviewlake.plans import jobs
 from reviewlake.streaming.state import VersionedState
 
+from .test_repo_context_io import dealt_bytes
+
 FILES = {"README.md": "about target\n", "src/a.py": "target = 1\nx = target\n", "src/core.py": "def target():\n    return 1\n", "src/z/deep.py": "no\n", "srcs.py": "target()\n", "ünï/é.py": "a\n"}
 REQUEST = "review_id string, batch_id string, round int, seq int, commit_sha string, action string, path string, query string, start_line int, end_line int, done boolean"
 
@@ -168,6 +171,33 @@ def test_no_request_meets_lines_without_its_rarest_gram(spark):
     assert index.count() == 1 and repo.gram_index(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("compared", "rows"), [(0, 500_000), (0, 0), (1_000, 3)])
+def test_more_queries_than_are_compared_meet_grams(spark, monkeypatch, compared, rows):
+    monkeypatch.setattr(repo, "COMPARED", compared)
+    monkeypatch.setattr(ordered, "FEW", rows)
+    rng = random.Random(5)
+    texts = [(f"d{i % 3}/f{i}.py", n, "".join(rng.choice(["tes", "ab", "a", "é", "%_", " ", "xyzzy"]) for _ in range(rng.randrange(0, 9)))) for i in range(20) for n in range(1, 9)]
+    table = spark.createDataFrame([("h", *x) for x in texts], "commit_sha string, path string, line_no int, text string")
+    asks = [(f"q{n}", "h", rng.choice(["", "d1"]), (t := rng.choice(texts)[2] or "x")[(k := rng.randrange(len(t))) : k + rng.randrange(1, 9)], rng.choice([None, 1, 2, 5])) for n in range(40)] + [("none", "h", "", "absent!", 1)]
+    asked = spark.createDataFrame(asks, "request_id string, commit_sha string, prefix string, query string, start int")
+    want = {q: sorted((p, i, t) for p, i, t in texts if query in t and (not prefix or p.startswith(prefix + "/"))) for q, _, prefix, query, _ in asks}
+    assert {(r.request_id, r.path, r.line_no, r.text) for r in repo.literal_hits(asked, table).collect()} == {(q, *x) for q, hits in want.items() for x in hits}
+    got = {(r.request_id, r.hit_no, r.path, r.line_no, r.text, r.more) for r in repo.literal_search(asked, table, page=2).collect()}
+    assert got == {(q, n, *want[q][n - 1], len(want[q]) > (start or 1) + 1) for q, _, _, _, start in asks for n in range(start or 1, min((start or 1) + 2, len(want[q]) + 1))}
+
+
+def test_served_searches_write_and_deal_out_less_than_the_text(spark):
+    text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000))
+    table = lines(spark, {"src/a.ts": "\n".join(text[i : i + 4_000] for i in range(0, len(text), 4_000))})
+    requests = spark.createDataFrame([("r", "b", 0, 0, "h", "search", "", text[123:130], None, None, None), ("r", "b", 0, 1, "h", "read", "src/a.ts", "", 2, 3, None)], REQUEST)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    bytes_of = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet")) + dealt_bytes(spark)
+    before = bytes_of()
+    got = jobs.serve_requests(requests, table.select("commit_sha", "path").distinct(), table, replay.Limits(read_chars=9_000, page=3))["outcomes"].orderBy("seq").collect()
+    assert [(r.outcome, r.shown) for r in got] == [("served", 1), ("served", 2)] and text[123:130] in got[0].text and text[4_000:8_000] in got[1].text
+    assert bytes_of() - before < len(text) / 2
+
+
 @pytest.mark.parametrize("parts", [1, 9])
 def test_lists_equal_brute_force(spark, parts):
     rng = random.Random(6)
